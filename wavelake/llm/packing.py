@@ -126,7 +126,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
         groups = max(1, -(-n // group))
         last = groups == 1 or turn == ROUNDS - 1
 
-        def one(rows: pd.DataFrame, last: bool = last) -> pd.DataFrame:
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("row", ignore_index=True)
             sizes = rows["length"].to_numpy()
             bins, offsets = best_fit_decreasing(sizes, length)

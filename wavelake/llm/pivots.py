@@ -2,14 +2,14 @@
 
 Pivots are a hashed sample of the vectors, their number growing with the square root of the table. Each vector is
 described by its NEAREST nearest pivots in order; two vectors closer than the threshold share most of them. Inverted
-lists hold vectors by pivot, joined in twos: sets of 8 that share 4 or more pivots share two of the 6 that come first
-in any fixed order, so with the rarest pivots first a vector is posted under the 15 pairs of its 6 rarest, and every
+lists hold vectors by pivot, joined in twos: sets of 8 that share 3 or more pivots share two of the 7 that come first
+in any fixed order, so with the rarest pivots first a vector is posted under the 21 pairs of its 7 rarest, and every
 pair with the needed count meets. A pair is taken up only in the list of the first two pivots that it shares, its
 shared pivots are counted, and the cosine is verified in double precision. Long lists are cut into blocks, and each
 pair of blocks is a unit of work; what leaves it are counts of links for each vector and a spanning forest of them.
 Equal vectors are described and compared once, with their number.
 
-The index is approximate: a link is lost only if the two share fewer than 4 of their 8 nearest pivots. Every vector is
+The index is approximate: a link is lost only if the two share fewer than 3 of their 8 nearest pivots. Every vector is
 indexed; tests measure the recall against brute force.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most,
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 from .simhash import _forest
 
-NEAREST, SHARED = 8, 4
+NEAREST, SHARED = 8, 3
 MOST_PIVOTS = 4096
 BLOCK = 1024
 
@@ -46,6 +46,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def spread(drawn: np.ndarray, count: int, apart: float = 0.7) -> np.ndarray:
+    """Up to `count` of the drawn unit vectors, none within a cosine of `apart` of another: a dense group gets one pivot, else its members would be told apart by chance."""
+    kept = np.zeros((0, drawn.shape[1]))
+    for x in drawn:
+        if len(kept) < count and not (kept @ x > apart).any():
+            kept = np.vstack([kept, x])
+    return kept
+
+
 def described(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
     """(row, vector, near): the numbers of the nearest pivots, nearest first."""
     given = vectors.sparkSession.sparkContext.broadcast(pivots)
@@ -82,7 +91,8 @@ def _pairs(x: np.ndarray, near: np.ndarray, own: np.ndarray, diagonal: bool, key
     for at in range(0, len(i), 100_000):
         a, b = i[at : at + 100_000], j[at : at + 100_000]
         same = (near[a][:, :, None] == near[b][:, None, :]).any(2)
-        posted = same[:, : near.shape[1] - shared + 2]
+        head = near.shape[1] - shared + 2
+        posted = (near[a][:, :head, None] == near[b][:, None, :head]).any(2)
         # of the posted pivots that both share, the first two are this key
         first = np.argmax(posted, axis=1)
         rest = posted.copy()
@@ -153,9 +163,10 @@ def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     good = F.col("sound") & (F.size("vector") == common["n"])
     single = own.where(good).groupBy("vector").agg(F.min("row").alias("row"), F.min("vec_id").alias("first"), F.count("*").alias("k"))
     single = materialize(single, "pivots-distinct")
-    count = int(2 ** np.ceil(np.log2(max(16.0, 1.5 * np.sqrt(single.count())))))
-    chosen = single.orderBy(F.xxhash64("row"), "row").limit(min(count, MOST_PIVOTS)).select("vector").toArrow()["vector"].combine_chunks()
-    near = described(single, _unit(_matrix(chosen)), nearest)
+    count = int(2 ** np.ceil(np.log2(max(16.0, np.sqrt(single.count())))))
+    drawn = single.orderBy(F.xxhash64("row"), "row").limit(2 * min(count, MOST_PIVOTS)).select("vector").toArrow()["vector"].combine_chunks()
+    chosen = spread(_unit(_matrix(drawn)), min(count, MOST_PIVOTS))
+    near = described(single, chosen, nearest)
     near = materialize(near, "pivots-near")
     # the rarest pivots come first: at most MOST_PIVOTS numbers
     load = np.zeros(len(chosen), np.int64)

@@ -2,7 +2,7 @@
 
 Each rule looks at one side of a text and votes good or bad or abstains. Texts with the same votes form a pattern;
 expectation-maximisation on the counts of the patterns (at most 3 to the power of the number of rules, whatever the
-corpus) estimates for both classes how often each rule votes what, and from it every text gets a posterior probability
+corpus) estimates for both classes how often each rule votes good, votes bad or abstains, and from it every text gets a posterior probability
 of being good. A text is kept if its posterior is a half or more, so one failed rule doesn't reject it by itself.
 
 Defined cases: null and empty texts have no words and fail the base rules; texts may be very long; repeated rows are
@@ -51,6 +51,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
         (length - F.length(F.translate("t", "!?", ""))).cast("long").alias("n_bangs"),
+        (length - F.length(F.translate("t", "0123456789#*$%&|<>.,;:!?()[]{}=+-_/@~^", ""))).cast("long").alias("n_marks"),
         (length - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
     )
 
@@ -66,6 +67,8 @@ def votes() -> dict[str, Column]:
     return {
         "length": _vote(n < 20, n >= 40),
         "symbols": _vote(c("n_symbols") * 5 > n, never),
+        "symbol_share": _vote(c("n_symbols") * 20 > c("word_chars"), c("n_symbols") * 100 <= c("word_chars")),
+        "marks": _vote(c("n_marks") * 8 > c("word_chars"), c("n_marks") * 16 <= c("word_chars")),
         "repeats": _vote(c("n_repeat_words") * 5 > n, never),
         "lines": _vote(c("n_dup_lines") * 4 > c("n_lines"), never),
         "capitals": _vote(c("n_capitals") * 4 > c("word_chars"), never),
@@ -76,11 +79,11 @@ def votes() -> dict[str, Column]:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
-    """The prior log-odds of good, and for each rule the log-odds that each vote adds, by expectation-maximisation from the majority's opinion."""
+    """The prior log-odds of good, and for each rule the log-odds that each vote adds, by expectation-maximisation. It begins with texts that no rule finds bad as good."""
     if not patterns:
         return 0.0, []
     rules = len(patterns[0][0])
-    good = [min(max(0.5 + 0.45 * sum(v) / rules - 0.3 * (min(v) < 0), 0.02), 0.98) for v, _ in patterns]
+    good = [0.1 if min(v) < 0 else 0.6 + 0.3 * sum(v) / rules for v, _ in patterns]
     prior, add = 0.0, []
     for _ in range(rounds):
         total = sum(n for _, n in patterns)
@@ -91,8 +94,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
             for g, (v, n) in zip(good, patterns):
                 own[v[r]][0] += g * n
                 own[v[r]][1] += (1 - g) * n
-            # an abstention says nothing
-            add.append({x: 0.0 if x == 0 else math.log(own[x][0] / (yes + 1.5)) - math.log(own[x][1] / (total - yes + 1.5)) for x in own})
+            odds = {x: math.log(own[x][0] / (yes + 1.5)) - math.log(own[x][1] / (total - yes + 1.5)) for x in own}
+            # a rule is taken to be no worse than chance
+            add.append({-1: min(odds[-1], 0.0), 0: odds[0], 1: max(odds[1], 0.0)})
         good = [1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(a[x] for a, x in zip(add, v)))))) for v, _ in patterns]
     return prior, add
 
