@@ -25,34 +25,35 @@ ROUNDS = 50
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row of counts for each row of `docs`: the base features and what the rules look at."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    spaced = F.translate(t, "\t\n\x0b\x0c\r", "     ")
-    own = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.filter(F.split(spaced, " "), lambda w: w != "").alias("w"))
+    # one pass keeps the few characters that are counted, the counts are then taken on what is left
+    marks = F.regexp_replace("t", r"[^!-`{-~]+", "")
+    own = docs.select(F.col(id_col).alias("doc_id"), t.alias("t")).withColumns({"w": F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), ""), "marks": marks, "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     n = F.size("w")
-    pair = lambda a, gap: F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - gap, F.lit(0))), F.slice(a, F.lit(gap + 1), F.greatest(F.size(a) - gap, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-    own = own.withColumn("h", F.when(n >= WINDOW, pair(pair(pair(F.transform("w", lambda w: F.xxhash64(w)), 1), 2), 4)))
-    own = own.withColumn("again", F.when(F.size("h") > F.size(F.array_distinct("h")), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    own = own.withColumn("hw", F.transform("w", lambda w: F.xxhash64(w)))
+    # past the end there are nulls, which the hash leaves out: the last windows are shorter and equal to none
+    own = own.withColumn("h", F.when(n >= WINDOW, F.transform("hw", lambda _, i: F.xxhash64(*(F.get("hw", i + k) for k in range(WINDOW))))))
+    own = own.withColumn("again", F.when(F.size("h") > F.size(F.array_distinct("h")), F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     m = F.size("again")
     begins = F.filter(
         F.transform(F.col("again"), lambda x, k: F.when((x.h == F.col("again")[F.greatest(k - 1, F.lit(0))].h) & (k > 0) | (x.h == F.col("again")[F.least(k + 1, m - 1)].h) & (k < m - 1), x.i)),
         lambda i: i.isNotNull(),
     )
-    own = own.withColumn("at", F.array_sort(begins))
+    own = own.withColumn("at", F.sort_array(begins))
     covered = F.aggregate("at", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")), lambda s, i: F.struct((s["sum"] + WINDOW - F.greatest(s.end - i, F.lit(0))).alias("sum"), (i + WINDOW).alias("end")), lambda s: s["sum"])
     # a line counts if it has a word, that is, if it isn't only spaces
-    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    length = F.length("t")
+    count = lambda others: F.length(F.regexp_replace("marks", others, "")).cast("long")
     return own.select(
         "doc_id",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (length - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        count(r"[^#*$%&|<>]+").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
-        (length - F.length(F.translate("t", "!?", ""))).cast("long").alias("n_bangs"),
-        (length - F.length(F.translate("t", "0123456789#*$%&|<>.,;:!?()[]{}=+-_/@~^", ""))).cast("long").alias("n_marks"),
-        (length - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.array_distinct("hw")).cast("long").alias("n_distinct"),
+        count(r"[^!?]+").alias("n_bangs"),
+        count(r"[A-Z]+").alias("n_marks"),
+        count(r"[^A-Z]+").alias("n_capitals"),
     )
 
 
