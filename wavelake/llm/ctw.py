@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from .common import bucket_of, fold, materialize, words
 
 DEPTH = 3
-TABLE_ROWS = 1 << 17
+TABLE_ROWS = 1 << 16
 GRAMS = 4_000_000
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 17
 #: No word: words hold no line feed.
 END = "\n"
+#: Contexts whose nodes are worked out at once, on the driver.
+NODES = 4096
 #: Bytes that are looked up at once, and distinct words that a task keeps before it passes counts on.
 CHUNK, KEPT = 1 << 22, 500_000
 
@@ -117,18 +119,26 @@ class Tree:
         self.depth = depth
         grams = np.asarray(grams, np.int64)
         contexts, bits, weight, mass = [], [], [], []
+        number = np.asarray(number, float)
         for d in range(depth + 1):
             own = (grams >> 8) & ((1 << 8 * d) - 1)
             seen, where = np.unique(own, return_inverse=True)
             if d == 0 and not len(seen):
                 seen = np.zeros(1, np.int64)
-            by_byte = np.bincount(where * 256 + (grams & 255), np.asarray(number, float), len(seen) * 256).reshape(len(seen), 256)
-            level = [by_byte.reshape(len(seen), 1 << k, -1).sum(2) for k in range(9)]
-            ones = np.concatenate([level[k + 1][:, 1::2] for k in range(8)], axis=1)
-            total = np.concatenate(level[:8], axis=1)
+            order = np.argsort(where, kind="stable")
+            where, byte, n = where[order], grams[order] & 255, number[order]
+            one, logs = np.empty((len(seen), 255), np.float32), np.empty((len(seen), 255))
+            for at in range(0, len(seen), NODES):
+                m = min(NODES, len(seen) - at)
+                a, z = np.searchsorted(where, (at, at + m))
+                by_byte = np.bincount((where[a:z] - at) * 256 + byte[a:z], n[a:z], m * 256).reshape(m, 256)
+                level = [by_byte.reshape(m, 1 << k, -1).sum(2) for k in range(9)]
+                ones = np.concatenate([level[k + 1][:, 1::2] for k in range(8)], axis=1)
+                total = np.concatenate(level[:8], axis=1)
+                one[at : at + m], logs[at : at + m] = (ones + 0.5) / (total + 1), _kt(total - ones, ones)
             contexts.append(seen)
-            bits.append(((ones + 0.5) / (total + 1)).astype(np.float64))
-            mass.append(_kt(total - ones, ones))
+            bits.append(one)
+            mass.append(logs)
         below = mass[depth]
         for d in range(depth - 1, -1, -1):
             parent = np.searchsorted(contexts[d], contexts[d + 1] & ((1 << 8 * d) - 1))
@@ -138,15 +148,22 @@ class Tree:
                 first = np.flatnonzero(np.r_[True, np.diff(parent[order]) > 0])
                 sums[parent[order][first]] = np.add.reduceat(below[order], first, axis=0)
             mixed = np.logaddexp(mass[d], sums) - np.log(2)
-            weight.insert(0, np.exp(mass[d] - np.log(2) - mixed))
+            weight.insert(0, np.exp(mass[d] - np.log(2) - mixed).astype(np.float32))
             below = mixed
+            mass.pop()
+        del below, mass
         self.contexts, tables = contexts, []
         for d in range(depth + 1):
-            p = bits[d]
-            for e in range(d - 1, -1, -1):
-                up = np.searchsorted(contexts[e], contexts[d] & ((1 << 8 * e) - 1))
-                p = weight[e][up] * bits[e][up] + (1 - weight[e][up]) * p
-            tables.append(self._bytes(p))
+            rows = np.empty((len(contexts[d]), 256), np.float32)
+            for at in range(0, len(rows), NODES):
+                own = contexts[d][at : at + NODES]
+                p = bits[d][at : at + NODES].astype(float)
+                for e in range(d - 1, -1, -1):
+                    up = np.searchsorted(contexts[e], own & ((1 << 8 * e) - 1))
+                    w = weight[e][up].astype(float)
+                    p = w * bits[e][up] + (1 - w) * p
+                rows[at : at + NODES] = self._bytes(p)
+            tables.append(rows)
         self.table = np.concatenate(tables)
         self.first = np.cumsum([0, *map(len, tables)])
         self.index = None
@@ -191,19 +208,30 @@ def tree(known: DataFrame, depth: int = DEPTH) -> Tree:
     return Tree(rows["gram"].to_numpy(), rows["n"].to_numpy(), depth)
 
 
+def _least(tokens: DataFrame) -> int:
+    """The smallest count for which HOT_WORDS words at most have it or more, from a histogram of a few hundred steps."""
+    step = F.floor(F.log2("n") * 8)
+    held = 0
+    for r in tokens.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most")).orderBy(F.desc("step")).collect():
+        held += r["k"]
+        if held > HOT_WORDS:
+            return r["most"] + 1
+    return 0
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bytes): a row for each row of `docs`. Learns from the rows outside fold 0."""
     context = docs.sparkSession.sparkContext
     known = materialize(counts(docs.where(bucket_of(id_col, folds) != 0), text_col), "ctw-counts")
     tokens = known.where("token is not null")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = {r.token: r.n for r in tokens.select("token", "n").orderBy(F.desc("n"), "token").limit(HOT_WORDS).collect()}
+    hot = tokens.where(F.col("n") >= _least(tokens)).select("token", "n").toArrow()
     given = context.broadcast((hot, tree(known)))
     del hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, model = given.value
-        log = {w: np.log10(n + 0.1) for w, n in hot.items()}
+        log = dict(zip(hot["token"].to_pylist(), np.log10(hot["n"].to_numpy() + 0.1).tolist()))
         cold_type = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
