@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def words(text: str) -> list[str]:
-    """Words of a text; other Unicode spaces (which str.split() would also cut at) stay inside a word."""
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    """Words of a text; what str.split() would cut at besides (other Unicode spaces, information separators) stays inside a word."""
+    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return text.split()
+    for c in "\t\n\x0b\x0c\r":
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def fold(text: str) -> str:
     """Lower-case A-Z alone."""
-    return text.lower() if text.isascii() else text.translate(_FOLD)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def shared_dir(spark: SparkSession) -> str:

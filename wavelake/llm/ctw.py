@@ -232,7 +232,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, model = given.value
         log = dict(zip(hot["token"].to_pylist(), np.log10(hot["n"].to_numpy() + 0.1).tolist()))
-        cold_type = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 texts = [t or "" for t in b.column(1).to_pylist()]
@@ -240,17 +239,17 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 for t in texts:
                     found = words(fold(t))
                     found.append(END)
-                    got = [log[w] for w in found if w in log]
-                    cold = [{"token": w, "k": k} for w, k in Counter(w for w in found if w not in log).items()] if len(got) < len(found) else []
-                    out.append((len(found), len(got), sum(got), cold))
+                    got = list(map(log.get, found))
+                    cold = [w for w, x in zip(found, got) if x is None] if None in got else []
+                    out.append((len(found), len(found) - len(cold), sum(filter(None, got)), cold))
                 n, seen, sums, cold = zip(*out)
                 raw = [t.encode() for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(cold, cold_type), pa.array(model.score(raw)), pa.array(list(map(len, raw)), pa.int64())], ["doc_id", "n_tokens", "seen", "sums", "cold", "score", "bytes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(cold, pa.list_(pa.string())), pa.array(model.score(raw)), pa.array(list(map(len, raw)), pa.int64())], ["doc_id", "n_tokens", "seen", "sums", "cold", "score", "bytes"])
 
-    schema = "doc_id long, n_tokens long, seen long, sums double, cold array<struct<token: string, k: bigint>>, score double, bytes long"
+    schema = "doc_id long, n_tokens long, seen long, sums double, cold array<string>, score double, bytes long"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
     own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "ctw-scores")
-    cold = own.select("row", F.inline("cold")).join(tokens.select("token", "n"), "token", "left")
-    cold = cold.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("also"))
+    cold = own.select("row", F.explode("cold").alias("token")).join(tokens.select("token", "n"), "token", "left")
+    cold = cold.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.count("n").alias("also"))
     base = F.col("sums") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + 0.1 * (distinct + 1)))
     return own.join(cold, "row", "left").select("doc_id", (bucket_of("doc_id", folds) == 0).alias("held_out"), "n_tokens", (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bytes")
