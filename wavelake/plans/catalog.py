@@ -1,30 +1,318 @@
-"""Named queries of the engine, each with its SQL twin."""
+"""Named queries of the engine over the shared tables, each with its SQL twin where SQL can express it.
+
+The series are `events.value` by user, ordered by (ts, event_id); ready-made signals are the embeddings; the
+multi-channel matrix is `lineitem`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import augment, eda, events, series, signal
+
+CHANNELS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+#: Shared parts of the SQL twins. Where decimal inputs make exact ties of the last digit, both sides add 1e-6 before rounding.
+P = "p as (select user_id, event_id, event_type, ts, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n from events)"
+E = "e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos, len(embedding) as n from embeddings)"
+DFT = f"{E}, m as (select vec_id, k.k as k, any_value(n) as n, sqrt(pow(sum(x * cos(2 * pi() * k.k * pos / n)), 2) + pow(sum(x * sin(2 * pi() * k.k * pos / n)), 2)) as mag from e, (select unnest(range(0, 33)) as k) k group by vec_id, k.k)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _users(spark: SparkSession, sf_dir: str) -> series.SeriesFrame:
+    return series.SeriesFrame.ordered(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", "value"), ["user_id"], ["ts", "event_id"], ["value"], ["event_type"])
 
-WINDOW_FEATURES = """
-with p as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos,
-                  count(*) over (partition by user_id) as n from events),
-     w as (select user_id, cast(floor(pos / 5.0) as bigint) - k.k as win, value, n
-           from p cross join (select * from (values (0), (1), (2), (3)) t(k)) k)
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def r4(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 4) + F.lit(0.0)  # no negative zero
+
+
+def _long(df: DataFrame, column: str, key: str = "vec_id", pos: str = "pos", value: str = "v") -> DataFrame:
+    return df.select(key, F.posexplode(column).alias(pos, value)).withColumn(value, r4(value))
+
+
+_BY_USER = Window.partitionBy("user_id")
+_IN_ORDER = _BY_USER.orderBy("pos")
+
+WINDOW_FEATURES = f"""
+with {P}, w as (select user_id, cast(floor(pos / 5.0) as bigint) - k.k as win, value, n from p cross join (select * from (values (0), (1), (2), (3)) t(k)) k)
 select user_id, win, round(avg(value), 4) as mean_value, round(stddev_pop(value), 4) as std_value,
        round(sqrt(avg(value * value)), 4) as rms_value, round(max(abs(value)) / sqrt(avg(value * value)), 4) as crest_factor, count(*) as n
 from w where win >= 0 and win * 5 + 20 <= n group by user_id, win
 """
 
 
-def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    return spark.sql(WINDOW_FEATURES)
+@query(WINDOW_FEATURES)
+def window_features(spark, sf_dir):
+    w = _users(spark, sf_dir).windows(20, 15)
+    x = F.col("value")
+    return w.groupBy("user_id", "win").agg(r4(F.avg(x)).alias("mean_value"), r4(F.stddev_pop(x)).alias("std_value"), r4(C.rms(x)).alias("rms_value"), r4(F.max(F.abs(x)) / C.rms(x)).alias("crest_factor"), F.count("*").alias("n"))
+
+
+@query("""select event_type, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, round(var_pop(value), 3) as variance, round(median(value), 4) as median, max(value) as max, min(value) as min,
+ round(kurtosis_pop(value), 4) as kurtosis, round(skewness(value), 4) as skewness, round(sqrt(avg(value * value)), 4) as rms, round(sum(value * value), 1) as energy, round(avg(value * value), 3) as power,
+ round(max(abs(value)) / sqrt(avg(value * value)), 4) as crest_factor, count(value) as length from events group by event_type""")
+def signal_statistics(spark, sf_dir):
+    digits = {"variance": 3, "power": 3, "energy": 1, "max": None, "min": None, "length": None}
+    stats = C.statistics(F.col("value"))
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(*((c if digits.get(k, 4) is None else F.round(c, digits.get(k, 4))).alias(k) for k, c in stats.items()))
+
+
+@query("""select event_type, 1.0::double as m0, 0.0::double as m1, round(avg(pow(d, 2)), 3) as m2, round(avg(pow(d, 3)), 0) as m3, round(avg(pow(d, 4)), -3) as m4
+ from (select event_type, value - avg(value) over (partition by event_type) as d from events) group by event_type""")
+def central_moments(spark, sf_dir):
+    m = C.central_moments(F.col("value"))
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(c, d).alias(f"m{k}") for k, (c, d) in enumerate(zip(m, (4, 4, 3, 0, -3)))))
+
+
+@query(f"""with {P}, c as (select user_id, case when (value - 40) * lag(value - 40) over (partition by user_id order by pos) < 0 then 1 else 0 end as x from p)
+ select user_id, round(sum(x) / (count(*) - 1)::double, 4) as zcr from c group by user_id""")
+def zero_crossing_rate(spark, sf_dir):
+    df = _users(spark, sf_dir).df.withColumn("x", C.crossing(F.col("value") - 40, _IN_ORDER))
+    return df.groupBy("user_id").agg(r4(F.try_divide(F.sum("x").cast("double"), F.count("*") - 1)).alias("zcr"))
+
+
+@query(f"with {P} select user_id, pos, round(value / greatest(max(value) over (partition by user_id), -min(value) over (partition by user_id)), 4) as v from p")
+def normalize_signal(spark, sf_dir):
+    return _users(spark, sf_dir).df.select("user_id", "pos", r4(C.normalized(F.col("value"), _BY_USER)).alias("v"))
+
+
+@query(f"with {P}, b as (select user_id, min(pos) as a, max(pos) as z from p where value > 30 group by user_id) select p.user_id, pos, value from p join b on p.user_id = b.user_id and pos between a and z")
+def trim_signal(spark, sf_dir):
+    loud = F.when(F.col("value") > 30, F.col("pos"))
+    df = _users(spark, sf_dir).df.withColumn("_a", F.min(loud).over(_BY_USER)).withColumn("_z", F.max(loud).over(_BY_USER))
+    return df.where(F.col("pos").between(F.col("_a"), F.col("_z"))).select("user_id", "pos", "value")
+
+
+@query(f"with {P}, g as (select distinct user_id, n, unnest(range(0, (n // 2)::bigint)) as j from p), q as (select user_id, j, case when n // 2 > 1 then j * (n - 1)::double / (n // 2 - 1) else 0 end as t from g) select q.user_id, q.j as pos, round(a.value + (b.value - a.value) * (t - floor(t)) + 1e-6, 4) as v from q join p a on a.user_id = q.user_id and a.pos = floor(t)::bigint join p b on b.user_id = q.user_id and b.pos = least(floor(t)::bigint + 1, b.n - 1)")
+def resample_signal(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().withColumn("v", series.resized(F.col("value"), F.floor(F.size("value") / 2).cast("int")))
+    return a.select("user_id", F.posexplode("v").alias("pos", "v")).select("user_id", F.col("pos").cast("long"), r4(F.col("v") + 1e-6).alias("v"))
+
+
+@query("select l_orderkey, l_linenumber, round(abs(l_quantity) + abs(l_discount) + abs(l_tax), 4) as sma, round(sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax), 4) as magnitude from lineitem")
+def sma_magnitude(spark, sf_dir):
+    c = [F.col(x) for x in ("l_quantity", "l_discount", "l_tax")]
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r4(C.signal_magnitude_area(*c)).alias("sma"), r4(C.magnitude(*c)).alias("magnitude"))
+
+
+@query(f"""with {P}, v as (select user_id, pos, value from p union all select user_id, max(n), 0.0 from p group by user_id),
+ w as (select user_id, pos, sqrt(sum(value * value) over (partition by user_id order by pos rows between 5 preceding and 4 following) / 10) as r, max(pos) over (partition by user_id) as n from v)
+ select user_id, cast(pos / 5 as bigint) as frame, round(r, 4) as v from w where pos % 5 = 0 and pos <= n""")
+def rolling_rms(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().withColumn("v", series.rolling_rms(F.col("value"), 10, 5))
+    return a.select("user_id", F.posexplode("v").alias("frame", "v")).select("user_id", F.col("frame").cast("long"), r4("v").alias("v"))
+
+
+@query(f"""with {P}, w as (select user_id, pos, value, n, unnest(range(greatest(0, ceil((pos - 9) / 5.0))::bigint, (pos // 5 + 1)::bigint)) as frame from p)
+ select user_id, frame, max(value) as peak, count(*) as n from w where frame * 5 + 10 <= n group by user_id, frame""")
+def frame_signal(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().select("user_id", F.posexplode(series.frames(F.col("value"), 10, 5)).alias("frame", "x"))
+    return a.select("user_id", F.col("frame").cast("long"), F.array_max("x").alias("peak"), F.size("x").cast("long").alias("n"))
+
+
+@query(f"with {P} select user_id, cast(pos // 16 as bigint) as chunk, round(sum(value), 2) as total, count(*) as n from p group by user_id, pos // 16")
+def create_chunks(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().select("user_id", F.posexplode(series.chunks(F.col("value"), 16)).alias("chunk", "x"))
+    return a.select("user_id", F.col("chunk").cast("long"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 2).alias("total"), F.size("x").cast("long").alias("n"))
+
+
+@query(f"""with {P}, i as (select user_id, pos, pos - row_number() over (partition by user_id order by pos) as g from p where value > 20)
+ select user_id, min(pos) as start, max(pos) + 1 as "end" from i group by user_id, g""")
+def continuous_events(spark, sf_dir):
+    df = _users(spark, sf_dir).df.withColumn("p", events.above(F.col("value"), 20.0))
+    return events.runs(df, ["user_id"], "p")
+
+
+_RUNS = """{n} as (select user_id, min(pos) as s, max(pos) + 1 as e from (select user_id, pos, pos - row_number() over (partition by user_id order by pos) as g from p where {c}) group by user_id, g)"""
+
+
+@query(f"""with {P}, {_RUNS.format(n="a", c="value > 20")}, {_RUNS.format(n="b", c="value > 25")},
+ j as (select a.user_id, a.s, a.e, coalesce(max(case when least(a.e, b.e) > greatest(a.s, b.s) then (least(a.e, b.e) - greatest(a.s, b.s))::double / ((a.e - a.s) + (b.e - b.s) - (least(a.e, b.e) - greatest(a.s, b.s))) end), 0) as iou from a left join b on a.user_id = b.user_id and a.s < b.e and b.s < a.e group by a.user_id, a.s, a.e),
+ c as (select user_id, count(*) filter (iou = 0) as i, count(*) filter (iou > 0 and iou < 0.5) as d, count(*) filter (iou >= 0.5) as c from j group by user_id)
+ select user_id, i as insertions, c as corrects, 0::bigint as substitutions, d as deletions, round(case when d + c > 0 then c::double / (d + c) else 0 end, 4) as dr, round(case when c + i > 0 then c::double / (c + i) else 0 end, 4) as reliability, round(case when d + c > 0 then (d + i)::double / (d + c) else 0 end, 4) as erer from c""")
+def interval_scores(spark, sf_dir):
+    u = _users(spark, sf_dir).df
+
+    def found(threshold):
+        r = events.runs(u.withColumn("p", events.above(F.col("value"), threshold)), ["user_id"], "p")
+        return r.withColumn("cls", F.lit(1)).withColumn("id", F.col("start"))
+
+    s = events.scores(events.classified(found(20.0), found(25.0), ["user_id"], 0.5), ["user_id"])
+    return s.withColumns({c: r4(c) for c in ("dr", "reliability", "erer")})
+
+
+@query("""with q as (select user_id, event_type, avg(value / 500) as m, stddev_pop(value / 500) as sd from events group by user_id, event_type)
+ select user_id, arg_max(event_type, m) as predicted, round(max(m), 4) as mean_pred, round(arg_max(sd, m), 4) as std from q group by user_id""")
+def prediction_summary(spark, sf_dir):
+    q = _table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg(F.col("value") / 500).alias("m"), F.stddev_pop(F.col("value") / 500).alias("sd"))
+    return q.groupBy("user_id").agg(F.max_by("event_type", "m").alias("predicted"), r4(F.max("m")).alias("mean_pred"), r4(F.max_by("sd", "m")).alias("std"))
+
+
+_PAIRS = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1 :]]
+
+
+@query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 4) as r from lineitem" for a, b in _PAIRS))
+def correlation_pearson(spark, sf_dir):
+    return eda.correlation(_table(spark, sf_dir, "lineitem"), CHANNELS).withColumn("r", r4("r"))
+
+
+@query("with k as (select rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0 as x, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2.0 as y from part) select 'p_size' as a, 'p_retailprice' as b, round(corr(x, y), 4) as r from k")
+def correlation_spearman(spark, sf_dir):
+    return eda.correlation(_table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], "spearman").withColumn("r", r4("r"))
+
+
+@query("select l_orderkey, l_linenumber from (select *, stddev_pop(l_extendedprice) over w as s, avg(l_extendedprice) over w as m from lineitem window w as (partition by l_returnflag)) where abs((l_extendedprice - m) / nullif(s, 0)) < 2")
+def outliers_z_score(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem")
+    return df.withColumn("_k", eda.z_score_kept(["l_extendedprice"], "l_returnflag", 2)).where("_k").select("l_orderkey", "l_linenumber")
+
+
+@query("with q as (select event_type, quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events group by event_type) select event_id, e.event_type, value from events e join q using (event_type) where value between a - 1.5 * (b - a) and b + 1.5 * (b - a)")
+def outliers_iqr(spark, sf_dir):
+    return eda.iqr_kept(_table(spark, sf_dir, "events").select("event_id", "event_type", "value"), ["value"], "event_type")
+
+
+@query("select event_id, round((value - avg(value) over ()) / stddev_pop(value) over (), 4) as value from events")
+def standard_scaler(spark, sf_dir):
+    return eda.standardized(_table(spark, sf_dir, "events").select("event_id", "value"), ["value"]).withColumn("value", r4("value"))
+
+
+@query("select event_id, round((value - min(value) over ()) / (max(value) over () - min(value) over ()) * 2 - 1, 4) as value from events")
+def min_max_scaler(spark, sf_dir):
+    return eda.min_max_scaled(_table(spark, sf_dir, "events").select("event_id", "value"), ["value"], -1, 1).withColumn("value", r4("value"))
+
+
+@query("select event_id, dense_rank() over (order by event_type) - 1 as code from events")
+def label_encoder(spark, sf_dir):
+    df = _table(spark, sf_dir, "events")
+    return df.join(eda.label_codes(df, "event_type").withColumnRenamed("label", "event_type"), "event_type").select("event_id", F.col("code").cast("long").alias("code"))
+
+
+@query(f"with {P} select user_id, pos, pos < floor(round(n * 0.8, 9)) as train from p")
+def train_test_split(spark, sf_dir):
+    return _users(spark, sf_dir).split(0.2, by=["user_id"]).select("user_id", "pos", "train")
+
+
+@query(f"with {P} select a.user_id, a.pos, a.value, round(b.value * 2, 4) as doubled from p a join p b on a.user_id = b.user_id and a.pos = b.pos")
+def concat_channels(spark, sf_dir):
+    a = _users(spark, sf_dir)
+    b = series.SeriesFrame(a.df.select("user_id", "pos", r4(F.col("value") * 2).alias("doubled")), a.key, ("doubled",))
+    return a.beside(b).df.select("user_id", "pos", "value", "doubled")
+
+
+@query(f"with {P} select user_id, cast(floor(pos / 10) as bigint) as batch, count(*) as n, round(sum(value), 2) as total from p group by user_id, floor(pos / 10)")
+def batches(spark, sf_dir):
+    return _users(spark, sf_dir).batches(10).groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"with {P} select user_id, pos, value as signal from p where pos between 5 and 9")
+def select_rows(spark, sf_dir):
+    return _users(spark, sf_dir).iloc(5, 10).rename({"value": "signal"}).df.select("user_id", "pos", "signal")
+
+
+@query("select event_type, round(20 * log10(sqrt(avg(value * value)) / 32768), 4) as dbfs from events group by event_type")
+def loudness(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(r4(C.dbfs(F.col("value"), 2)).alias("dbfs"))
+
+
+@query(f"with {P}, d as (select user_id, pos, 10 * log10(greatest(value, 1e-10)) as v from p) select user_id, pos, round(greatest(v, max(v) over (partition by user_id) - 10), 4) as v from d")
+def decibels(spark, sf_dir):
+    return _users(spark, sf_dir).df.select("user_id", "pos", r4(C.power_to_db(F.col("value"), top_db=10.0, window=_BY_USER)).alias("v"))
+
+
+@query(f"with {P} select user_id, pos, round(avg(value) over (partition by user_id, pos // 4), 4) as v from p")
+def pooled(spark, sf_dir):
+    return _users(spark, sf_dir).df.select("user_id", "pos", r4(augment.pooled(F.col("value"), 4, ["user_id"])).alias("v"))
+
+
+@query(f"with {P} select user_id, n - 1 - pos as pos, -value as v from p")
+def reversed_inverted(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().select("user_id", F.posexplode(augment.reversed_time(F.col("value"))).alias("pos", "v"))
+    return a.select("user_id", F.col("pos").cast("long"), augment.polarity_inverted(F.col("v")).alias("v"))
+
+
+@query(f"with recursive {P}, s as (select user_id, pos, value as m, n from p where pos = 0 union all select p.user_id, p.pos, 0.9 * s.m + 0.1 * p.value, p.n from s join p on p.user_id = s.user_id and p.pos = s.pos + 1) select user_id, pos, round(m + 1e-6, 4) as v from s")
+def one_pole_smoother(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().select("user_id", F.posexplode(C.one_pole(F.col("value"), 0.1)).alias("pos", "v"))
+    return a.select("user_id", F.col("pos").cast("long"), r4(F.col("v") + 1e-6).alias("v"))
+
+
+@query(f"with {DFT} select vec_id, k as pos, round(mag, 4) as v from m")
+def fft_magnitude(spark, sf_dir):
+    out = _long(_signals(spark, sf_dir).withColumn("y", signal.fft_magnitude(F.col("x"))), "y")
+    return out.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with {DFT}, c as (select vec_id, sum(k * mag) / sum(mag) as c, sum(mag) as t from m group by vec_id) select vec_id, round(c, 4) as centroid, round(sqrt(sum((k - c) * (k - c) * mag) / any_value(t)), 4) as spread from m join c using (vec_id) group by vec_id, c")
+def spectral_shape(spark, sf_dir):
+    s = signal.spectral_features(F.col("x"), 64.0, high=32)
+    return _signals(spark, sf_dir).withColumn("s", s).select("vec_id", r4("s.centroid").alias("centroid"), r4("s.spread").alias("spread"))
+
+
+@query(f"with {E}, f as (select vec_id, sum(x) over w as s, pos from e window w as (partition by vec_id order by pos rows between 2 preceding and 2 following)) select vec_id, pos, round(list_sort([coalesce(lag(x, 1) over w, x), x, coalesce(lead(x, 1) over w, x)])[2], 4) as v from e window w as (partition by vec_id order by pos)")
+def median_filter(spark, sf_dir):
+    return _long(_signals(spark, sf_dir).withColumn("y", signal.median_filter(F.col("x"), 3)), "y").withColumn("pos", F.col("pos").cast("long"))
+
+
+def _rows_only(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    _QUERIES[name] = (lambda spark, sf_dir: make(_signals(spark, sf_dir)), None)
+
+
+_X = F.col  # columns are made when a query runs
+for _name, _make in {
+    "butterworth_lowpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "lowpass", 10.0, 4, samples=64)), "y"),
+    "butterworth_bandpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "bandpass", (5.0, 12.0), 2, "sosfiltfilt")), "y"),
+    "gaussian_filter": lambda d: _long(d.withColumn("y", signal.gaussian_filter(_X("x"), 1.0, samples=64)), "y"),
+    "hilbert_envelope": lambda d: _long(d.withColumn("y", signal.envelope(_X("x"))), "y"),
+    "instantaneous_frequency": lambda d: _long(d.withColumn("y", signal.instantaneous_frequency(_X("x"), 64.0)), "y"),
+    "spectral_values": lambda d: d.withColumn("s", signal.spectral_features(_X("x"), 64.0, high=32)).select("vec_id", "s.*"),
+    "dominant_frequency": lambda d: d.select("vec_id", signal.dominant_frequency(_X("x"), 64.0).alias("v")),
+    "welch_density": lambda d: _long(d.withColumn("y", signal.welch_density(_X("x"), 64.0, 32)), "y"),
+    "power_spectral_density": lambda d: _long(d.withColumn("y", signal.band_powers(_X("x"), 64.0, [(0, 8), (8, 16), (16, 32)])), "y"),
+    "delta": lambda d: _long(d.withColumn("y", signal.delta(_X("x"))), "y"),
+    "stft_magnitude": lambda d: d.select("vec_id", F.posexplode(signal.stft_magnitude(_X("x"), 16, 4)).alias("bin", "v")),
+    "stft_round_trip": lambda d: _long(d.withColumn("y", signal.stft_round_trip(_X("x"), 16, 4)), "y"),
+    "melspectrogram": lambda d: d.select("vec_id", F.posexplode(signal.melspectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
+    "mfcc": lambda d: d.select("vec_id", F.posexplode(signal.mfcc(_X("x"), 64.0, 4, 16, 4, 6)).alias("coefficient", "v")),
+    "pcen": lambda d: _long(d.withColumn("y", signal.pcen(F.transform("x", lambda v: v * v))), "y"),
+    "hpss": lambda d: d.withColumn("h", signal.hpss(_X("x"), 16, 5)).select("vec_id", "h.*"),
+    "griffin_lim": lambda d: _long(d.withColumn("y", signal.griffin_lim(_X("x"), 16, 8)), "y"),
+    "time_stretch": lambda d: _long(d.withColumn("y", signal.time_stretch(_X("x"), 1.5, 16)), "y"),
+    "pitch_shift": lambda d: _long(d.withColumn("y", signal.pitch_shift(_X("x"), 3, 16)), "y"),
+    "resample_fft": lambda d: _long(d.withColumn("y", signal.resample(_X("x"), 48)), "y"),
+    "interpolate_spline": lambda d: _long(d.withColumn("y", signal.interpolate(_X("x"), 127)), "y"),
+    "convolve": lambda d: _long(d.withColumn("y", augment.convolved(_X("x"))), "y"),
+    "drift": lambda d: _long(d.withColumn("y", augment.drifted(_X("x"))), "y"),
+    "time_warp": lambda d: _long(d.withColumn("y", augment.time_warped(_X("x"))), "y"),
+    "crop": lambda d: _long(d.withColumn("y", augment.cropped(_X("x"), 16, _X("vec_id"))), "y"),
+}.items():
+    _rows_only(_name, _make)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"window_features": window_features}
+    return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"window_features": WINDOW_FEATURES}
+    return {k: sql for k, (_, sql) in _QUERIES.items() if sql}
