@@ -131,7 +131,7 @@ class Tree:
             for at in range(0, len(seen), NODES):
                 m = min(NODES, len(seen) - at)
                 a, z = np.searchsorted(where, (at, at + m))
-                by_byte = np.bincount((where[a:z] - at) * 256 + byte[a:z], n[a:z], m * 256).reshape(m, 256)
+                by_byte = np.bincount((where[a:z] - at) * 256 + byte[a:z], n[a:z], m * 256).astype(float).reshape(m, 256)
                 level = [by_byte.reshape(m, 1 << k, -1).sum(2) for k in range(9)]
                 ones = np.concatenate([level[k + 1][:, 1::2] for k in range(8)], axis=1)
                 total = np.concatenate(level[:8], axis=1)

@@ -119,11 +119,13 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
     done = [own.where(F.col("length") == length).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     pool = own.where(F.col("length") < length)
+    groups = 0
     for turn in range(ROUNDS):
         n = pool.count()
         if not n and turn:
             break
-        groups = max(1, -(-n // group))
+        # an eighth of the groups takes their emptiest bins, of `length` pieces each at most, so that tiny pieces meet too
+        groups = max(-(-n // (4 * group)), -(-groups // 8)) if turn else max(1, -(-n // group))
         last = groups == 1 or turn == ROUNDS - 1
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
