@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(x: Column, window: Window = Window.partitionBy(F.lit(0))) -> Column:
+def average_rank(x: Column) -> Column:
     """Rank with ties sharing their mean."""
     ties = F.count("*").over(Window.partitionBy(x))
-    return F.rank().over(window.orderBy(x)) + (ties - 1) / 2
+    return F.rank().over(Window.orderBy(x)) + (ties - 1) / 2
 
 
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:

@@ -51,8 +51,9 @@ def _long(df: DataFrame, column: str, key: str = "vec_id", pos: str = "pos", val
     return df.select(key, F.posexplode(column).alias(pos, value)).withColumn(value, r4(value))
 
 
-_BY_USER = Window.partitionBy("user_id")
-_IN_ORDER = _BY_USER.orderBy("pos")
+def _by_user():
+    return Window.partitionBy("user_id")
+
 
 WINDOW_FEATURES = f"""
 with {P}, w as (select user_id, cast(floor(pos / 5.0) as bigint) - k.k as win, value, n from p cross join (select * from (values (0), (1), (2), (3)) t(k)) k)
@@ -88,19 +89,19 @@ def central_moments(spark, sf_dir):
 @query(f"""with {P}, c as (select user_id, case when (value - 40) * lag(value - 40) over (partition by user_id order by pos) < 0 then 1 else 0 end as x from p)
  select user_id, round(sum(x) / (count(*) - 1)::double, 4) as zcr from c group by user_id""")
 def zero_crossing_rate(spark, sf_dir):
-    df = _users(spark, sf_dir).df.withColumn("x", C.crossing(F.col("value") - 40, _IN_ORDER))
+    df = _users(spark, sf_dir).df.withColumn("x", C.crossing(F.col("value") - 40, _by_user().orderBy("pos")))
     return df.groupBy("user_id").agg(r4(F.try_divide(F.sum("x").cast("double"), F.count("*") - 1)).alias("zcr"))
 
 
 @query(f"with {P} select user_id, pos, round(value / greatest(max(value) over (partition by user_id), -min(value) over (partition by user_id)), 4) as v from p")
 def normalize_signal(spark, sf_dir):
-    return _users(spark, sf_dir).df.select("user_id", "pos", r4(C.normalized(F.col("value"), _BY_USER)).alias("v"))
+    return _users(spark, sf_dir).df.select("user_id", "pos", r4(C.normalized(F.col("value"), _by_user())).alias("v"))
 
 
 @query(f"with {P}, b as (select user_id, min(pos) as a, max(pos) as z from p where value > 30 group by user_id) select p.user_id, pos, value from p join b on p.user_id = b.user_id and pos between a and z")
 def trim_signal(spark, sf_dir):
     loud = F.when(F.col("value") > 30, F.col("pos"))
-    df = _users(spark, sf_dir).df.withColumn("_a", F.min(loud).over(_BY_USER)).withColumn("_z", F.max(loud).over(_BY_USER))
+    df = _users(spark, sf_dir).df.withColumn("_a", F.min(loud).over(_by_user())).withColumn("_z", F.max(loud).over(_by_user()))
     return df.where(F.col("pos").between(F.col("_a"), F.col("_z"))).select("user_id", "pos", "value")
 
 
@@ -238,7 +239,7 @@ def loudness(spark, sf_dir):
 
 @query(f"with {P}, d as (select user_id, pos, 10 * log10(greatest(value, 1e-10)) as v from p) select user_id, pos, round(greatest(v, max(v) over (partition by user_id) - 10), 4) as v from d")
 def decibels(spark, sf_dir):
-    return _users(spark, sf_dir).df.select("user_id", "pos", r4(C.power_to_db(F.col("value"), top_db=10.0, window=_BY_USER)).alias("v"))
+    return _users(spark, sf_dir).df.select("user_id", "pos", r4(C.power_to_db(F.col("value"), top_db=10.0, window=_by_user())).alias("v"))
 
 
 @query(f"with {P} select user_id, pos, round(avg(value) over (partition by user_id, pos // 4), 4) as v from p")
