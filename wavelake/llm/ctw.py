@@ -37,7 +37,7 @@ END = "\n"
 #: Contexts whose nodes are worked out at once, on the driver.
 NODES = 4096
 #: Bytes that are looked up at once, and distinct words that a task keeps before it passes counts on.
-CHUNK, KEPT = 1 << 22, 500_000
+CHUNK, KEPT = 1 << 20, 250_000
 
 
 def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ def counts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataF
         seen: Counter = Counter()
         keys, sums = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
                 texts = [t or "" for t in b.column(0).to_pylist()]
                 for t in texts:
                     seen.update(words(fold(t)))
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         hot, model = given.value
         log = dict(zip(hot["token"].to_pylist(), np.log10(hot["n"].to_numpy() + 0.1).tolist()))
         for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 out = []
                 for t in texts:
