@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from . import series
 from .signal import on_arrays
 
 
@@ -27,6 +28,20 @@ def white_noise(x: Column, factor: float, key: list[str], pos: str = "pos", seed
     return x + factor * F.stddev_pop(x).over(Window.partitionBy(*key)) * normal(*map(F.col, key), F.col(pos), seed=seed)
 
 
+def noise(x: Column, key: list[str], pos: str = "pos", loc: float = 0.0, scale: float = 0.1, distribution: str = "gaussian", kind: str = "additive", relative: bool = True, seed: int = 0) -> Column:
+    """Gaussian, Laplace or uniform noise, added or multiplied (as 1 + noise); relative to the range of the series if so asked."""
+    of = (*map(F.col, key), F.col(pos))
+    u = uniform(*of, seed=seed) - 0.5
+    draw = {"gaussian": lambda: normal(*of, seed=seed), "laplace": lambda: -F.signum(u) * F.log(1 - 2 * F.abs(u) + 1e-300), "uniform": lambda: 2 * u}[distribution]()
+    made = loc + scale * draw
+    if kind == "multiplicative":
+        return x * (1 + made)
+    if kind != "additive":
+        raise ValueError(f"unknown kind {kind}")
+    w = Window.partitionBy(*key)
+    return x + made * (F.max(x).over(w) - F.min(x).over(w)) if relative else x + made
+
+
 def random_gain(x: Column, key: list[str], low: float = 0.1, high: float = 0.12, seed: int = 0) -> Column:
     return x * (low + (high - low) * uniform(*map(F.col, key), seed=seed))
 
@@ -48,11 +63,27 @@ def quantized(x: Column, levels: int, key: list[str]) -> Column:
     return a + (F.least(step, F.lit(levels - 1)) + 0.5) * (b - a) / levels
 
 
-def dropped_out(x: Column, p: float, key: list[str], pos: str = "pos", fill: float | None = None, seed: int = 0) -> Column:
-    """Samples dropped with probability p; filled with a value, or with the last kept one."""
-    kept = F.when(uniform(*map(F.col, key), F.col(pos), seed=seed) >= p, x)
+def quantized_by_rank(df: DataFrame, column: str, levels: int, key: list[str]) -> DataFrame:
+    """Levels of equally many samples in each series, each sample at the mean of its level."""
+    level = F.least(F.floor(F.percent_rank().over(Window.partitionBy(*key).orderBy(column)) * levels), F.lit(levels - 1))
+    return df.withColumn("_level", level).withColumn(column, F.avg(column).over(Window.partitionBy(*key, "_level"))).drop("_level")
+
+
+def quantized_kmeans(x: Column, levels: int) -> Column:
+    """On arrays: each sample at the mean of its cluster."""
+    return on_arrays(lambda v: K.quantized_kmeans(v, levels))(x)
+
+
+def dropped_out(x: Column, p: float, key: list[str], pos: str = "pos", fill: float | str = "ffill", size: int = 1, seed: int = 0) -> Column:
+    """Runs of `size` samples dropped with probability p; filled with a value, the last kept one (ffill), the next kept one (bfill) or the mean of the kept ones."""
+    kept = F.when(uniform(*map(F.col, key), F.floor(F.col(pos) / size), seed=seed) >= p, x)
     w = Window.partitionBy(*key).orderBy(pos)
-    return F.coalesce(kept, F.lit(fill)) if fill is not None else F.coalesce(F.last(kept, ignorenulls=True).over(w), F.first(kept, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    past, coming = F.last(kept, ignorenulls=True).over(w), F.first(kept, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    if fill == "mean":
+        return F.coalesce(kept, F.avg(kept).over(Window.partitionBy(*key)))
+    if isinstance(fill, str):
+        return {"ffill": F.coalesce(past, coming), "bfill": F.coalesce(coming, past)}[fill]
+    return F.coalesce(kept, F.lit(fill))
 
 
 def cropped(x: Column, size: int, *of: Column, seed: int = 0) -> Column:
@@ -93,6 +124,22 @@ def time_warped(x: Column, changes: int = 3, ratio: float = 3.0, seed: int = 0)
     return on_arrays(warp)(x)
 
 
+def resized(x: Column, size: int) -> Column:
+    """On arrays: linear interpolation to `size` samples."""
+    return series.resized(x, F.lit(size))
+
+
+def parts(x: Column, length: int, repeats: int | None = None) -> Column:
+    """On arrays: consecutive full stretches of `length` samples, the first `repeats` of them or all."""
+    full = F.floor(F.size(x) / length).cast("int")
+    return F.slice(series.frames(x, length, length), 1, F.least(full, F.lit(repeats)) if repeats is not None else F.greatest(full, F.lit(0)))
+
+
+def maybe(changed: Column, x: Column, prob: float, *of: Column, seed: int = 0) -> Column:
+    """The changed value with probability `prob`, decided once for each value of the given columns."""
+    return F.when(uniform(*of, seed=seed) < prob, changed).otherwise(x)
+
+
 def augmented(df: DataFrame, steps: list[Callable[[DataFrame, int], DataFrame]], repeats: int = 1) -> DataFrame:
     """The original (repeat 0) and `repeats` copies, each put through all steps in turn with its own seed."""
     copies = [reduce(lambda d, f, k=k: f(d, k), steps, df).withColumn("repeat", F.lit(k)) for k in range(1, repeats + 1)]

@@ -41,6 +41,18 @@ def highly_correlated(df: DataFrame, columns: list[str], threshold: float = 0.75
     return [c for c in columns if c in hit]
 
 
+def keep_highly_correlated(df: DataFrame, columns: list[str], threshold: float = 0.75, method: str = "pearson") -> DataFrame:
+    """Only those of the columns that `highly_correlated` names, beside all others."""
+    kept = highly_correlated(df, columns, threshold, method)
+    return df.select(*(c for c in df.columns if c in kept or c not in columns))
+
+
+def redundant(df: DataFrame, columns: list[str], threshold: float = 0.75) -> list[str]:
+    """Columns that correlate with an earlier one at the threshold or more."""
+    hit = {r.b for r in correlation(df, columns).where(F.abs("r") >= threshold).collect()}
+    return [c for c in columns if c in hit]
+
+
 def z_score_kept(columns: list[str], by: str, threshold: float = 3) -> Column:
     """Whether all values lie within `threshold` standard deviations of their class; a constant column keeps nothing."""
     w = Window.partitionBy(by)
@@ -77,3 +89,53 @@ def min_max_scaled(df: DataFrame, columns: list[str], low: float = 0.0, high: fl
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Codes of the sorted labels: (label, code)."""
     return df.select(F.col(column).alias("label")).where("label is not null").distinct().withColumn("code", F.row_number().over(Window.orderBy("label")) - 1)
+
+
+def label_decoded(df: DataFrame, codes: DataFrame, code: str, into: str) -> DataFrame:
+    """The inverse of `label_codes`: the label of each code."""
+    return df.join(codes.select(F.col("code").alias("_code"), F.col("label").alias(into)), F.col(code) == F.col("_code"), "left").drop("_code")
+
+
+def imputed(df: DataFrame, columns: list[str], sentinel: float | None = None) -> DataFrame:
+    """Nulls, and `sentinel` if one is given, become the mean of the other values."""
+    sound = lambda c: F.when(F.col(c) != sentinel, F.col(c)) if sentinel is not None else F.col(c)
+    stats = df.agg(*(F.avg(sound(c)).alias(f"_{c}") for c in columns))
+    return df.crossJoin(F.broadcast(stats)).select(*(F.coalesce(sound(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))  # one row
+
+
+def quantile_transformed(df: DataFrame, column: str, quantiles: int = 1000, into: str | None = None) -> DataFrame:
+    """Values mapped to [0, 1] by the empirical distribution: `quantiles` exact landmarks, linear between them; equal landmarks give the middle of their range. The landmarks are one array of a bounded length."""
+    steps = [k / (quantiles - 1) for k in range(quantiles)]
+    marks = df.agg(F.percentile(column, F.array(*map(F.lit, steps))).alias("_m"))
+    x, m = F.col(column).cast("double"), F.col("_m")
+    low = F.size(F.filter(m, lambda v: v < x))
+    high = F.size(F.filter(m, lambda v: v <= x))
+    between = low - 1 + (x - F.get(m, low - 1)) / (F.get(m, low) - F.get(m, low - 1))
+    place = F.when(high > low, (low + high - 1) / 2).when(low == 0, 0.0).when(low == quantiles, float(quantiles - 1)).otherwise(between)
+    ends = F.when(x <= F.get(m, F.lit(0)), 0.0).when(x >= F.get(m, F.lit(quantiles - 1)), 1.0).otherwise(place / float(quantiles - 1))
+    name = into or column
+    return df.crossJoin(F.broadcast(marks)).withColumn(name, F.when(x.isNotNull(), ends)).drop("_m")  # one row
+
+
+def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(truth, predicted, n) of the pairs that occur."""
+    return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(label, precision, recall, f1, support) of each label that occurs on either side."""
+    both = confusion_matrix(df, truth, predicted)
+    sides = both.select(F.inline(F.array(
+        F.struct(F.col("truth").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("named"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("named"), F.lit(0).cast("long").alias("hit")),
+    )))
+    own = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("named").alias("named"), F.sum("hit").alias("hit"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    hit = F.col("hit")
+    return own.select("label", ratio(hit, F.col("named")).alias("precision"), ratio(hit, F.col("support")).alias("recall"), ratio(2 * hit, F.col("named") + F.col("support")).alias("f1"), "support")
+
+
+def regression_report(df: DataFrame, truth: str, predicted: str, by: list[str] = ()) -> DataFrame:
+    """(rmse, mae, r2) over all rows or each group."""
+    e = F.col(truth) - F.col(predicted)
+    return df.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop(truth))).alias("r2"))

@@ -101,6 +101,14 @@ class SeriesFrame:
         wide = self.df.withColumn("_n", n).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(self.pos) - size + 1) / step)), last)))
         return wide.where(F.col("win") * step + size <= F.col("_n")).withColumn("start", F.col("win") * step).drop("_n")
 
+    def rolling_windows(self, size: int, step: int, centred: bool = True) -> DataFrame:
+        """Windows that end (or have their centre) at positions 0, step, 2 * step, ...; only the full ones, numbered from the first of those that could exist."""
+        first = (1 + (size - 1) // 2 if centred else 1) - size
+        n = F.count("*").over(Window.partitionBy(*self.key))
+        low, high = F.ceil((F.col(self.pos) - size + 1 - first) / step), F.floor((F.col(self.pos) - first) / step)
+        wide = self.df.withColumn("_n", n).where(low <= high).withColumn("win", F.explode(F.sequence(low, high))).withColumn("start", F.col("win") * step + first)
+        return wide.where((F.col("start") >= 0) & (F.col("start") + size <= F.col("_n"))).drop("_n")
+
 
 def frames(x: Column, length: int, hop: int) -> Column:
     """Array form: an array of full frames."""

@@ -143,3 +143,30 @@ def interpolate(x: Column, n: int) -> Column:
 
 def envelope_peaks(x: Column, fs: float, **kw) -> Column:
     return on_arrays(lambda v: K.envelope_peaks(v, fs, **kw), "array<int>")(x)
+
+
+def mfcc_stats(x: Column, sr: float = 22050, n_mfcc: int = 13, n_fft: int = 2048, hop: int = 512, n_mels: int = 128) -> Column:
+    return on_arrays(lambda v: K.mfcc_stats(v, sr, n_mfcc, n_fft, hop, n_mels), "struct<mean: array<double>, std: array<double>, delta: array<double>, delta2: array<double>>")(x)
+
+
+def mel_round_trip(x: Column, sr: float = 22050, n_fft: int = 2048, hop: int = 512, n_mels: int = 128, n_iter: int = 32) -> Column:
+    """The signal rebuilt from its mel spectrogram."""
+    return on_arrays(lambda v: K.mel_to_audio(K.melspectrogram(v, sr, n_fft, hop, n_mels), sr, n_fft, hop, n_iter=n_iter, length=len(v)))(x)
+
+
+def spectrogram(x: Column, fs: float, nperseg: int = 256, noverlap: int | None = None, low: float = 0.0, high: float | None = None) -> Column:
+    """Magnitudes of full segments: (bin, segment)."""
+    return on_arrays(lambda v: rows(np.abs(K.plain_spectrogram(v, fs, nperseg, noverlap, None, low, high)[2])), MATRIX)(x)
+
+
+def power_spectrogram(x: Column, fs: float, nperseg: int = 256, noverlap: int | None = None, low: float = 0.0, high: float | None = None) -> Column:
+    """Powers of segments that reach over both ends: (bin, segment)."""
+    return on_arrays(lambda v: rows(np.abs(K.plain_spectrogram(v, fs, nperseg, noverlap, None, low, high, True)[2]) ** 2), MATRIX)(x)
+
+
+def bin_mel_spectrogram(x: Column, sr: float, n_fft: int = 2048, hop: int = 512, n_mels: int = 128) -> Column:
+    return on_arrays(lambda v: rows(K.bin_mel_spectrogram(v, sr, n_fft, hop, n_mels)), MATRIX)(x)
+
+
+def phase_power_ratio(x: Column, fs: float) -> Column:
+    return on_arrays(lambda v: K.phase_power_ratio(v, fs), "double")(x)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import augment, eda, events, series, signal
+from ..operators import augment, eda, events, pipelines, series, signal
 
 CHANNELS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -276,6 +276,235 @@ def median_filter(spark, sf_dir):
     return _long(_signals(spark, sf_dir).withColumn("y", signal.median_filter(F.col("x"), 3)), "y").withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(f"with {DFT}, t as (select vec_id, sum(mag) as t, sum(k * mag) / sum(mag) as c, sum(mag * mag * case when k in (0, 32) then 1 else 2 end) as pw, sum(k * mag * mag * case when k in (0, 32) then 1 else 2 end) / sum(mag * mag * case when k in (0, 32) then 1 else 2 end) as pm from m group by vec_id), s as (select m.*, t.*exclude(vec_id), sum(mag) over (partition by m.vec_id order by k) as run from m join t using (vec_id)) select vec_id, round(sum(pow(k - c, 3) * mag) / (pow(sqrt(sum(pow(k - c, 2) * mag) / any_value(t)), 3) * any_value(t)), 4) as skewness, round(sum(pow(k - c, 4) * mag) / (pow(sum(pow(k - c, 2) * mag) / any_value(t), 2) * any_value(t)), 4) as kurtosis, round(sqrt(sum(pow(k - pm, 2) * mag * mag * case when k in (0, 32) then 1 else 2 end) / any_value(pw)), 4) as bandwidth, (count(*) filter (run < 0.95 * t))::double as rolloff from s group by vec_id")
+def spectral_moments(spark, sf_dir):
+    s = signal.spectral_features(F.col("x"), 64.0, high=32)
+    return _signals(spark, sf_dir).withColumn("s", s).select("vec_id", r4("s.skewness").alias("skewness"), r4("s.kurtosis").alias("kurtosis"), r4("s.bandwidth").alias("bandwidth"), F.col("s.rolloff").alias("rolloff"))
+
+
+_WELCH = f"""{E}, g as (select vec_id, {{seg}} as seg, pos - {{hop}} * {{seg}} as j, x from e{{many}}), c as (select *, (x - avg(x) over (partition by vec_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * j / {{n}})) as y from g),
+ d as (select vec_id, seg, k.k as k, pow(sum(y * cos(2 * pi() * k.k * j / {{n}})), 2) + pow(sum(y * sin(2 * pi() * k.k * j / {{n}})), 2) as pw from c, (select unnest(range(0, {{n}} // 2 + 1)) as k) k group by vec_id, seg, k.k),
+ w as (select vec_id, k, avg(pw) * case when k in (0, {{n}} // 2) then 1 else 2 end / (64 * {{n}} * 0.375) as v from d group by vec_id, k)"""
+
+
+@query(f"with {_WELCH.format(seg='s.s', hop=16, n=32, many=', (select unnest(range(0, 3)) as s) s where pos between 16 * s.s and 16 * s.s + 31')} select vec_id, k as pos, round(v + 1e-9, 4) as v from w")
+def welch_density(spark, sf_dir):
+    return _long(_signals(spark, sf_dir).withColumn("y", F.transform(signal.welch_density(F.col("x"), 64.0, 32), lambda v: v + 1e-9)), "y").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with {_WELCH.format(seg='0', hop=0, n=64, many='')} select vec_id, arg_max(k, v)::double as v from w group by vec_id")
+def dominant_frequency(spark, sf_dir):
+    return _signals(spark, sf_dir).select("vec_id", signal.dominant_frequency(F.col("x"), 64.0).alias("v"))
+
+
+_NEAR = "select e.vec_id, e.pos, round(sum(b.x * {w}) + 1e-7, 4) as v from e, (select unnest(range({a}, {z})) as j) j join e b on b.vec_id = e.vec_id and b.pos = {at} group by e.vec_id, e.pos"
+
+
+def _filtered(spark, sf_dir, make):
+    y = F.transform(make(F.col("x")), lambda v: v + 1e-7)
+    return _long(_signals(spark, sf_dir).withColumn("y", y), "y").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with {E} {_NEAR.format(w='exp(-j.j * j.j / 2.0) / (select sum(exp(-i * i / 2.0)) from range(-4, 5) t(i))', a=-4, z=5, at='case when e.pos + j.j < 0 then -1 - e.pos - j.j when e.pos + j.j >= e.n then 2 * e.n - 1 - e.pos - j.j else e.pos + j.j end')}")
+def gaussian_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.gaussian_filter(x, 1.0, samples=64))
+
+
+@query(f"with {E} {_NEAR.format(w='(0.5 - 0.5 * cos(2 * pi() * (j.j + 3) / 6)) / 3', a=-3, z=4, at='least(greatest(e.pos + j.j, 0), e.n - 1)')}")
+def convolve(spark, sf_dir):
+    return _filtered(spark, sf_dir, augment.convolved)
+
+
+@query(f"with {E} {_NEAR.format(w='j.j / 60.0', a=-4, z=5, at='least(greatest(e.pos, 4), e.n - 5) + j.j')}")
+def delta(spark, sf_dir):
+    return _filtered(spark, sf_dir, signal.delta)
+
+
+@query(f"with {E} select a.vec_id, a.pos, round(sqrt(any_value(a.x) * any_value(a.x) + pow(sum(case when (a.pos - b.pos) % 2 <> 0 then b.x * 2 / a.n / tan(pi() * (a.pos - b.pos) / a.n) else 0 end), 2)) + 1e-7, 4) as v from e a join e b on a.vec_id = b.vec_id group by a.vec_id, a.pos")
+def hilbert_envelope(spark, sf_dir):
+    return _filtered(spark, sf_dir, signal.envelope)
+
+
+@query(f"with {E}, f as (select vec_id, f.f as frame, pos - 4 * f.f + 8 as j, x from e, (select unnest(range(0, 17)) as f) f where pos - 4 * f.f + 8 between 0 and 15), d as (select vec_id, k.k as bin, frame, sqrt(pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k.k * j / 16)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k.k * j / 16)), 2)) as v from f, (select unnest(range(0, 9)) as k) k group by vec_id, k.k, frame) select vec_id, bin, frame, round(v + 1e-7, 4) as v from d")
+def stft_magnitude(spark, sf_dir):
+    d = _signals(spark, sf_dir).select("vec_id", F.posexplode(signal.stft_magnitude(F.col("x"), 16, 4)).alias("bin", "y"))
+    return d.select("vec_id", F.col("bin").cast("long"), F.posexplode("y").alias("frame", "v")).select("vec_id", "bin", F.col("frame").cast("long"), r4(F.col("v") + 1e-7).alias("v"))
+
+
+@query(f"with {E}, f as (select vec_id, f.f as frame, pos - 8 * f.f as j, x from e, (select unnest(range(0, 7)) as f) f where pos - 8 * f.f between 0 and 15), d as (select vec_id, k.k as bin, frame, sqrt(pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k.k * j / 16)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k.k * j / 16)), 2)) / 8 as v from f, (select unnest(range(1, 5)) as k) k group by vec_id, k.k, frame) select vec_id, bin - 1 as bin, frame, round(v + 1e-7, 4) as v from d")
+def band_spectrogram(spark, sf_dir):
+    d = _signals(spark, sf_dir).select("vec_id", F.posexplode(signal.spectrogram(F.col("x"), 64.0, 16, None, 4.0, 16.0)).alias("bin", "y"))
+    return d.select("vec_id", F.col("bin").cast("long"), F.posexplode("y").alias("frame", "v")).select("vec_id", "bin", F.col("frame").cast("long"), r4(F.col("v") + 1e-7).alias("v"))
+
+
+@query(f"with recursive {E}, s as (select vec_id, pos, x * x as p, x * x as m from e where pos = 0 union all select e.vec_id, e.pos, e.x * e.x, 0.975 * s.m + 0.025 * e.x * e.x from s join e on e.vec_id = s.vec_id and e.pos = s.pos + 1) select vec_id, pos, round(sqrt(p / pow(1e-6 + m, 0.98) + 2) - sqrt(2) + 1e-7, 4) as v from s")
+def pcen(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.pcen(F.transform(x, lambda v: v * v)))
+
+
+@query(f"""with {P}, f as (select user_id, frame, j, least(greatest(frame * 5 + j - 5, 0), n - 1) as a, least(greatest(frame * 5 + j - 4, 0), n - 1) as b from (select distinct user_id, n, unnest(range(0, n // 5 + 1)) as frame from p), (select unnest(range(0, 9)) as j))
+ select f.user_id, frame, round(sum(case when (x.value < 40) <> (y.value < 40) then 1 else 0 end) / 10.0, 4) as v from f join p x on x.user_id = f.user_id and x.pos = f.a join p y on y.user_id = f.user_id and y.pos = f.b group by f.user_id, frame""")
+def rolling_zcr(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().withColumn("v", series.rolling_zcr(F.transform("value", lambda v: v - 40), 10, 5))
+    return a.select("user_id", F.posexplode("v").alias("frame", "v")).select("user_id", F.col("frame").cast("long"), r4("v").alias("v"))
+
+
+@query(f"""with {P}, v as (select user_id, pos, value from p union all select user_id, max(n), 0.0 from p group by user_id),
+ w as (select user_id, pos, sqrt(sum(value * value) over (partition by user_id order by pos rows between 5 preceding and 4 following) / 10) as r, max(pos) over (partition by user_id) as n from v)
+ select user_id, round(max(r), 4) as rms_max, round(avg(r), 4) as rms_mean, round(min(r), 4) as rms_min from w where pos % 5 = 0 and pos <= n group by user_id""")
+def rolling_rms_extremes(spark, sf_dir):
+    a = _users(spark, sf_dir).arrays().withColumn("v", series.rolling_rms(F.col("value"), 10, 5))
+    mean = F.aggregate("v", F.lit(0.0), lambda s, v: s + v) / F.size("v")
+    return a.select("user_id", r4(F.array_max("v")).alias("rms_max"), r4(mean).alias("rms_mean"), r4(F.array_min("v")).alias("rms_min"))
+
+
+@query(f"with {P}, k as (select unnest(range(0, 100)) as win) select user_id, win, win * 5 - 10 as start, round(sum(value), 2) as total, count(*) as n from p join k on pos between win * 5 - 10 and win * 5 + 9 where win * 5 - 10 >= 0 and win * 5 + 10 <= n group by user_id, win")
+def rolling_windows(spark, sf_dir):
+    return _users(spark, sf_dir).rolling_windows(20, 5).groupBy("user_id", "win").agg(F.first("start").alias("start"), F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
+
+
+@query(f"with {P}, w as (select user_id, cast(pos // 4 as bigint) as win, pos % 4 as t, value, n from p) select user_id, win, max(value) filter (t = 0) as \"0_value\", max(value) filter (t = 1) as \"1_value\", max(value) filter (t = 2) as \"2_value\", max(value) filter (t = 3) as \"3_value\" from w where win * 4 + 4 <= n group by user_id, win")
+def flattened_windows(spark, sf_dir):
+    w = _users(spark, sf_dir).windows(4).groupBy("user_id", "win").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s.value).alias("value"))
+    return pipelines.flattened(w, ["value"], 4, "_")
+
+
+@query(" union all ".join(f"select l_returnflag, '{n}' as feature, round({f.format('l_quantity')}, 4) as l_quantity, round({f.format('l_tax')}, 4) as l_tax from lineitem group by l_returnflag" for n, f in {"mean": "avg({})", "range_0": "min({})", "range_1": "max({})", "rms": "sqrt(avg({0} * {0}))"}.items()))
+def scalar_features(spark, sf_dir):
+    out = pipelines.scalar_features(_table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity", "l_tax"], {"mean": F.avg, "range": lambda x: [F.min(x), F.max(x)], "rms": C.rms})
+    return out.withColumns({c: r4(c) for c in ("l_quantity", "l_tax")})
+
+
+@query("select l_orderkey, l_linenumber, round(l_quantity / 50, 4) as l_quantity, round(l_quantity / 50 * l_quantity / 50, 4) as power from lineitem")
+def column_steps(spark, sf_dir):
+    chain = pipelines.Chain([pipelines.ColumnStep(("l_quantity",), lambda x: x / 50), pipelines.ColumnStep(("l_quantity",), lambda x: x * x, ("power",))])
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return chain.fit(df).transform(df).withColumns({c: r4(c) for c in ("l_quantity", "power")})
+
+
+@query("with m as (" + " union all ".join(f"select {i} as i, quantile_cont(value, {i / 10}) as lo, quantile_cont(value, {(i + 1) / 10}) as hi from events" for i in range(10)) + "), b as (select min(value) as a, max(value) as z from events) select event_id, round(case when value <= a then 0 when value >= z then 1 else (i + (value - lo) / (hi - lo)) / 10 end + 1e-7, 4) as value from events, b, m where (value >= lo and value < hi) or (i = 9 and value >= hi)")
+def quantile_transformer(spark, sf_dir):
+    out = eda.quantile_transformed(_table(spark, sf_dir, "events").select("event_id", "value"), "value", 11)
+    return out.withColumn("value", r4(F.col("value") + 1e-7))
+
+
+def _guessed(spark, sf_dir):
+    return _table(spark, sf_dir, "events").withColumn("predicted", F.when(F.col("value") < 100, "click").otherwise("view"))
+
+
+_GUESSED = "g as (select event_type as truth, case when value < 100 then 'click' else 'view' end as predicted from events)"
+
+
+@query(f"with {_GUESSED} select truth, predicted, count(*) as n from g group by truth, predicted")
+def confusion_matrix(spark, sf_dir):
+    return eda.confusion_matrix(_guessed(spark, sf_dir), "event_type", "predicted")
+
+
+@query(f"""with {_GUESSED}, l as (select truth as label from g union select predicted from g), c as (select label, (select count(*) from g where truth = label) as support, (select count(*) from g where predicted = label) as named, (select count(*) from g where truth = label and predicted = label) as hit from l)
+ select label, round(case when named > 0 then hit / named::double else 0 end, 4) as "precision", round(case when support > 0 then hit / support::double else 0 end, 4) as recall, round(case when named + support > 0 then 2 * hit / (named + support)::double else 0 end, 4) as f1, support from c""")
+def classification_report(spark, sf_dir):
+    return eda.classification_report(_guessed(spark, sf_dir), "event_type", "predicted").withColumns({c: r4(c) for c in ("precision", "recall", "f1")})
+
+
+@query("select l_returnflag, round(sqrt(avg(pow(l_extendedprice - l_quantity * 1000, 2))), 2) as rmse, round(avg(abs(l_extendedprice - l_quantity * 1000)), 2) as mae, round(1 - avg(pow(l_extendedprice - l_quantity * 1000, 2)) / var_pop(l_extendedprice), 4) as r2 from lineitem group by l_returnflag")
+def regression_report(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem").withColumn("guess", F.col("l_quantity") * 1000)
+    return eda.regression_report(df, "l_extendedprice", "guess", ["l_returnflag"]).withColumns({"rmse": F.round("rmse", 2), "mae": F.round("mae", 2), "r2": r4("r2")})
+
+
+@query("select event_id, round(case when value < 50 then (select avg(value) from events where value >= 50) else value end, 4) as value from events")
+def imputed(spark, sf_dir):
+    df = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") < 50, -200.0).otherwise(F.col("value")).alias("value"))
+    return eda.imputed(df, ["value"], -200.0).withColumn("value", r4("value"))
+
+
+@query("select event_id, event_type as label from events")
+def label_decoder(spark, sf_dir):
+    df = _table(spark, sf_dir, "events")
+    codes = eda.label_codes(df, "event_type")
+    coded = df.join(codes, df.event_type == codes.label).select("event_id", "code")
+    return eda.label_decoded(coded, codes, "code", "label").select("event_id", "label")
+
+
+@query("""with g as (select l_linenumber as x, l_quantity as y, count(*)::double as n from lineitem group by 1, 2), s as (select sum(sign(b.y - a.y) * a.n * b.n) as s from g a join g b on b.x > a.x), t as (select sum(n) * (sum(n) - 1) / 2 as t from g),
+ x as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from g group by x)), y as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from g group by y)) select round(s / sqrt((t.t - x.t) * (t.t - y.t)), 4) as tau from s, t, x, y""")
+def correlation_kendall(spark, sf_dir):
+    return eda.kendall(_table(spark, sf_dir, "lineitem"), "l_linenumber", "l_quantity").withColumn("tau", r4("tau"))
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, l_quantity * l_quantity as squared from lineitem")
+def keep_highly_correlated(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *CHANNELS, (F.col("l_quantity") * F.col("l_quantity")).alias("squared"))
+    return eda.keep_highly_correlated(df, [*CHANNELS, "squared"], 0.75)
+
+
+@query(f"""with {P}, i as (select user_id, pos, value, pos - row_number() over (partition by user_id order by pos) as g from p where value > 20), l as (select user_id, pos, value, count(*) over (partition by user_id, g) as k from i)
+ select p.user_id, p.pos, case when k >= 4 then p.value else 0 end as v from p left join l on l.user_id = p.user_id and l.pos = p.pos""")
+def duration_threshold(spark, sf_dir):
+    df = _users(spark, sf_dir).df.select("user_id", "pos", events.above(F.col("value"), 20.0).alias("v"))
+    return events.silenced(df, events.lasting(events.runs(df, ["user_id"], "v"), 8.0, 0.5), ["user_id"], "v").select("user_id", "pos", "v")
+
+
+@query("""with q as (select user_id, event_type, avg(value) / 2500 as p from events group by user_id, event_type) select user_id, round(sum(-p * log2(p + 1e-12)), 4) as entropy from q group by user_id""")
+def prediction_entropy(spark, sf_dir):
+    q = _table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((F.avg("value") / 2500).alias("p"))
+    s = events.prediction_statistics(q.select("user_id", F.lit(0).alias("repeat"), F.ascii("event_type").alias("cls"), "p"), instance="user_id")
+    return s.select("user_id", r4("entropy").alias("entropy"))
+
+
+@query("with r as (select regr_slope(l_extendedprice, l_quantity) as a, regr_intercept(l_extendedprice, l_quantity) as b from lineitem) select l_orderkey, l_linenumber, round(a * l_quantity + b, 2) as price from lineitem, r")
+def linear_regression(spark, sf_dir):
+    from pyspark.ml.regression import LinearRegression
+
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    step = pipelines.MLStep(LinearRegression(solver="normal"), ["l_quantity"], "l_extendedprice", "price").fit(df)
+    return step.transform(df).select("l_orderkey", "l_linenumber", F.round("price", 2).alias("price"))
+
+
+@query("""with m as (select avg(l_quantity) as a, avg(l_extendedprice / 1000) as b, var_pop(l_quantity) as x, var_pop(l_extendedprice / 1000) as y, covar_pop(l_quantity, l_extendedprice / 1000) as c from lineitem), e as (select *, (x + y) / 2 + sqrt(pow((x - y) / 2, 2) + c * c) as l from m),
+ v as (select *, c / sqrt(c * c + pow(l - x, 2)) as u, (l - x) / sqrt(c * c + pow(l - x, 2)) as w from e) select l_orderkey, l_linenumber, round((l_quantity - a) * u + (l_extendedprice / 1000 - b) * w + 1e-7, 3) as pc_0 from lineitem, v""")
+def principal_components(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("p"))
+    return pipelines.principal_components(df, ["q", "p"], 0.75).select("l_orderkey", "l_linenumber", F.round(F.col("pc_0") + 1e-7, 3).alias("pc_0"))
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    from pyspark.ml.clustering import KMeans
+
+    df = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(*(F.avg(c).alias(c) for c in CHANNELS))
+    return pipelines.MLStep(KMeans(k=4, seed=1), CHANNELS, prefix="cluster").fit(df).transform(df).select("l_suppkey", "cluster")
+
+
+@query()
+def random_forest(spark, sf_dir):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df = _table(spark, sf_dir, "lineitem").withColumn("late", (F.col("l_returnflag") == "N").cast("double"))
+    step = pipelines.MLStep(RandomForestClassifier(numTrees=5, maxDepth=4, seed=1), CHANNELS, "late", "predicted").fit(df)
+    return step.transform(df).select("l_orderkey", "l_linenumber", "late", "predicted")
+
+
+def _window_probabilities(spark, sf_dir):
+    """Two classes that sum to 1, from the signals as windows of a recording each."""
+    d = _signals(spark, sf_dir).select("vec_id", F.posexplode("x").alias("instance", "x"))
+    p = 1 / (1 + F.exp(-8 * F.col("x")))
+    return d.select("vec_id", "instance", F.lit(0).alias("repeat"), F.posexplode(F.array(p, 1 - p)).alias("cls", "p"))
+
+
+@query()
+def interpolated_probabilities(spark, sf_dir):
+    return events.interpolated(_window_probabilities(spark, sf_dir), ["vec_id", "cls"], 8.0, 1.0, 0.5)
+
+
+@query()
+def robustness_analysis(spark, sf_dir):
+    p = _window_probabilities(spark, sf_dir)
+    truth = events.runs(p.withColumn("v", events.above(F.col("p"), 0.6)), ["vec_id", "cls"], "v", "instance")
+    truth = truth.select("vec_id", "cls", (F.col("start") * 4).alias("start"), (F.col("end") * 4).alias("end"), (F.col("start") * 2 + F.col("cls")).alias("id"))
+    return events.robustness(p, truth, ["vec_id"], 8.0, 1.0, 0.5, 2.0, 0.55, 0.25)["scores"]
+
+
 def _rows_only(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = (lambda spark, sf_dir: make(_signals(spark, sf_dir)), None)
 
@@ -284,28 +513,28 @@ _X = F.col  # columns are made when a query runs
 for _name, _make in {
     "butterworth_lowpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "lowpass", 10.0, 4, samples=64)), "y"),
     "butterworth_bandpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "bandpass", (5.0, 12.0), 2, "sosfiltfilt")), "y"),
-    "gaussian_filter": lambda d: _long(d.withColumn("y", signal.gaussian_filter(_X("x"), 1.0, samples=64)), "y"),
-    "hilbert_envelope": lambda d: _long(d.withColumn("y", signal.envelope(_X("x"))), "y"),
     "instantaneous_frequency": lambda d: _long(d.withColumn("y", signal.instantaneous_frequency(_X("x"), 64.0)), "y"),
     "spectral_values": lambda d: d.withColumn("s", signal.spectral_features(_X("x"), 64.0, high=32)).select("vec_id", "s.*"),
-    "dominant_frequency": lambda d: d.select("vec_id", signal.dominant_frequency(_X("x"), 64.0).alias("v")),
-    "welch_density": lambda d: _long(d.withColumn("y", signal.welch_density(_X("x"), 64.0, 32)), "y"),
     "power_spectral_density": lambda d: _long(d.withColumn("y", signal.band_powers(_X("x"), 64.0, [(0, 8), (8, 16), (16, 32)])), "y"),
-    "delta": lambda d: _long(d.withColumn("y", signal.delta(_X("x"))), "y"),
-    "stft_magnitude": lambda d: d.select("vec_id", F.posexplode(signal.stft_magnitude(_X("x"), 16, 4)).alias("bin", "v")),
     "stft_round_trip": lambda d: _long(d.withColumn("y", signal.stft_round_trip(_X("x"), 16, 4)), "y"),
     "melspectrogram": lambda d: d.select("vec_id", F.posexplode(signal.melspectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
     "mfcc": lambda d: d.select("vec_id", F.posexplode(signal.mfcc(_X("x"), 64.0, 4, 16, 4, 6)).alias("coefficient", "v")),
-    "pcen": lambda d: _long(d.withColumn("y", signal.pcen(F.transform("x", lambda v: v * v))), "y"),
     "hpss": lambda d: d.withColumn("h", signal.hpss(_X("x"), 16, 5)).select("vec_id", "h.*"),
     "griffin_lim": lambda d: _long(d.withColumn("y", signal.griffin_lim(_X("x"), 16, 8)), "y"),
     "time_stretch": lambda d: _long(d.withColumn("y", signal.time_stretch(_X("x"), 1.5, 16)), "y"),
     "pitch_shift": lambda d: _long(d.withColumn("y", signal.pitch_shift(_X("x"), 3, 16)), "y"),
     "resample_fft": lambda d: _long(d.withColumn("y", signal.resample(_X("x"), 48)), "y"),
     "interpolate_spline": lambda d: _long(d.withColumn("y", signal.interpolate(_X("x"), 127)), "y"),
-    "convolve": lambda d: _long(d.withColumn("y", augment.convolved(_X("x"))), "y"),
     "drift": lambda d: _long(d.withColumn("y", augment.drifted(_X("x"))), "y"),
     "time_warp": lambda d: _long(d.withColumn("y", augment.time_warped(_X("x"))), "y"),
+    "mfcc_stats": lambda d: d.withColumn("s", signal.mfcc_stats(_X("x"), 64.0, 4, 16, 4, 6)).select("vec_id", "s.*"),
+    "mel_to_audio": lambda d: _long(d.withColumn("y", signal.mel_round_trip(_X("x"), 64.0, 16, 4, 6, 8)), "y"),
+    "power_spectrogram": lambda d: d.select("vec_id", F.posexplode(signal.power_spectrogram(_X("x"), 64.0, 16)).alias("bin", "v")),
+    "bin_mel_spectrogram": lambda d: d.select("vec_id", F.posexplode(signal.bin_mel_spectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
+    "phase_power_ratio": lambda d: d.select("vec_id", signal.phase_power_ratio(_X("x"), 8000.0).alias("v")),
+    "envelope_peaks": lambda d: d.select("vec_id", signal.envelope_peaks(_X("x"), 1000.0).alias("v")),
+    "quantize_kmeans": lambda d: _long(d.withColumn("y", augment.quantized_kmeans(_X("x"), 4)), "y"),
+    "resize": lambda d: _long(d.withColumn("y", augment.resized(_X("x"), 100)), "y"),
     "crop": lambda d: _long(d.withColumn("y", augment.cropped(_X("x"), 16, _X("vec_id"))), "y"),
 }.items():
     _rows_only(_name, _make)
