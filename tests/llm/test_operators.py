@@ -365,3 +365,21 @@ def test_defined_cases(spark, odd, none, labels, which):
     assert urls.judged(df.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), queries.URL_RULES).count() == n
     if which == "none":
         assert pivots.components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_context_tree_is_the_same_wherever_its_contexts_are(spark):
+    """With a table of 100 rows the deepest contexts are worked out in tasks and most of them joined by key."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r.doc_id: r for r in ctw.scored(docs).collect()}
+    apart = {r.doc_id: r for r in ctw.scored(docs, most_rows=100).collect()}
+    assert whole.keys() == apart.keys() and len(whole) > 100
+    for k, a in whole.items():
+        b = apart[k]
+        assert (a.n_tokens, a.n_known, a.held_out) == (b.n_tokens, b.n_known, b.held_out)
+        assert abs(a.score - b.score) <= 1e-5 * (1 + abs(a.score))
+
+
+def test_context_tree_stays_finite_after_very_many_equal_bytes():
+    tree = ctw.Tree(np.array([0xFF]), np.array([10**9]), 1)
+    score, _ = tree.score([b"\xff", b"\x00", b"\xfe"])
+    assert np.isfinite(score).all() and score[0] > -1e-6 and score[2] < -5

@@ -7,9 +7,12 @@ posterior weights of that mixture give, for each context, the probability of eac
 sum over a text is its code length.
 
 The counts come from all training texts: occurrences of byte (depth+1)-grams and of words are added up within tasks
-and then by key. The table of byte probabilities is broadcast only while it is below TABLE_ROWS contexts; beyond that,
-depth 2 is used, whose table cannot exceed 65,793 contexts. Of the vocabulary only the HOT_WORDS most frequent words
-are broadcast; all others are joined by key, so nothing that grows with the corpus is broadcast and no key is hot.
+and then by key. The model is the same at every size; what differs is where its deepest contexts are. Up to TABLE_ROWS
+contexts (and GRAMS grams) the driver works out the whole table. Beyond that the deepest contexts are worked out in
+tasks, in groups of those that share all bytes but the farthest (256 contexts at most), and a table of TABLE_ROWS of
+the most frequent ones is broadcast besides the shallower levels, which hold 65,793 contexts at most. What falls on the
+other contexts, like the words outside the HOT_WORDS most frequent ones, is joined by key. So nothing that grows with
+the corpus is broadcast and no joined key is hot.
 
 Defined cases: a null text is empty, and scores only its end in the base score and 0 in the model; without training
 texts every context is the uniform one; repeated rows and null ids (fold 0) are scored each; an empty table gives an
@@ -112,10 +115,22 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - np.log(np.pi) - _log_gamma(zeros + ones + 1)
 
 
+def _decisions(where: np.ndarray, byte: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate of a one and the log mass at each of the 255 decisions of `size` contexts."""
+    by_byte = np.bincount(where * 256 + byte, n, size * 256).astype(float).reshape(size, 256)
+    level = [by_byte.reshape(size, 1 << k, -1).sum(2) for k in range(9)]
+    ones = np.concatenate([level[k + 1][:, 1::2] for k in range(8)], axis=1)
+    total = np.concatenate(level[:8], axis=1)
+    return (ones + 0.5) / (total + 1), _kt(total - ones, ones)
+
+
 class Tree:
-    """Byte probabilities of each context seen: rows of `table` (log10), found by `rows_of`."""
+    """Byte probabilities of each context seen: rows of `table` (log10), found by `rows_of`.
+
+    `deeper` has the summed log masses of the contexts one level below the deepest here, a row for each deepest context
+    in rising order; `blend` then gives what the levels here add to the estimates there, and what share they leave."""
 
-    def __init__(self, grams: np.ndarray, number: np.ndarray, depth: int):
+    def __init__(self, grams: np.ndarray, number: np.ndarray, depth: int, deeper: np.ndarray | None = None):
         self.depth = depth
         grams = np.asarray(grams, np.int64)
         contexts, bits, weight, mass = [], [], [], []
@@ -131,22 +146,21 @@ class Tree:
             for at in range(0, len(seen), NODES):
                 m = min(NODES, len(seen) - at)
                 a, z = np.searchsorted(where, (at, at + m))
-                by_byte = np.bincount((where[a:z] - at) * 256 + byte[a:z], n[a:z], m * 256).astype(float).reshape(m, 256)
-                level = [by_byte.reshape(m, 1 << k, -1).sum(2) for k in range(9)]
-                ones = np.concatenate([level[k + 1][:, 1::2] for k in range(8)], axis=1)
-                total = np.concatenate(level[:8], axis=1)
-                one[at : at + m], logs[at : at + m] = (ones + 0.5) / (total + 1), _kt(total - ones, ones)
+                one[at : at + m], logs[at : at + m] = _decisions(where[a:z] - at, byte[a:z], n[a:z], m)
             contexts.append(seen)
             bits.append(one)
             mass.append(logs)
         below = mass[depth]
-        for d in range(depth - 1, -1, -1):
-            parent = np.searchsorted(contexts[d], contexts[d + 1] & ((1 << 8 * d) - 1))
-            order = np.argsort(parent, kind="stable")
-            sums = np.zeros_like(mass[d])
-            if len(order):
-                first = np.flatnonzero(np.r_[True, np.diff(parent[order]) > 0])
-                sums[parent[order][first]] = np.add.reduceat(below[order], first, axis=0)
+        for d in range(depth if deeper is not None else depth - 1, -1, -1):
+            if d == depth:
+                sums = deeper
+            else:
+                parent = np.searchsorted(contexts[d], contexts[d + 1] & ((1 << 8 * d) - 1))
+                order = np.argsort(parent, kind="stable")
+                sums = np.zeros_like(mass[d])
+                if len(order):
+                    first = np.flatnonzero(np.r_[True, np.diff(parent[order]) > 0])
+                    sums[parent[order][first]] = np.add.reduceat(below[order], first, axis=0)
             mixed = np.logaddexp(mass[d], sums) - np.log(2)
             weight.insert(0, np.exp(mass[d] - np.log(2) - mixed).astype(np.float32))
             below = mixed
@@ -164,70 +178,135 @@ class Tree:
                     p = w * bits[e][up] + (1 - w) * p
                 rows[at : at + NODES] = self._bytes(p)
             tables.append(rows)
+        if deeper is not None:
+            self.blend = self._blend(contexts, bits, weight)
         self.table = np.concatenate(tables)
         self.first = np.cumsum([0, *map(len, tables)])
-        self.index = None
+        self.index = self.cold = None
+
+    @staticmethod
+    def _blend(contexts: list, bits: list, weight: list) -> tuple[np.ndarray, np.ndarray]:
+        own = contexts[-1]
+        add, share = np.zeros((len(own), 255), np.float32), np.ones((len(own), 255), np.float32)
+        for e in range(len(contexts)):
+            up = np.searchsorted(contexts[e], own & ((1 << 8 * e) - 1))
+            add += share * weight[e][up] * bits[e][up]
+            share *= 1 - weight[e][up]
+        return add, share
+
+    def deepen(self, contexts: np.ndarray, rows: np.ndarray, cold: np.ndarray) -> None:
+        """One more level: `rows` of the given contexts, and the contexts whose rows are elsewhere."""
+        del self.blend
+        self.depth += 1
+        order = np.argsort(contexts)
+        self.contexts.append(contexts[order])
+        self.table = np.concatenate([self.table, rows[order]])
+        self.first = np.r_[self.first, len(self.table)]
+        if len(cold):
+            flags = np.zeros(1 << 8 * self.depth, bool)
+            flags[cold] = True
+            self.cold = np.packbits(flags)
 
     @staticmethod
     def _bytes(p: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the 256 bytes from those of a one at each of the 255 decisions."""
-        out = np.zeros((len(p), 1))
+        """log10 probabilities of the 256 bytes from those of a one at each of the 255 decisions. None is surer than single precision can tell from 1."""
+        p, out = np.minimum(p, 1 - 2.0**-25), np.zeros((len(p), 1))
         for k in range(8):
             own = p[:, (1 << k) - 1 : (1 << k + 1) - 1]
             out = np.stack([out + np.log10(1 - own), out + np.log10(own)], axis=2).reshape(len(p), -1)
         return out.astype(np.float32)
 
     def rows_of(self, context: np.ndarray) -> np.ndarray:
-        """The row of the deepest context that training has seen."""
+        """The row of the deepest context that training has seen; -1 if that is elsewhere."""
         if self.index is None:
             index = np.zeros(1, np.int32)
             for d in range(1, self.depth + 1):
                 index = np.tile(index, 256)
                 index[self.contexts[d]] = self.first[d] + np.arange(len(self.contexts[d]))
+            if self.cold is not None:
+                index[np.unpackbits(self.cold).view(bool)] = -1
             self.index = index
         return self.index[context]
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        out = np.zeros(len(texts))
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """log10 probability of each text but for what falls on contexts elsewhere, and the grams that do."""
+        out, away = np.zeros(len(texts)), [np.zeros(0, np.int64)] * len(texts)
         for at, part in _parts(texts):
             context, byte, lengths = _grams(part, self.depth)
-            each = self.table[self.rows_of(context), byte].astype(np.float64)
-            out[at : at + len(part)] = np.diff(np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(lengths)]])
-        return out
-
-
-def tree(known: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the counts, at the given depth if its table is below the bounds, else at depth 2."""
-    grams = known.where("gram is not null")
+            row = self.rows_of(context)
+            each = self.table[row, byte].astype(np.float64)
+            ends = np.r_[0, np.cumsum(lengths)]
+            if self.cold is not None:
+                far = np.flatnonzero(row < 0)
+                each[far] = 0
+                grams = context[far].astype(np.int64) << 8 | byte[far]
+                cuts = np.searchsorted(far, ends)
+                away[at : at + len(part)] = [grams[a:z] for a, z in zip(cuts, cuts[1:])]
+            out[at : at + len(part)] = np.diff(np.r_[0, np.cumsum(each)][ends])
+        return out, away
+
+
+def tree(known: DataFrame, depth: int = DEPTH, most_rows: int = TABLE_ROWS, most_grams: int = GRAMS) -> tuple[Tree, DataFrame | None]:
+    """The tree of the counts, and the rows (context, logs) that are joined by key, if there are any."""
+    grams = known.where("gram is not null").select("gram", "n")
     size = grams.agg(F.count("*"), F.countDistinct(F.shiftright("gram", 8))).first()
-    if size[0] > GRAMS or size[1] > TABLE_ROWS:
-        depth = 2
-        grams = grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n"))
-    rows = grams.select("gram", "n").toArrow()
-    return Tree(rows["gram"].to_numpy(), rows["n"].to_numpy(), depth)
-
-
-def _least(tokens: DataFrame) -> int:
-    """The smallest count for which HOT_WORDS words at most have it or more, from a histogram of a few hundred steps."""
+    if size[0] <= most_grams and size[1] <= most_rows:
+        rows = grams.toArrow()
+        return Tree(rows["gram"].to_numpy(), rows["n"].to_numpy(), depth), None
+    low = (1 << 8 * (depth - 1)) - 1
+    grouped = grams.groupBy(F.shiftright("gram", 8).bitwiseAND(low).alias("parent"))
+
+    def leaves(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        gram, n = t["gram"].to_numpy(), t["n"].to_numpy().astype(float)
+        seen, where = np.unique(gram >> 8, return_inverse=True)
+        return int(seen[0]) & low, seen, *_decisions(where, gram & 255, n, len(seen)), np.bincount(where, n)
+
+    def masses(t: pa.Table) -> pa.Table:
+        parent, _, _, logs, _ = leaves(t)
+        return pa.table({"parent": pa.array([parent], pa.int64()), "mass": pa.array([logs.sum(0)], pa.list_(pa.float64()))})
+
+    found = materialize(grouped.applyInArrow(masses, "parent long, mass array<double>"), "ctw-masses").toArrow().sort_by("parent")
+    shallow = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * depth) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    out = Tree(shallow["gram"].to_numpy(), shallow["n"].to_numpy(), depth - 1, found["mass"].combine_chunks().flatten().to_numpy().reshape(-1, 255))
+    del found, shallow
+    given = known.sparkSession.sparkContext.broadcast((out.contexts[-1], *out.blend))
+
+    def finished(t: pa.Table) -> pa.Table:
+        parent, seen, one, _, total = leaves(t)
+        contexts, add, share = given.value
+        at = np.searchsorted(contexts, parent)
+        rows = Tree._bytes(add[at] + share[at].astype(float) * one)
+        return pa.table({"context": seen, "logs": pa.array(list(rows), pa.list_(pa.float32())), "n": total.astype(np.int64)})
+
+    made = materialize(grouped.applyInArrow(finished, "context long, logs array<float>, n long"), "ctw-leaves")
+    least = _least(made, most_rows)
+    hot = made.where(F.col("n") >= least).select("context", "logs").toArrow()
+    cold = made.where(F.col("n") < least).select("context", "logs")
+    out.deepen(hot["context"].to_numpy(), hot["logs"].combine_chunks().flatten().to_numpy().reshape(-1, 256), cold.select("context").toArrow()["context"].to_numpy())
+    return out, cold
+
+
+def _least(tokens: DataFrame, most: int = HOT_WORDS) -> int:
+    """The smallest count n for which `most` rows at most have it or more, from a histogram of a few hundred steps."""
     step = F.floor(F.log2("n") * 8)
     held = 0
     for r in tokens.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most")).orderBy(F.desc("step")).collect():
         held += r["k"]
-        if held > HOT_WORDS:
+        if held > most:
             return r["most"] + 1
     return 0
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, most_rows: int = TABLE_ROWS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bytes): a row for each row of `docs`. Learns from the rows outside fold 0."""
     context = docs.sparkSession.sparkContext
     known = materialize(counts(docs.where(bucket_of(id_col, folds) != 0), text_col), "ctw-counts")
     tokens = known.where("token is not null")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = tokens.where(F.col("n") >= _least(tokens)).select("token", "n").toArrow()
-    given = context.broadcast((hot, tree(known)))
-    del hot
+    model, elsewhere = tree(known, most_rows=most_rows)
+    given = context.broadcast((hot, model))
+    del hot, model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, model = given.value
@@ -244,12 +323,17 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                     out.append((len(found), len(found) - len(cold), sum(filter(None, got)), cold))
                 n, seen, sums, cold = zip(*out)
                 raw = [t.encode() for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(cold, pa.list_(pa.string())), pa.array(model.score(raw)), pa.array(list(map(len, raw)), pa.int64())], ["doc_id", "n_tokens", "seen", "sums", "cold", "score", "bytes"])
+                score, away = model.score(raw)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(cold, pa.list_(pa.string())), pa.array(score), pa.array(away, pa.list_(pa.int64())), pa.array(list(map(len, raw)), pa.int64())], ["doc_id", "n_tokens", "seen", "sums", "cold", "score", "away", "bytes"])
 
-    schema = "doc_id long, n_tokens long, seen long, sums double, cold array<string>, score double, bytes long"
+    schema = "doc_id long, n_tokens long, seen long, sums double, cold array<string>, score double, away array<long>, bytes long"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
     own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "ctw-scores")
     cold = own.select("row", F.explode("cold").alias("token")).join(tokens.select("token", "n"), "token", "left")
     cold = cold.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.count("n").alias("also"))
     base = F.col("sums") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + 0.1 * (distinct + 1)))
+    if elsewhere is not None:
+        away = own.select("row", F.explode("away").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("k"))
+        away = away.join(elsewhere, F.shiftright("gram", 8) == F.col("context")).groupBy("row").agg(F.sum(F.col("k") * F.get("logs", F.col("gram").bitwiseAND(255).cast("int")).cast("double")).alias("rest"))
+        own = own.join(away, "row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     return own.join(cold, "row", "left").select("doc_id", (bucket_of("doc_id", folds) == 0).alias("held_out"), "n_tokens", (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bytes")
