@@ -3,36 +3,76 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(x: Column) -> Column:
-    """Rank with ties sharing their mean."""
-    ties = F.count("*").over(Window.partitionBy(x))
-    return F.rank().over(Window.orderBy(x)) + (ties - 1) / 2
+BUCKETS = 256
+
+
+def _bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
+    """Ordered buckets of about equal size; equal values share one. The bounds are an array of `buckets` numbers at most."""
+    marks = df.agg(F.percentile_approx(F.col(column).cast("double"), [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
+    marks = sorted(set(marks or []))
+    return F.size(F.filter(F.array(*map(F.lit, marks)).cast("array<double>"), lambda m: m <= F.col(column).cast("double")))
+
+
+def value_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, n, before) of each distinct value but null: its rows, and those with smaller values. Values are counted first, then added up within buckets and over the few buckets, so no task sees all of them."""
+    own = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    own = own.withColumn("_b", _bucket(own, column))
+    whole = own.groupBy("_b").agg(F.sum("n").alias("_n"))
+    offset = whole.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))  # a row for each bucket
+    within = F.sum("n").over(Window.partitionBy("_b").orderBy(column)) - F.col("n")
+    return own.withColumn("_w", within).join(F.broadcast(offset), "_b").select(column, "n", (F.col("_o") + F.col("_w")).alias("before"))
+
+
+def with_average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column replaced by its rank, ties sharing their mean; a null stays null."""
+    for c in columns:
+        ranks = value_ranks(df, c).select(F.col(c).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias("_r"))
+        df = df.join(ranks, df[c] == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
+    return df
 
 
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """(a, b, r) of each pair, in one aggregation."""
+    """(a, b, r) of each pair, in one aggregation (kendall: one for each pair)."""
+    pairs = list(itertools.combinations(columns, 2))
+    if method == "kendall":
+        return reduce(DataFrame.unionByName, (kendall(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("tau").alias("r")) for a, b in pairs))
     if method == "spearman":
-        df = df.select(*(average_rank(F.col(c)).alias(c) for c in columns))
+        df = with_average_ranks(df.select(*columns), columns)
     elif method != "pearson":
-        raise ValueError(f"unknown method {method}; pearson and spearman are supported, kendall() is an operator of its own")
-    pairs = list(itertools.combinations(columns, 2))
+        raise ValueError(f"unknown method {method}; pearson, spearman and kendall are supported")
     row = df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs)).alias("x"))
     return row.select(F.inline("x"))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b from counts of distinct values: concordance comes from the joint counts of the grouped pairs, so repeated values cost once."""
-    g = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
-    h = g.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    s = g.join(h, F.col("x2") > F.col("x")).agg(F.sum(F.signum(F.col("y2") - F.col("y")) * F.col("n") * F.col("n2")).alias("s"))
+    """Kendall's tau-b, exact, without pairs of rows.
+
+    The rank of b is read bit by bit: two rows with different ranks first differ at one level, where one has a 0 and
+    the other a 1 under the same prefix. So at each level and prefix it is enough to add up, in the order of a, the
+    ones and zeros that came before; buckets of a share that work. Counts of equal rows are taken first."""
+    g = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("n"))
+    spread = g.withColumn("_bucket", _bucket(g, "x")).join(value_ranks(g.select("y"), "y").select("y", F.col("before").alias("_r")), "y")
+    bits = F.sequence(F.lit(0), F.lit(62))
+    top = g.agg(F.count("*").alias("k")).select(F.greatest(F.ceil(F.log2(F.col("k") + 1)), F.lit(1)).cast("int").alias("_top"))
+    level = spread.crossJoin(F.broadcast(top)).select("x", "n", "_bucket", "_r", F.explode(F.slice(bits, F.lit(1), F.col("_top"))).alias("level"))  # one row
+    level = level.withColumn("_one", F.expr("shiftright(_r, level) & 1")).withColumn("prefix", F.expr("shiftright(_r, level + 1)"))
+    sums = level.groupBy("level", "prefix", "_bucket", "x").agg(F.sum(F.col("n") * F.col("_one")).alias("o"), F.sum(F.col("n") * (1 - F.col("_one"))).alias("z"))
+    whole = sums.groupBy("level", "prefix", "_bucket").agg(F.sum("o").alias("_o"), F.sum("z").alias("_z"))
+    past = Window.partitionBy("level", "prefix").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("level", "prefix", "_bucket", *(F.coalesce(F.sum(c).over(past), F.lit(0.0)).alias(c) for c in ("_o", "_z")))
+    near = Window.partitionBy("level", "prefix", "_bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    local = sums.withColumns({f"_{c}w": F.coalesce(F.sum(c).over(near), F.lit(0.0)) for c in ("o", "z")})
+    s = local.join(whole, ["level", "prefix", "_bucket"]).agg(F.sum(F.col("o") * (F.col("_z") + F.col("_zw")) - F.col("z") * (F.col("_o") + F.col("_ow"))).alias("s"))
     tied = lambda c: g.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{c}"))
     total = g.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("t"))
-    return s.join(tied("x")).join(tied("y")).join(total).select((F.col("s") / F.sqrt((F.col("t") - F.col("tx")) * (F.col("t") - F.col("ty")))).alias("tau"))
+    # four tables of one row
+    return s.join(tied("x")).join(tied("y")).join(total).select(F.try_divide(F.col("s"), F.sqrt((F.col("t") - F.col("tx")) * (F.col("t") - F.col("ty")))).alias("tau"))
 
 
 def highly_correlated(df: DataFrame, columns: list[str], threshold: float = 0.75, method: str = "pearson") -> list[str]:

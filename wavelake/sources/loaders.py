@@ -31,14 +31,22 @@ def csv_dir(spark: SparkSession, path: str, channels: list[str] | None = None, c
     return df.withColumn("pos", F.row_number().over(Window.partitionBy("_f").orderBy("_n")) - 1).select("label", "id", "pos", *(f"`{c}`" for c in keep))
 
 
-def csv_file(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """One CSV; without a header if names are given."""
-    df = spark.read.options(header=names is None, inferSchema=True).csv(path)
+def numbered(df: DataFrame, name: str = "pos") -> DataFrame:
+    """Row numbers in the order of the files: places within the read partitions, plus the sizes of those before. Nothing is sorted, and the table of partitions alone is gathered."""
+    own = df.withColumn("_n", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_n", 33))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_k"))
+    sizes = sizes.select("_part", (F.sum("_k").over(Window.orderBy("_part")) - F.col("_k")).alias("_before"))  # a row for each partition
+    return own.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).drop("_n", "_part", "_before")
+
+
+def csv_file(spark: SparkSession, path: str, names: list[str] | None = None, **options) -> DataFrame:
+    """One CSV, with row numbers; without a header if names are given."""
+    df = spark.read.options(header=names is None, inferSchema=True).options(**options).csv(path)
     if names is not None:
         if len(names) != len(df.columns):
             raise ValueError(f"{len(names)} names for {len(df.columns)} columns")
         df = df.toDF(*names)
-    return df.withColumn("_n", F.monotonically_increasing_id()).withColumn("pos", F.row_number().over(Window.orderBy("_n")) - 1).drop("_n")
+    return numbered(df)
 
 
 def json_dir(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
@@ -89,3 +97,54 @@ def wav_dir(spark: SparkSession, path: str, classes: list[str] | None = None, ta
 def wav_header(content: bytes) -> dict:
     with wave.open(io.BytesIO(content)) as w:
         return w.getparams()._asdict()
+
+
+def wav_headers(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
+    """(label, id, nchannels, sampwidth, framerate, nframes, error) of every WAV below `path`."""
+    df = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.wav").load(_roots(path, classes))
+    label, name = _place(F.col("path"))
+    fields = ["nchannels", "sampwidth", "framerate", "nframes"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            found = []
+            for content in p["content"]:
+                try:
+                    found.append(wav_header(content) | {"error": None})
+                except (wave.Error, EOFError) as e:
+                    found.append(dict.fromkeys(fields) | {"error": str(e) or type(e).__name__})
+            out = pd.DataFrame(found, columns=[*fields, "error"]).astype(dict.fromkeys(fields, "Int64"))
+            yield pd.concat([p[["label", "id"]].reset_index(drop=True), out], axis=1)
+
+    return df.select(label.alias("label"), name.alias("id"), "content").mapInPandas(run, "label string, id string, nchannels long, sampwidth long, framerate long, nframes long, error string")
+
+
+def file_types(spark: SparkSession, path: str) -> list[str]:
+    """Lower-cased extensions of the files below `path`: a handful, from a listing that reads no contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    kinds = files.select(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind")).distinct()
+    return sorted(r.kind for r in kinds.collect() if r.kind)
+
+
+def load_dir(spark: SparkSession, path: str, kind: str | None = None, classes: list[str] | None = None, **options) -> DataFrame:
+    """CSV, JSON or WAV files below `path`; the kind may be left out if there is only one."""
+    readers = {"csv": csv_dir, "json": json_dir, "wav": wav_dir}
+    if kind is None:
+        kinds = file_types(spark, path)
+        if len(kinds) != 1:
+            raise ValueError(f"one kind of file is needed, found {kinds}")
+        kind = kinds[0]
+    if kind not in readers:
+        raise ValueError(f"unknown kind {kind}; known are {sorted(readers)}")
+    return readers[kind](spark, path, classes=classes, **options)
+
+
+def yaml_config(path: str) -> dict:
+    """A YAML file on the driver, read safely. PyYAML is optional; without it this raises ImportError."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        try:
+            return yaml.safe_load(f)
+        except yaml.YAMLError as e:
+            raise ValueError(f"{path} is no valid YAML: {e}") from e
