@@ -7,7 +7,7 @@ import pytest
 
 from wavelake.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 

@@ -8,25 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-BUCKETS = 256
-
-
-def _bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
-    """Ordered buckets of about equal size; equal values share one. The bounds are an array of `buckets` numbers at most."""
-    marks = df.agg(F.percentile_approx(F.col(column).cast("double"), [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
-    marks = sorted(set(marks or []))
-    return F.size(F.filter(F.array(*map(F.lit, marks)).cast("array<double>"), lambda m: m <= F.col(column).cast("double")))
-
-
-def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(column, n, before) of each distinct value but null: its rows, and those with smaller values. Values are counted first, then added up within buckets and over the few buckets, so no task sees all of them."""
-    own = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    own = own.withColumn("_b", _bucket(own, column))
-    whole = own.groupBy("_b").agg(F.sum("n").alias("_n"))
-    offset = whole.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))  # a row for each bucket
-    within = F.sum("n").over(Window.partitionBy("_b").orderBy(column)) - F.col("n")
-    return own.withColumn("_w", within).join(F.broadcast(offset), "_b").select(column, "n", (F.col("_o") + F.col("_w")).alias("before"))
+from .ordering import bucket, value_ranks
 
 
 def with_average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,7 +39,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     the other a 1 under the same prefix. So at each level and prefix it is enough to add up, in the order of a, the
     ones and zeros that came before; buckets of a share that work. Counts of equal rows are taken first."""
     g = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("n"))
-    spread = g.withColumn("_bucket", _bucket(g, "x")).join(value_ranks(g.select("y"), "y").select("y", F.col("before").alias("_r")), "y")
+    spread = g.withColumn("_bucket", bucket(g, "x")).join(value_ranks(g.select("y"), "y").select("y", F.col("before").alias("_r")), "y")
     bits = F.sequence(F.lit(0), F.lit(62))
     top = g.agg(F.count("*").alias("k")).select(F.greatest(F.ceil(F.log2(F.col("k") + 1)), F.lit(1)).cast("int").alias("_top"))
     level = spread.crossJoin(F.broadcast(top)).select("x", "n", "_bucket", "_r", F.explode(F.slice(bits, F.lit(1), F.col("_top"))).alias("level"))  # one row

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import positioned
+
 
 @dataclass(frozen=True)
 class SeriesFrame:
@@ -78,10 +80,13 @@ class SeriesFrame:
     def split(self, test: float = 0.2, seed: int | None = None, by: list[str] = (), up: bool = False) -> DataFrame:
         """A column `train`: of each stratum the first floor (or ceil) of n * (1 - test) rows, in order or in a seeded hash order."""
         order = F.col(self.pos) if seed is None else F.xxhash64(*self.key, self.pos, F.lit(seed))
-        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        share = F.count("*").over(part) * (1 - test)
-        n = F.ceil(F.round(share, 9)) if up else F.floor(F.round(share, 9))
-        return self.df.withColumn("train", F.row_number().over(part.orderBy(order, *self.key, self.pos)) <= n)
+        kept = lambda n: (F.ceil if up else F.floor)(F.round(n * (1 - test), 9))
+        if not by:
+            total = self.df.agg(F.count("*").alias("_total"))
+            placed = positioned(self.df, order, *self.key, self.pos).crossJoin(F.broadcast(total))  # one row
+            return placed.withColumn("train", F.col("_at") < kept(F.col("_total"))).drop("_at", "_total")
+        part = Window.partitionBy(*by)
+        return self.df.withColumn("train", F.row_number().over(part.orderBy(order, *self.key, self.pos)) <= kept(F.count("*").over(part)))
 
     def shuffled(self, seed: int = 42) -> DataFrame:
         return self.df.orderBy(F.xxhash64(*self.key, self.pos, F.lit(seed)))

@@ -297,6 +297,21 @@ def dominant_frequency(spark, sf_dir):
     return _signals(spark, sf_dir).select("vec_id", signal.dominant_frequency(F.col("x"), 64.0).alias("v"))
 
 
+@query(f"with {_WELCH.format(seg='0', hop=0, n=64, many='')}, q as (select vec_id, exp(avg(ln(v + 1e-17))) / avg(v) as flatness, stddev_samp(v) as std from w group by vec_id), m as (select vec_id, k.k as k, sqrt(pow(sum(x * cos(2 * pi() * k.k * pos / n)), 2) + pow(sum(x * sin(2 * pi() * k.k * pos / n)), 2)) as mag from e, (select unnest(range(0, 32)) as k) k group by vec_id, k.k), z as (select vec_id, mag as m0 from m where k = 0), r as (select vec_id, regr_slope(mag, k * 32 / 31.0::double) as slope, sum(case when k > 0 then (mag - m0) / (k * 32 / 31.0::double - 1) end) / sum(case when k > 0 then mag end) as decrease from m join z using (vec_id) group by vec_id) select vec_id, round(flatness, 4) as flatness, round(std, 4) as std, round(slope, 4) as slope, round(decrease, 4) as decrease from q join r using (vec_id)")
+def spectral_slopes(spark, sf_dir):
+    s = signal.spectral_features(F.col("x"), 64.0, high=32)
+    return _signals(spark, sf_dir).withColumn("s", s).select("vec_id", *(r4(f"s.{c}").alias(c) for c in ("flatness", "std", "slope", "decrease")))
+
+
+_SIMPSON = "case when k in ({a}, {z}) then 1 when (k - {a}) % 2 = 1 then 4 else 2 end * v"
+
+
+@query(f"with {_WELCH.format(seg='0', hop=0, n=64, many='')}, b as (select vec_id, " + ", ".join(f"sum(case when k between {a} and {z} then {_SIMPSON.format(a=a, z=z)} end) / sum({_SIMPSON.format(a=0, z=32)}) as p{i}" for i, (a, z) in enumerate(((0, 8), (8, 16), (16, 32)))) + " from w group by vec_id) select vec_id, round(p0, 4) as psd_0_8, round(p1, 4) as psd_8_16, round(p2, 4) as psd_16_32 from b")
+def power_spectral_density(spark, sf_dir):
+    d = _signals(spark, sf_dir).withColumn("y", signal.band_powers(F.col("x"), 64.0, [(0, 8), (8, 16), (16, 32)]))
+    return d.select("vec_id", *(r4(F.col("y")[i]).alias(n) for i, n in enumerate(("psd_0_8", "psd_8_16", "psd_16_32"))))
+
+
 _NEAR = "select e.vec_id, e.pos, round(sum(b.x * {w}) + 1e-7, 4) as v from e, (select unnest(range({a}, {z})) as j) j join e b on b.vec_id = e.vec_id and b.pos = {at} group by e.vec_id, e.pos"
 
 
@@ -331,6 +346,16 @@ def stft_magnitude(spark, sf_dir):
     return d.select("vec_id", F.col("bin").cast("long"), F.posexplode("y").alias("frame", "v")).select("vec_id", "bin", F.col("frame").cast("long"), r4(F.col("v") + 1e-7).alias("v"))
 
 
+@query(f"with {E} select vec_id, pos, round(x + 1e-7, 4) as v from e")
+def stft_round_trip(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.stft_round_trip(x, 16, 4))
+
+
+@query(f"with {E}, t as (select *, j.j * 63 / 99.0::double as t from (select distinct vec_id from e), (select unnest(range(0, 100)) as j) j) select t.vec_id, t.j as pos, round(a.x + (b.x - a.x) * (t - floor(t)) + 1e-7, 4) as v from t join e a on a.vec_id = t.vec_id and a.pos = floor(t)::bigint join e b on b.vec_id = t.vec_id and b.pos = least(floor(t)::bigint + 1, 63)")
+def resize(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: augment.resized(x, 100))
+
+
 @query(f"with {E}, f as (select vec_id, f.f as frame, pos - 8 * f.f as j, x from e, (select unnest(range(0, 7)) as f) f where pos - 8 * f.f between 0 and 15), d as (select vec_id, k.k as bin, frame, sqrt(pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k.k * j / 16)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k.k * j / 16)), 2)) / 8 as v from f, (select unnest(range(1, 5)) as k) k group by vec_id, k.k, frame) select vec_id, bin - 1 as bin, frame, round(v + 1e-7, 4) as v from d")
 def band_spectrogram(spark, sf_dir):
     d = _signals(spark, sf_dir).select("vec_id", F.posexplode(signal.spectrogram(F.col("x"), 64.0, 16, None, 4.0, 16.0)).alias("bin", "y"))
@@ -515,8 +540,6 @@ for _name, _make in {
     "butterworth_bandpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "bandpass", (5.0, 12.0), 2, "sosfiltfilt")), "y"),
     "instantaneous_frequency": lambda d: _long(d.withColumn("y", signal.instantaneous_frequency(_X("x"), 64.0)), "y"),
     "spectral_values": lambda d: d.withColumn("s", signal.spectral_features(_X("x"), 64.0, high=32)).select("vec_id", "s.*"),
-    "power_spectral_density": lambda d: _long(d.withColumn("y", signal.band_powers(_X("x"), 64.0, [(0, 8), (8, 16), (16, 32)])), "y"),
-    "stft_round_trip": lambda d: _long(d.withColumn("y", signal.stft_round_trip(_X("x"), 16, 4)), "y"),
     "melspectrogram": lambda d: d.select("vec_id", F.posexplode(signal.melspectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
     "mfcc": lambda d: d.select("vec_id", F.posexplode(signal.mfcc(_X("x"), 64.0, 4, 16, 4, 6)).alias("coefficient", "v")),
     "hpss": lambda d: d.withColumn("h", signal.hpss(_X("x"), 16, 5)).select("vec_id", "h.*"),
@@ -534,7 +557,6 @@ for _name, _make in {
     "phase_power_ratio": lambda d: d.select("vec_id", signal.phase_power_ratio(_X("x"), 8000.0).alias("v")),
     "envelope_peaks": lambda d: d.select("vec_id", signal.envelope_peaks(_X("x"), 1000.0).alias("v")),
     "quantize_kmeans": lambda d: _long(d.withColumn("y", augment.quantized_kmeans(_X("x"), 4)), "y"),
-    "resize": lambda d: _long(d.withColumn("y", augment.resized(_X("x"), 100)), "y"),
     "crop": lambda d: _long(d.withColumn("y", augment.cropped(_X("x"), 16, _X("vec_id"))), "y"),
 }.items():
     _rows_only(_name, _make)
