@@ -530,6 +530,42 @@ def robustness_analysis(spark, sf_dir):
     return events.robustness(p, truth, ["vec_id"], 8.0, 1.0, 0.5, 2.0, 0.55, 0.25)["scores"]
 
 
+#: Mel bands of the signals: below 1 kHz the scale is linear, so 6 bands up to 32 Hz are 32/7 Hz apart; a bin is 4 Hz.
+_MEL = f"""{E}, f as (select vec_id, f.f as frame, pos - 4 * f.f + 8 as j, x from e, (select unnest(range(0, 17)) as f) f where pos - 4 * f.f + 8 between 0 and 15),
+ d as (select vec_id, k.k as bin, frame, pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k.k * j / 16)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k.k * j / 16)), 2) as pw from f, (select unnest(range(0, 9)) as k) k group by vec_id, k.k, frame),
+ s as (select vec_id, m.m as mel, frame, sum(pw * greatest(0, least(bin * 4 - m.m * 32 / 7.0::double, (m.m + 2) * 32 / 7.0::double - bin * 4)) * 49 / 1024.0::double) as v from d, (select unnest(range(0, 6)) as m) m group by vec_id, m.m, frame)"""
+
+
+def _framed(d: DataFrame, bins: str) -> DataFrame:
+    d = d.select("vec_id", F.posexplode("y").alias(bins, "y")).select("vec_id", F.col(bins).cast("long"), F.posexplode("y").alias("frame", "v"))
+    return d.select("vec_id", bins, F.col("frame").cast("long"), r4(F.col("v") + 1e-7).alias("v"))
+
+
+@query(f"with {_MEL} select vec_id, mel, frame, round(v + 1e-7, 4) as v from s")
+def melspectrogram(spark, sf_dir):
+    return _framed(_signals(spark, sf_dir).withColumn("y", signal.melspectrogram(F.col("x"), 64.0, 16, 4, 6)), "mel")
+
+
+@query(f"with {_MEL}, b as (select vec_id, mel, frame, 10 * log10(greatest(v, 1e-10)) as v from s), t as (select vec_id, mel, frame, greatest(v, max(v) over (partition by vec_id) - 80) as v from b) select vec_id, c.c as coefficient, frame, round(sqrt(2 / 6.0::double) * case when c.c = 0 then sqrt(0.5) else 1 end * sum(v * cos(pi() * (2 * mel + 1) * c.c / 12)) + 1e-7, 4) as v from t, (select unnest(range(0, 4)) as c) c group by vec_id, c.c, frame")
+def mfcc(spark, sf_dir):
+    return _framed(_signals(spark, sf_dir).withColumn("y", signal.mfcc(F.col("x"), 64.0, 4, 16, 4, 6)), "coefficient")
+
+
+@query(f"with {E}, h as (select a.vec_id, a.pos, atan2(sum(case when (a.pos - b.pos) % 2 <> 0 then b.x * 2 / a.n / tan(pi() * (a.pos - b.pos) / a.n) else 0 end), any_value(a.x)) as w from e a join e b on a.vec_id = b.vec_id group by a.vec_id, a.pos), d as (select vec_id, pos, lead(w) over (partition by vec_id order by pos) - w as d from h) select vec_id, pos, round(case when d > pi() then d - 2 * pi() when d <= -pi() then d + 2 * pi() else d end * 64 / (2 * pi()) + 1e-7, 4) as v from d where d is not null")
+def instantaneous_frequency(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.instantaneous_frequency(x, 64.0))
+
+
+@query(f"with {E}, f as (select vec_id, f.f as frame, pos - 8 * f.f + 8 as j, x from e, (select unnest(range(0, 9)) as f) f where pos - 8 * f.f + 8 between 0 and 15), d as (select vec_id, k.k as bin, frame, (pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k.k * j / 16)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k.k * j / 16)), 2)) / 64 as v from f, (select unnest(range(0, 9)) as k) k group by vec_id, k.k, frame) select vec_id, bin, frame, round(v + 1e-7, 4) as v from d")
+def power_spectrogram(spark, sf_dir):
+    return _framed(_signals(spark, sf_dir).withColumn("y", signal.power_spectrogram(F.col("x"), 64.0, 16)), "bin")
+
+
+@query(f"with {E}, d as (select vec_id, k.k as k, sqrt(pow(sum(x * cos(2 * pi() * k.k * (pos - 21) / 21)), 2) + pow(sum(x * sin(2 * pi() * k.k * (pos - 21) / 21)), 2)) as mag from e, (select unnest(range(0, 14)) as k) k where pos between 21 and 41 group by vec_id, k.k) select vec_id, round(sum(mag) filter (k between 6 and 13) / sum(mag) filter (k < 4), 4) as v from d group by vec_id")
+def phase_power_ratio(spark, sf_dir):
+    return _signals(spark, sf_dir).select("vec_id", r4(signal.phase_power_ratio(F.col("x"), 8000.0)).alias("v"))
+
+
 def _rows_only(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = (lambda spark, sf_dir: make(_signals(spark, sf_dir)), None)
 
@@ -538,10 +574,7 @@ _X = F.col  # columns are made when a query runs
 for _name, _make in {
     "butterworth_lowpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "lowpass", 10.0, 4, samples=64)), "y"),
     "butterworth_bandpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "bandpass", (5.0, 12.0), 2, "sosfiltfilt")), "y"),
-    "instantaneous_frequency": lambda d: _long(d.withColumn("y", signal.instantaneous_frequency(_X("x"), 64.0)), "y"),
     "spectral_values": lambda d: d.withColumn("s", signal.spectral_features(_X("x"), 64.0, high=32)).select("vec_id", "s.*"),
-    "melspectrogram": lambda d: d.select("vec_id", F.posexplode(signal.melspectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
-    "mfcc": lambda d: d.select("vec_id", F.posexplode(signal.mfcc(_X("x"), 64.0, 4, 16, 4, 6)).alias("coefficient", "v")),
     "hpss": lambda d: d.withColumn("h", signal.hpss(_X("x"), 16, 5)).select("vec_id", "h.*"),
     "griffin_lim": lambda d: _long(d.withColumn("y", signal.griffin_lim(_X("x"), 16, 8)), "y"),
     "time_stretch": lambda d: _long(d.withColumn("y", signal.time_stretch(_X("x"), 1.5, 16)), "y"),
@@ -552,9 +585,7 @@ for _name, _make in {
     "time_warp": lambda d: _long(d.withColumn("y", augment.time_warped(_X("x"))), "y"),
     "mfcc_stats": lambda d: d.withColumn("s", signal.mfcc_stats(_X("x"), 64.0, 4, 16, 4, 6)).select("vec_id", "s.*"),
     "mel_to_audio": lambda d: _long(d.withColumn("y", signal.mel_round_trip(_X("x"), 64.0, 16, 4, 6, 8)), "y"),
-    "power_spectrogram": lambda d: d.select("vec_id", F.posexplode(signal.power_spectrogram(_X("x"), 64.0, 16)).alias("bin", "v")),
     "bin_mel_spectrogram": lambda d: d.select("vec_id", F.posexplode(signal.bin_mel_spectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
-    "phase_power_ratio": lambda d: d.select("vec_id", signal.phase_power_ratio(_X("x"), 8000.0).alias("v")),
     "envelope_peaks": lambda d: d.select("vec_id", signal.envelope_peaks(_X("x"), 1000.0).alias("v")),
     "quantize_kmeans": lambda d: _long(d.withColumn("y", augment.quantized_kmeans(_X("x"), 4)), "y"),
     "crop": lambda d: _long(d.withColumn("y", augment.cropped(_X("x"), 16, _X("vec_id"))), "y"),
