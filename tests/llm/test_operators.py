@@ -383,3 +383,46 @@ def test_context_tree_stays_finite_after_very_many_equal_bytes():
     tree = ctw.Tree(np.array([0xFF]), np.array([10**9]), 1)
     score, _ = tree.score([b"\xff", b"\x00", b"\xfe"])
     assert np.isfinite(score).all() and score[0] > -1e-6 and score[2] < -5
+
+
+def near_texts():
+    """Groups with similarities around 0.8, many near copies of one text, short texts and texts without words."""
+    pick, texts = np.random.default_rng(5), []
+    for n in (6, 30, 90, 400) * 8:
+        base = [f"w{x}" for x in pick.integers(0, 5000, n)]
+        for k in (0, 1, 2, 3, 5, 9):
+            new = list(base)
+            for at in pick.integers(0, n, k * n // 100 + (k > 0)):
+                new[at] = f"x{pick.integers(0, 10**9)}"
+            texts.append(" ".join(new))
+    many = [f"w{x}" for x in pick.integers(0, 5000, 200)]
+    texts += [" ".join([*many[:i], "other", *many[i + 1 :]]) for i in range(150)]
+    return [*texts, "", " ", "a b", "A b", "a b c", many[0]]
+
+
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        w = words(low(t))
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return out
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = near_texts()
+    sets = five_word_sets(texts)
+    at = roots(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r.row: r.root for r in simhash.near_copies(rows).collect()}
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(texts))] == at and 60 < len(set(at)) < 200
+    # lists cut into blocks
+    sets8 = [(i, simhash.shingles(t).tobytes()) for i, t in enumerate(texts)]
+    posts = [(i, len(s) // 8, int(p)) for i, s in sets8 for p in simhash.bands(np.frombuffer(s, np.uint64))]
+    edges = simhash.similar(spark.createDataFrame(sets8, "row long, found binary"), spark.createDataFrame(posts, "row long, n long, post long"), tokens=2000)
+    cut = {r.node: r.component for r in simhash.connected_components(edges, "t").collect()}
+    assert [cut.get(i, i) for i in range(len(texts)) if sets[i]] == [at[i] for i in range(len(texts)) if sets[i]]
+    docs = rows.withColumnRenamed("row", "doc_id")
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(at)

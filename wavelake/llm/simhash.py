@@ -8,6 +8,10 @@ tallied; pairs below the minimum go, the rest are verified by the count of diffe
 and each pair of blocks is a unit of work, so that no list is gathered in one task, and of the verified links only a
 spanning forest leaves a unit: links inside what is already connected add nothing to the components.
 
+The pipeline's stage (`deduplicated`) needs all pairs with a similarity of 0.8 or more in runs of five words. Those lie
+3 to 13 bits apart or more and often share no byte, so fingerprints can't find them: there, sets of shingles meet in
+lists by bands of their smallest hashes, and the similarity of whole sets is verified.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal texts share
 a fingerprint; a null id gets the component of its fingerprint; an empty table gives an empty result; other columns
 of the input are ignored by `fingerprints` and may have any name.
@@ -29,6 +33,12 @@ from .common import connected_components, fold, materialize, words
 BITS = 4
 #: Rows of a posting list that are compared at once with as many others.
 BLOCK = 2048
+#: Near copies of the pipeline: runs of this many words, similarity of their sets.
+WORDS, SIMILAR = 5, 0.8
+#: Bands of smallest hashes that near copies meet in: at the least similarity a pair is missed with probability (1 - 0.8 ** 4) ** 40 = 7e-10.
+BANDS, BAND = 40, 4
+#: Members of sets in a block of a list.
+TOKENS = 1 << 19
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -149,7 +159,126 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's runs of `size` words, in rising order; a shorter text is one run, one without words has none."""
+    found = [w.encode() for w in words(fold(text or ""))]
+    if not found:
+        return np.zeros(0, np.uint64)
+    whole, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= size:
+        return np.array([digest(whole, 42)], np.uint64)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    return np.unique(np.fromiter((digest(whole[a:b], 42) for a, b in zip((ends - lengths)[: 1 - size].tolist(), ends[size - 1 :].tolist())), np.uint64, len(found) - size + 1))
+
+
+_PICK = np.random.default_rng(7)
+_XOR, _ODD = _PICK.integers(0, 1 << 32, (BANDS * BAND, 1), np.uint32), _PICK.integers(0, 1 << 31, (BANDS * BAND, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_MIX = _PICK.integers(0, 1 << 62, (BANDS, BAND), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band of BAND smallest hashes of a set of shingles; two sets share a band's key with probability similarity ** BAND."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    low, least = (found ^ (found >> np.uint64(32))).astype(np.uint32), np.full(BANDS * BAND, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 1024):
+        x = (low[at : at + 1024] ^ _XOR) * _ODD
+        x ^= x >> np.uint32(15)
+        least = np.minimum(least, (x * np.uint32(0x85EBCA6B)).min(1))
+    key = ((least.reshape(BANDS, BAND).astype(np.uint64) + np.uint64(1)) * _MIX).sum(1, dtype=np.uint64)
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+
+def _spanning(ids: np.ndarray, lengths: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Links that span what pairs of sets of similarity `least` join. `ids`: the members of all sets, numbered from 0, in one array."""
+    ends = np.cumsum(lengths)
+    flag, rest, flat = np.zeros(int(ids.max()) + 1, bool), np.arange(len(lengths)), ids
+    queue, left, right = [], [], []
+    while len(rest):
+        if queue:
+            x = queue.pop()
+        else:
+            x = int(rest[0])
+            rest, flat = rest[1:], flat[lengths[x] :]
+            if not len(rest):
+                break
+        own, size = ids[ends[x] - lengths[x] : ends[x]], lengths[rest]
+        flag[own] = True
+        same = np.add.reduceat(flag[flat], np.cumsum(size) - size, dtype=np.int64)
+        flag[own] = False
+        hit = same >= least * (lengths[x] + size - same) - 1e-9
+        if hit.any():
+            found = rest[hit].tolist()
+            left += [x] * len(found)
+            right += found
+            queue += found
+            rest, flat = rest[~hit], flat[np.repeat(~hit, size)]
+    return left, right
+
+
+def similar(sets: DataFrame, posts: DataFrame, least: float = SIMILAR, tokens: int = TOKENS) -> DataFrame:
+    """(src, dst): links that span every group of rows joined by similarities of `least` or more among those that share a post. `sets`: row, found (binary); `posts`: row, n (size of the set), post."""
+    lists = posts.groupBy("post").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("row")).alias("rows")).where("m > 1")
+    # lists of the same rows are worked through once
+    lists = lists.groupBy("rows", "m", "n").agg(F.min("post").alias("post")).select("post", F.ceil(F.col("n") / tokens).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    work = posts.join(lists, "post").select("post", "row", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j).cast("long") * F.col("blocks") + F.greatest(mine, j))).alias("unit")).join(sets, "row").select("post", "unit", "row", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
+                continue
+            post, unit = t["post"].to_numpy(), t["unit"].to_numpy()
+            cut = t.num_rows if b is None else t.num_rows - int(((post == post[-1]) & (unit == unit[-1])).sum())
+            rest = t.slice(cut)
+            if not cut:
+                continue
+            begin = np.flatnonzero(np.r_[True, (post[1:cut] != post[: cut - 1]) | (unit[1:cut] != unit[: cut - 1])])
+            row, found, left, right = t["row"].to_numpy(), t["found"], [], []
+            for a, z in zip(begin.tolist(), np.r_[begin[1:], cut].tolist()):
+                if z - a > 1:
+                    each = [np.frombuffer(x, np.uint64) for x in found.slice(a, z - a).to_pylist()]
+                    i, j = _spanning(np.unique(np.concatenate(each), return_inverse=True)[1], np.array([len(x) for x in each]), least)
+                    left += row[a:z][i].tolist()
+                    right += row[a:z][j].tolist()
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["src", "dst"])
+
+    return work.repartition("post", "unit").sortWithinPartitions("post", "unit").mapInArrow(run, "src long, dst long")
+
+
+def near_copies(rows: DataFrame, size: int = WORDS, least: float = SIMILAR) -> DataFrame:
+    """(row, root) for each row of `rows` (row, text): the rows of one root are joined by texts whose sets of runs of `size` words have a similarity (Jaccard) of `least` or more. Texts without words are one group."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [shingles(t.as_py(), size) for t in b.column(1)]
+            keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([len(x) for x in each], pa.int64()), pa.array([bands(x) for x in each], pa.list_(pa.int64()))], ["row", "key", "n", "posts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], ["row", "found"])
+
+    index = materialize(rows.select("row", "text").mapInArrow(describe, "row long, key binary, n long, posts array<long>"), "near-index")
+    # equal sets are compared once
+    single = materialize(index.groupBy("key").agg(F.min("row").alias("row")), "near-distinct")
+    posts = index.join(single.select("row"), "row").select("row", "n", F.explode("posts").alias("post"))
+    met = posts.groupBy("post").agg(F.count("*").alias("m")).where("m > 1").select("post")
+    posts = materialize(posts.join(met, "post"), "near-posts")
+    text = rows.join(posts.select("row").distinct().hint("shuffle_hash"), "row", "left_semi").select("row", "text")
+    sets = materialize(text.mapInArrow(gather, "row long, found binary"), "near-sets")
+    root = connected_components(similar(sets, posts, least), "near-cc")
+    named = single.join(root, single.row == root.node, "left").select("key", F.coalesce("component", "row").alias("root"))
+    return index.select("row", "key").join(named, "key").select("row", "root")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, and rows without an id."""
-    keep = components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    """The rows of `docs` whose id is the smallest of its group of near copies (see near_copies), and rows without an id."""
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    named = rows.select("row", "doc_id").join(near_copies(rows), "row")
+    keep = named.groupBy("root").agg(F.min("doc_id").alias(id_col)).select(id_col).where(F.col(id_col).isNotNull()).distinct()
     return docs.join(keep.hint("shuffle_hash"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
