@@ -426,3 +426,12 @@ def test_near_copies_equal_brute_force(spark):
     assert [cut.get(i, i) for i in range(len(texts)) if sets[i]] == [at[i] for i in range(len(texts)) if sets[i]]
     docs = rows.withColumnRenamed("row", "doc_id")
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(at)
+
+
+def test_secrets_are_redacted_by_text(spark):
+    """Null ids, and several texts under one id, each with its own secret or none."""
+    texts = [(None, "a token: abcdefghijklmnop"), (None, "clean of all"), (7, "0123456789abcdef0 first"), (7, "the second password = abcdefghijklmnop"), (7, "nothing in the third version of it")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in texts], "doc_id long, text string, n_chars int")
+    out = sorted((r.doc_id or 0, r.text) for r in secrets.redacted(df).collect())
+    assert out == sorted((i or 0, secrets.redact(t, base_spans(t))) for i, t in texts)
+    assert not any(base_spans(t) for _, t in out) and (7, "nothing in the third version of it") in out

@@ -93,7 +93,7 @@ def findings(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
 
 def redacted(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """`docs` with every secret replaced by a mark, `length_col` (if there is one) brought up to date. Rows without findings are as they were."""
-    hit = findings(docs, ledger, id_col, text_col).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.first("spans").alias("_spans"))
+    hit = findings(docs, ledger, id_col, text_col).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,6 +102,8 @@ def redacted(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
             columns = [pa.array(new, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    joined = docs.join(hit.hint("shuffle_hash"), docs[id_col] == hit._id, "left").select(*(docs[c] for c in docs.columns), "_spans")
+    # by the row's own text: ids may be null or hold several texts
+    named = docs.withColumn("_of", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    joined = named.join(hit.hint("shuffle_hash"), named._of == hit._blob, "left").select(*(named[c] for c in docs.columns), "_spans")
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
