@@ -435,3 +435,11 @@ def test_secrets_are_redacted_by_text(spark):
     out = sorted((r.doc_id or 0, r.text) for r in secrets.redacted(df).collect())
     assert out == sorted((i or 0, secrets.redact(t, base_spans(t))) for i, t in texts)
     assert not any(base_spans(t) for _, t in out) and (7, "nothing in the third version of it") in out
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated and null ids: one row of each group, that of the smallest id."""
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "One two three four five six"), (1, "quite another text of words"), (3, "quite another text of words"), (None, "without any id at all here"), (None, "without any id at all here"), (None, "one two three four five six"), (0, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.deduplicated(df).collect())
+    assert out == [(False, 0, ""), (False, 1, "one two three four five six"), (False, 1, "quite another text of words"), (True, 0, "without any id at all here")]

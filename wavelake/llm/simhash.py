@@ -277,8 +277,8 @@ def near_copies(rows: DataFrame, size: int = WORDS, least: float = SIMILAR) -> D
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group of near copies (see near_copies), and rows without an id."""
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    named = rows.select("row", "doc_id").join(near_copies(rows), "row")
-    keep = named.groupBy("root").agg(F.min("doc_id").alias(id_col)).select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(keep.hint("shuffle_hash"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of `docs` for each group of near copies (see near_copies): that of the smallest id, and of equal ids the first; a null id stays only where the group has no other."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    named = rows.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id")).join(near_copies(rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))), "row")
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(keep.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
