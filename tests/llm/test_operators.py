@@ -443,3 +443,14 @@ def test_one_row_of_each_group_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.deduplicated(df).collect())
     assert out == [(False, 0, ""), (False, 1, "one two three four five six"), (False, 1, "quite another text of words"), (True, 0, "without any id at all here")]
+
+
+@pytest.mark.parametrize("count", [256, 1024, 2048, 4096])
+def test_pivots_recall_does_not_fall_with_their_number(count):
+    """Share of pairs at the threshold with the needed number of common nearest pivots."""
+    pick = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivot, a, z = (unit(pick.normal(size=(n, 64))) for n in (count, 1000, 1000))
+    b = 0.9 * a + np.sqrt(1 - 0.81) * unit(z - (z * a).sum(1, keepdims=True) * a)
+    near = [np.argsort(-x @ pivot.T, axis=1)[:, : pivots.nearest_of(count)] for x in (a, b)]
+    assert ((near[0][:, :, None] == near[1][:, None, :]).any(2).sum(1) >= pivots.SHARED).mean() > 0.95

@@ -1,15 +1,16 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Pivots are a hashed sample of the vectors, their number growing with the square root of the table. Each vector is
-described by its NEAREST nearest pivots in order; two vectors closer than the threshold share most of them. Inverted
-lists hold vectors by pivot, joined in twos: sets of 8 that share 3 or more pivots share two of the 7 that come first
-in any fixed order, so with the rarest pivots first a vector is posted under the 21 pairs of its 7 rarest, and every
+described by its nearest pivots in order (8 of up to 256 pivots, one more for each doubling, so that the recall does not
+fall as the table grows); two vectors closer than the threshold share most of them. Inverted
+lists hold vectors by pivot, joined in twos: sets of k that share 3 or more pivots share two of the k - 1 that come first
+in any fixed order, so with the rarest pivots first a vector is posted under the pairs of its k - 1 rarest, and every
 pair with the needed count meets. A pair is taken up only in the list of the first two pivots that it shares, its
 shared pivots are counted, and the cosine is verified in double precision. Long lists are cut into blocks, and each
 pair of blocks is a unit of work; what leaves it are counts of links for each vector and a spanning forest of them.
 Equal vectors are described and compared once, with their number.
 
-The index is approximate: a link is lost only if the two share fewer than 3 of their 8 nearest pivots. Every vector is
+The index is approximate: a link is lost only if the two share fewer than 3 of their nearest pivots. Every vector is
 indexed; tests measure the recall against brute force.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most,
@@ -35,6 +36,11 @@ MOST_PIVOTS = 4096
 BLOCK = 1024
 
 
+def nearest_of(pivots: int) -> int:
+    """How many of its nearest pivots describe a vector: NEAREST up to 256 pivots, one more for each doubling."""
+    return NEAREST + max(0, int(np.ceil(np.log2(max(pivots, 1) / 256))))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A row for each list; all have the same length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -104,9 +110,9 @@ def _pairs(x: np.ndarray, near: np.ndarray, own: np.ndarray, diagonal: bool, key
     return i[k], j[k]
 
 
-def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLOCK, nearest: int = NEAREST) -> DataFrame:
     """(src, dst, n): with src = dst, n linked vectors of a row (weighted by their number, column k); else a link of the spanning forest. `index`: row, k, vector, near by rarity (as ranks)."""
-    posted = NEAREST - shared + 2
+    posted = nearest - shared + 2
     keys = F.array(*(F.shiftleft(F.col("near")[a].cast("long"), 20) + F.col("near")[b] for a, b in itertools.combinations(range(posted), 2)))
     posts = index.where(F.size("near") >= posted).select("row", F.explode(keys).alias("post"))
     large = posts.groupBy("post").agg(F.count("*").alias("m")).where("m > 1").select("post", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
@@ -150,7 +156,7 @@ def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLO
     return work.repartition("post", "unit").sortWithinPartitions("post", "unit").mapInArrow(run, "src long, dst long, n long")
 
 
-def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int | None = None, shared: int = SHARED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`."""
     value = F.col(vector_col)
     sound = value.isNotNull() & (F.size(value) > 0) & F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(value, lambda v: v != 0)
@@ -166,6 +172,7 @@ def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     count = int(2 ** np.ceil(np.log2(max(16.0, np.sqrt(single.count())))))
     drawn = single.orderBy(F.xxhash64("row"), "row").limit(2 * min(count, MOST_PIVOTS)).select("vector").toArrow()["vector"].combine_chunks()
     chosen = spread(_unit(_matrix(drawn)), min(count, MOST_PIVOTS))
+    nearest = nearest or nearest_of(len(chosen))
     near = described(single, chosen, nearest)
     near = materialize(near, "pivots-near")
     # the rarest pivots come first: at most MOST_PIVOTS numbers
@@ -175,7 +182,7 @@ def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     rank = np.empty(len(chosen), np.int64)
     rank[np.lexsort((np.arange(len(chosen)), load))] = np.arange(len(chosen))
     index = _ranked(near, rank).join(single.select("row", "k"), "row")
-    found = materialize(links(index, least, shared), "pivots-links")
+    found = materialize(links(index, least, shared, nearest=nearest), "pivots-links")
     number = found.where("src = dst").groupBy(F.col("src").alias("row")).agg(F.sum("n").alias("n"))
     root = connected_components(found.where("src <> dst").select("src", "dst"), "pivots-cc")
     named = single.join(root, single.row == root.node, "left").select("row", "vector", "first", "k", F.coalesce("component", "row").alias("root"))
