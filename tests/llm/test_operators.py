@@ -454,3 +454,15 @@ def test_pivots_recall_does_not_fall_with_their_number(count):
     b = 0.9 * a + np.sqrt(1 - 0.81) * unit(z - (z * a).sum(1, keepdims=True) * a)
     near = [np.argsort(-x @ pivot.T, axis=1)[:, : pivots.nearest_of(count)] for x in (a, b)]
     assert ((near[0][:, :, None] == near[1][:, None, :]).any(2).sum(1) >= pivots.SHARED).mean() > 0.95
+
+
+def test_pivots_of_few_or_dense_vectors(spark):
+    """Two near copies alone; one dense group; vectors with a strong common direction, in several blocks: fewer pivots remain than are posted."""
+    pick = np.random.default_rng(8)
+    common = pick.normal(size=64)
+    for n, spread in ((2, 0.1), (40, 0.2), (1500, 0.5)):
+        x = common + spread * pick.normal(size=(n, 64))
+        got = {r.vec_id: r for r in pivots.components(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert [got[i].n_links for i in range(n)] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+        assert n > 40 or {r.component_id for r in got.values()} == {0}

@@ -10,7 +10,8 @@ shared pivots are counted, and the cosine is verified in double precision. Long
 pair of blocks is a unit of work; what leaves it are counts of links for each vector and a spanning forest of them.
 Equal vectors are described and compared once, with their number.
 
-The index is approximate: a link is lost only if the two share fewer than 3 of their nearest pivots. Every vector is
+The index is approximate: a link is lost only if the two share fewer than 3 of their nearest pivots. Where so few
+pivots remain that vectors can't be posted (few or very dense vectors), all are compared with all, and no link is lost. Every vector is
 indexed; tests measure the recall against brute force.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most,
@@ -34,6 +35,8 @@ from .simhash import _forest
 NEAREST, SHARED = 8, 3
 MOST_PIVOTS = 4096
 BLOCK = 1024
+#: The key of all rows where fewer pivots remain than a vector is posted under.
+ALL = -1
 
 
 def nearest_of(pivots: int) -> int:
@@ -86,7 +89,7 @@ def _ranked(near: DataFrame, rank: np.ndarray) -> DataFrame:
     return near.select("row", "vector", "near").mapInArrow(run, near.select("row", "vector", "near").schema)
 
 
-def _pairs(x: np.ndarray, near: np.ndarray, own: np.ndarray, diagonal: bool, key: tuple[int, int], least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(x: np.ndarray, near: np.ndarray, own: np.ndarray, diagonal: bool, key: tuple[int, int] | None, least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one unit of work that are linked and taken up under this key. `near` has the pivots by rarity, the posted ones first."""
     i, j = np.nonzero(np.triu(x @ x.T >= least - 1e-9, 1))
     if not diagonal:
@@ -96,6 +99,9 @@ def _pairs(x: np.ndarray, near: np.ndarray, own: np.ndarray, diagonal: bool, key
     kept = []
     for at in range(0, len(i), 100_000):
         a, b = i[at : at + 100_000], j[at : at + 100_000]
+        if key is None:
+            kept.append(np.flatnonzero((x[a] * x[b]).sum(1) >= least) + at)
+            continue
         same = (near[a][:, :, None] == near[b][:, None, :]).any(2)
         head = near.shape[1] - shared + 2
         posted = (near[a][:, :head, None] == near[b][:, None, :head]).any(2)
@@ -114,7 +120,8 @@ def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLO
     """(src, dst, n): with src = dst, n linked vectors of a row (weighted by their number, column k); else a link of the spanning forest. `index`: row, k, vector, near by rarity (as ranks)."""
     posted = nearest - shared + 2
     keys = F.array(*(F.shiftleft(F.col("near")[a].cast("long"), 20) + F.col("near")[b] for a, b in itertools.combinations(range(posted), 2)))
-    posts = index.where(F.size("near") >= posted).select("row", F.explode(keys).alias("post"))
+    # too few pivots tell nothing apart: all rows meet under one key
+    posts = index.select("row", F.explode(F.when(F.size("near") >= posted, keys).otherwise(F.array(F.lit(ALL).cast("long")))).alias("post"))
     large = posts.groupBy("post").agg(F.count("*").alias("m")).where("m > 1").select("post", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     work = posts.join(large, "post").withColumn("own", mine)
@@ -142,7 +149,7 @@ def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLO
             end = np.r_[begin[1:], len(post)]
             left, right = [], []
             for a, z in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-                i, j = _pairs(x[a:z], near[a:z], own[a:z], bool(diagonal[a]), (int(post[a]) >> 20, int(post[a]) & 0xFFFFF), least, shared)
+                i, j = _pairs(x[a:z], near[a:z], own[a:z], bool(diagonal[a]), None if post[a] == ALL else (int(post[a]) >> 20, int(post[a]) & 0xFFFFF), least, shared)
                 if len(i):
                     left.append(i + a)
                     right.append(j + a)
