@@ -9,7 +9,7 @@ and each pair of blocks is a unit of work, so that no list is gathered in one ta
 spanning forest leaves a unit: links inside what is already connected add nothing to the components.
 
 The pipeline's stage (`deduplicated`) needs all pairs with a similarity of 0.8 or more in runs of five words. Those lie
-3 to 13 bits apart or more and often share no byte, so fingerprints can't find them: there, sets of shingles meet in
+up to 14 bits apart on sf0.1 and some share no byte, so fingerprints can't find them all: there, sets of shingles meet in
 lists by bands of their smallest hashes, and the similarity of whole sets is verified.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal texts share
