@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
+#: Stands for a null id where ids are put in order: after all others.
+NO_ID = 2**63 - 1
 
 
 def words(text: str) -> list[str]:
@@ -45,7 +47,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that `materialize` made and that no plan reads any more. What a returned plan still reads stays, for the owner of the shared folder to clear."""
+    for df in stored:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._stored)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucket_of(id_col: str, n: int) -> Column:
@@ -58,10 +70,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
-    """Smallest node that each node of `edges` (src, dst; long) reaches, as (node, component).
+    """Smallest node that each node of `edges` (src, dst; of any type with an order, structs included) reaches, as (node, component).
 
     Alternating large-star and small-star rounds: each is a map-side combined minimum for a node and one join,
-    so a node with very many links is never gathered in one list. Each round is written to the shared folder.
+    so a node with very many links is never gathered in one list. Each round is written to the shared folder, and the
+    one before it deleted.
     """
     e = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), name)
     state = None
@@ -71,7 +84,8 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-        e = materialize(small.where("u <> v").distinct(), name)
+        before, e = e, materialize(small.where("u <> v").distinct(), name)
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if now == state:
             break
@@ -80,3 +94,12 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def ordered_node(first: str, own: str) -> Column:
+    """A node of `connected_components` for a group of rows: its smallest id, then its own number. The component's first field is the smallest id of all, with no join by component. Null ids come last."""
+    return F.struct(F.coalesce(F.col(first), F.lit(NO_ID)).alias("first"), F.col(own).alias("own"))
+
+
+def first_id(node: str) -> Column:
+    return F.nullif(F.col(f"{node}.first"), F.lit(NO_ID))

@@ -1,18 +1,19 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Pivots are a hashed sample of the vectors, their number growing with the square root of the table. Each vector is
-described by its nearest pivots in order (8 of up to 256 pivots, one more for each doubling, so that the recall does not
-fall as the table grows); two vectors closer than the threshold share most of them. Inverted
-lists hold vectors by pivot, joined in twos: sets of k that share 3 or more pivots share two of the k - 1 that come first
-in any fixed order, so with the rarest pivots first a vector is posted under the pairs of its k - 1 rarest, and every
-pair with the needed count meets. A pair is taken up only in the list of the first two pivots that it shares, its
-shared pivots are counted, and the cosine is verified in double precision. Long lists are cut into blocks, and each
-pair of blocks is a unit of work; what leaves it are counts of links for each vector and a spanning forest of them.
-Equal vectors are described and compared once, with their number.
+described by its nearest pivots in order (8 of up to 256 pivots, one more for each doubling, so that the recall does
+not fall as the table grows); two vectors closer than the threshold share most of them. Two sets of k pivots that share
+3 or more share two of the k - 1 that come first in any fixed order, so with the rarest pivots first a vector is posted
+under its k - 1 rarest only. An inverted list is named by the first pivot that two vectors share, and, where lists
+would grow beyond LIST rows, also by a part of the second one (`parts` of them: 1 in a small table, up to every pivot
+by itself in a huge one), so a vector is sent k - 2 times in a small table. A pair is taken up only in the list of the
+first two posted pivots that it shares, its shared pivots are counted, and the cosine is verified in double precision.
+Lists are cut into blocks, and each pair of blocks is a unit of work; what leaves it are counts of links for each
+vector and a spanning forest of them. Equal vectors are described and compared once, with their number.
 
 The index is approximate: a link is lost only if the two share fewer than 3 of their nearest pivots. Where so few
-pivots remain that vectors can't be posted (few or very dense vectors), all are compared with all, and no link is lost. Every vector is
-indexed; tests measure the recall against brute force.
+pivots remain that vectors can't be posted (few or very dense vectors), all are compared with all in blocks, and no
+link is lost. Every vector is indexed; tests measure the recall against brute force.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most,
 link with nothing, and neither count as anyone's link; a null id is carried, and doesn't name a component unless no
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, first_id, materialize, ordered_node
 from .simhash import _forest
 
 NEAREST, SHARED = 8, 3
 MOST_PIVOTS = 4096
-BLOCK = 1024
+#: Rows of a list that are compared at once with as many others, and rows that a list should have at most.
+BLOCK, LIST = 2048, 4096
 #: The key of all rows where fewer pivots remain than a vector is posted under.
 ALL = -1
 
@@ -57,11 +59,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def spread(drawn: np.ndarray, count: int, apart: float = 0.7) -> np.ndarray:
     """Up to `count` of the drawn unit vectors, none within a cosine of `apart` of another: a dense group gets one pivot, else its members would be told apart by chance."""
-    kept = np.zeros((0, drawn.shape[1]))
+    kept, n = np.empty((count, drawn.shape[1])), 0
     for x in drawn:
-        if len(kept) < count and not (kept @ x > apart).any():
-            kept = np.vstack([kept, x])
-    return kept
+        if n < count and not (kept[:n] @ x > apart).any():
+            kept[n] = x
+            n += 1
+    return kept[:n]
 
 
 def described(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
@@ -89,37 +92,57 @@ def _ranked(near: DataFrame, rank: np.ndarray) -> DataFrame:
     return near.select("row", "vector", "near").mapInArrow(run, near.select("row", "vector", "near").schema)
 
 
-def _pairs(x: np.ndarray, near: np.ndarray, own: np.ndarray, diagonal: bool, key: tuple[int, int] | None, least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(x: np.ndarray, near: np.ndarray, own: np.ndarray, diagonal: bool, key: tuple[int, int] | None, least: float, shared: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one unit of work that are linked and taken up under this key. `near` has the pivots by rarity, the posted ones first."""
-    i, j = np.nonzero(np.triu(x @ x.T >= least - 1e-9, 1))
-    if not diagonal:
-        i, j = (z[own[i] != own[j]] for z in (i, j)) if len(i) else (i, j)
-    if not len(i):
-        return i, j
+    if diagonal:
+        i, j = np.nonzero(np.triu(_close(x, x, least), 1))
+    else:
+        a, b = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+        i, j = np.nonzero(_close(x[a], x[b], least))
+        i, j = a[i], b[j]
     kept = []
     for at in range(0, len(i), 100_000):
         a, b = i[at : at + 100_000], j[at : at + 100_000]
-        if key is None:
-            kept.append(np.flatnonzero((x[a] * x[b]).sum(1) >= least) + at)
-            continue
-        same = (near[a][:, :, None] == near[b][:, None, :]).any(2)
-        head = near.shape[1] - shared + 2
-        posted = (near[a][:, :head, None] == near[b][:, None, :head]).any(2)
-        # of the posted pivots that both share, the first two are this key
-        first = np.argmax(posted, axis=1)
-        rest = posted.copy()
-        rest[np.arange(len(a)), first] = False
-        second = np.argmax(rest, axis=1)
-        mine = (near[a, first] == key[0]) & (near[a, second] == key[1]) & (same.sum(1) >= shared)
-        kept.append(np.flatnonzero(mine & ((x[a] * x[b]).sum(1) >= least)) + at)
-    k = np.concatenate(kept)
+        mine = (x[a] * x[b]).sum(1) >= least
+        if key is not None:
+            same = (near[a][:, :, None] == near[b][:, None, :]).any(2)
+            head = near.shape[1] - shared + 2
+            posted = (near[a][:, :head, None] == near[b][:, None, :head]).any(2)
+            # of the posted pivots that both share, the first two are this key
+            first = np.argmax(posted, axis=1)
+            rest = posted.copy()
+            rest[np.arange(len(a)), first] = False
+            second = np.argmax(rest, axis=1)
+            mine &= (near[a, first] == key[0]) & (near[a, second] % parts == key[1]) & rest.any(1) & (same.sum(1) >= shared)
+        kept.append(np.flatnonzero(mine) + at)
+    k = np.concatenate(kept) if kept else np.zeros(0, np.int64)
     return i[k], j[k]
 
 
-def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLOCK, nearest: int = NEAREST) -> DataFrame:
+def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """What may reach the threshold: single precision with room for its error, verified afterwards."""
+    return a.astype(np.float32) @ b.astype(np.float32).T >= np.float32(least - 1e-4)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs of equal (post, unit)."""
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if t is None or not t.num_rows:
+            continue
+        post, unit = t["post"].to_numpy(), t["unit"].to_numpy()
+        same = (post == post[-1]) & (unit == unit[-1])
+        cut = t.num_rows if b is None else t.num_rows - int(same.sum())
+        rest = t.slice(cut).combine_chunks()
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+
+
+def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLOCK, nearest: int = NEAREST, parts: int = 1) -> DataFrame:
     """(src, dst, n): with src = dst, n linked vectors of a row (weighted by their number, column k); else a link of the spanning forest. `index`: row, k, vector, near by rarity (as ranks)."""
     posted = nearest - shared + 2
-    keys = F.array(*(F.shiftleft(F.col("near")[a].cast("long"), 20) + F.col("near")[b] for a, b in itertools.combinations(range(posted), 2)))
+    keys = F.array_distinct(F.array(*(F.shiftleft(F.col("near")[a].cast("long"), 20) + F.col("near")[b] % parts for a, b in itertools.combinations(range(posted), 2))))
     # too few pivots tell nothing apart: all rows meet under one key
     posts = index.select("row", F.explode(F.when(F.size("near") >= posted, keys).otherwise(F.array(F.lit(ALL).cast("long")))).alias("post"))
     large = posts.groupBy("post").agg(F.count("*").alias("m")).where("m > 1").select("post", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
@@ -128,28 +151,15 @@ def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLO
     work = work.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j).cast("long") * F.col("blocks") + F.greatest(mine, j))))
     work = work.select("post", "unit", "own", F.expr("unit div blocks = unit % blocks").alias("diagonal"), "row").join(index.select("row", "k", "vector", "near"), "row")
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        rest = None
-        for b in itertools.chain(batches, [None]):
-            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if t is None or not t.num_rows:
-                continue
-            post, unit = t["post"].to_numpy(), t["unit"].to_numpy()
-            same = (post == post[-1]) & (unit == unit[-1])
-            cut = t.num_rows if b is None else t.num_rows - int(same.sum())
-            rest = t.slice(cut).combine_chunks()
-            if cut:
-                yield t.slice(0, cut).combine_chunks()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in units(batches):
+        for t in _units(batches):
             post, unit, own, diagonal, row, k = (t[c].to_numpy() for c in ("post", "unit", "own", "diagonal", "row", "k"))
             x, near = _unit(_matrix(t["vector"].combine_chunks())), _matrix(t["near"].combine_chunks()).astype(np.int64)
             begin = np.flatnonzero(np.r_[True, (post[1:] != post[:-1]) | (unit[1:] != unit[:-1])])
             end = np.r_[begin[1:], len(post)]
             left, right = [], []
             for a, z in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-                i, j = _pairs(x[a:z], near[a:z], own[a:z], bool(diagonal[a]), None if post[a] == ALL else (int(post[a]) >> 20, int(post[a]) & 0xFFFFF), least, shared)
+                i, j = _pairs(x[a:z], near[a:z], own[a:z], bool(diagonal[a]), None if post[a] == ALL else (int(post[a]) >> 20, int(post[a]) & 0xFFFFF), least, shared, parts)
                 if len(i):
                     left.append(i + a)
                     right.append(j + a)
@@ -163,6 +173,11 @@ def links(index: DataFrame, least: float, shared: int = SHARED, block: int = BLO
     return work.repartition("post", "unit").sortWithinPartitions("post", "unit").mapInArrow(run, "src long, dst long, n long")
 
 
+def parts_of(rows: int, pivots: int, nearest: int, shared: int = SHARED, most: int = LIST) -> int:
+    """Parts of the second pivot so that a list of the first one has about `most` rows."""
+    return int(min(max(pivots, 1), -(-rows * max(nearest - shared + 1, 1) // (max(pivots, 1) * most)) or 1))
+
+
 def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int | None = None, shared: int = SHARED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`."""
     value = F.col(vector_col)
@@ -176,12 +191,12 @@ def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     good = F.col("sound") & (F.size("vector") == common["n"])
     single = own.where(good).groupBy("vector").agg(F.min("row").alias("row"), F.min("vec_id").alias("first"), F.count("*").alias("k"))
     single = materialize(single, "pivots-distinct")
-    count = int(2 ** np.ceil(np.log2(max(16.0, np.sqrt(single.count())))))
-    drawn = single.orderBy(F.xxhash64("row"), "row").limit(2 * min(count, MOST_PIVOTS)).select("vector").toArrow()["vector"].combine_chunks()
-    chosen = spread(_unit(_matrix(drawn)), min(count, MOST_PIVOTS))
+    rows = single.count()
+    count = min(int(2 ** np.ceil(np.log2(max(16.0, np.sqrt(rows))))), MOST_PIVOTS)
+    drawn = single.orderBy(F.xxhash64("row"), "row").limit(2 * count).select("vector").toArrow()["vector"].combine_chunks()
+    chosen = spread(_unit(_matrix(drawn)), count)
     nearest = nearest or nearest_of(len(chosen))
-    near = described(single, chosen, nearest)
-    near = materialize(near, "pivots-near")
+    near = materialize(described(single, chosen, nearest), "pivots-near")
     # the rarest pivots come first: at most MOST_PIVOTS numbers
     load = np.zeros(len(chosen), np.int64)
     for r in near.select(F.explode("near").alias("p")).groupBy("p").count().collect():
@@ -189,11 +204,14 @@ def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     rank = np.empty(len(chosen), np.int64)
     rank[np.lexsort((np.arange(len(chosen)), load))] = np.arange(len(chosen))
     index = _ranked(near, rank).join(single.select("row", "k"), "row")
-    found = materialize(links(index, least, shared, nearest=nearest), "pivots-links")
+    found = materialize(links(index, least, shared, nearest=nearest, parts=parts_of(rows, len(chosen), nearest, shared)), "pivots-links")
+    discard(near)
     number = found.where("src = dst").groupBy(F.col("src").alias("row")).agg(F.sum("n").alias("n"))
-    root = connected_components(found.where("src <> dst").select("src", "dst"), "pivots-cc")
-    named = single.join(root, single.row == root.node, "left").select("row", "vector", "first", "k", F.coalesce("component", "row").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").join(number, "row", "left")
-    named = named.select("vector", "component_id", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"))
+    forest = found.where("src <> dst")
+    ends = [single.select(F.col("row").alias(end), ordered_node("first", "row").alias(f"{end}_node")) for end in ("src", "dst")]
+    forest = forest.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    root = connected_components(forest, "pivots-cc").select(F.col("node.own").alias("row"), F.col("component").alias("root"))
+    named = single.join(root, "row", "left").join(number, "row", "left")
+    named = named.select("vector", F.coalesce(first_id("root"), "first").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"))
     out = own.where(good).join(named, "vector").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     return out.unionByName(bare(own.where(~good)))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fold, materialize, words
+from .common import connected_components, discard, first_id, fold, materialize, ordered_node, words
 
 BITS = 4
 #: Rows of a posting list that are compared at once with as many others.
@@ -152,10 +152,12 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable through links between fingerprints of at most `bits` differing bits."""
     own = materialize(fingerprints(docs, id_col, text_col, size), "simhash-fp")
-    single = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = connected_components(links(single.select("fp"), bits), "simhash-cc")
-    named = single.join(root, single.fp == root.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    single = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-single")
+    found = links(single.select("fp"), bits)
+    ends = [single.select(F.col("fp").alias(end), ordered_node("first", "fp").alias(f"{end}_node")) for end in ("src", "dst")]
+    found = found.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    root = connected_components(found, "simhash-cc").select(F.col("node.own").alias("fp"), F.col("component").alias("root"))
+    named = single.join(root, "fp", "left").select("fp", F.coalesce(first_id("root"), "first").alias("component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
