@@ -14,6 +14,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id where ids are put in order: after all others.
 NO_ID = 2**63 - 1
+#: Parts of a node's edges in a join.
+SALTS = 4
 
 
 def words(text: str) -> list[str]:
@@ -81,9 +83,9 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _salted(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        small = _salted(large, low).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         before, e = e, materialize(small.where("u <> v").distinct(), name)
         discard(before)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
@@ -96,6 +98,12 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _salted(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges with the minimum of their node u, in SALTS parts of each node, so that a node with very many edges is spread (and can be split further)."""
+    parts = low.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(parts, ["u", "salt"]).drop("salt")
+
+
 def ordered_node(first: str, own: str) -> Column:
     """A node of `connected_components` for a group of rows: its smallest id, then its own number. The component's first field is the smallest id of all, with no join by component. Null ids come last."""
     return F.struct(F.coalesce(F.col(first), F.lit(NO_ID)).alias("first"), F.col(own).alias("own"))

@@ -213,5 +213,8 @@ def components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     root = connected_components(forest, "pivots-cc").select(F.col("node.own").alias("row"), F.col("component").alias("root"))
     named = single.join(root, "row", "left").join(number, "row", "left")
     named = named.select("vector", F.coalesce(first_id("root"), "first").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"))
+    # written, so that a vector with very many rows can be split in the join
+    named = materialize(named, "pivots-named")
+    discard(found, single)
     out = own.where(good).join(named, "vector").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     return out.unionByName(bare(own.where(~good)))

@@ -157,7 +157,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = [single.select(F.col("fp").alias(end), ordered_node("first", "fp").alias(f"{end}_node")) for end in ("src", "dst")]
     found = found.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
     root = connected_components(found, "simhash-cc").select(F.col("node.own").alias("fp"), F.col("component").alias("root"))
-    named = single.join(root, "fp", "left").select("fp", F.coalesce(first_id("root"), "first").alias("component_id"))
+    # written, so that a fingerprint with very many rows can be split in the join
+    named = materialize(single.join(root, "fp", "left").select("fp", F.coalesce(first_id("root"), "first").alias("component_id")), "simhash-named")
+    discard(single)
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
