@@ -38,8 +38,9 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.findings(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    joined = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
-    return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
+    base = F.filter("spans", lambda s: s.kind.isin(*secrets.KINDS))
+    return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
