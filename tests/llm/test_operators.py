@@ -183,8 +183,8 @@ def test_crf_posteriors_equal_enumeration():
 def test_code_switched_text_is_told_apart():
     rows = [("en", "the and of with that from here there".split())] * 20 + [("fr", "le la des une avec pour dans été".split())] * 20
     crf = langid.learn(rows)
-    share, switches = langid.tag(crf, ["the and of with that le la des une avec pour", "the of and", "123", None])
-    assert switches.tolist() == [1, 0, 0, 0] and 0.3 < share[0, 0] < 0.6 and share[1, 0] > 0.9 and not share[2:].any()
+    share, switches, sure = langid.tag(crf, ["the and of with that le la des une avec pour", "the of and", "123", None])
+    assert switches.tolist() == [1, 0, 0, 0] and 0.3 < share[0, 0] < 0.6 and share[1, 0] > 0.9 and not share[2:].any() and (sure[:2] > 0.9).all()
 
 
 def base_spans(t):
@@ -466,3 +466,153 @@ def test_pivots_of_few_or_dense_vectors(spark):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         assert [got[i].n_links for i in range(n)] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
         assert n > 40 or {r.component_id for r in got.values()} == {0}
+
+
+def test_text_decides_in_filters(spark):
+    """Filters judge each row by its own text: repeated and null ids, a text of three languages in equal parts, more than 64 languages."""
+    words = {f"l{i}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("ora", "ite", "umb", "esk")] for i in range(70)}
+    rows = [(n * 70 + i, " ".join(w * 5), lang) for n in range(4) for i, (lang, w) in enumerate(words.items())]
+    mixed = " ".join(words["l0"] * 3 + words["l30"] * 3 + words["l69"] * 3)
+    df = spark.createDataFrame([*rows, (1, mixed, None), (1, "123 456", "l1"), (None, "!!!", None), (None, rows[0][1], None)], "doc_id long, text string, lang string")
+    out = {(r.doc_id, r.text) for r in langid.filtered(df).collect()}
+    assert out == {(i, t) for i, t, _ in rows} | {(1, mixed), (None, rows[0][1])}
+    got = {r.doc_id: r.lang_pred for r in langid.identified(df.where("doc_id > 1")).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows if i > 1) > 0.95 * len(got)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    verdict = {r.doc_id: r.predicted for r in quality.scored(docs, labels).collect()}
+    bad, good = (next(i for i, p in sorted(verdict.items()) if p == x and docs.where(f"doc_id = {i}").first().text) for x in (0, 1))
+    more = docs.unionByName(docs.where(f"doc_id = {bad}").withColumn("doc_id", F.lit(good))).unionByName(docs.where(f"doc_id = {good}").withColumn("doc_id", F.lit(None).cast("long")))
+    kept = quality.filtered(more, labels.where(f"doc_id not in ({good}, {bad})")).select("doc_id", "text").collect()
+    assert sum(r.doc_id == good for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_ranking_equals_plain_ascent():
+    pick = np.random.default_rng(11)
+    label = (pick.random(120) < 0.6).astype(int)
+    rows = pick.normal(size=(120, 3)) + label[:, None] * np.array([0.8, -0.5, 0.0])
+    ranker = quality.fit(rows, label, ("a", "b", "c"))
+    z = np.clip((rows - rows.mean(0)) / rows.std(0), -8, 8)
+    w = [0.0] * 3
+    both = list(zip(*quality.pairs(label)))
+    for _ in range(3000):
+        grad = [-1e-3 * x for x in w]
+        d = np.array([z[i] - z[j] for i, j in both]) if _ == 0 else d
+        p = 1 / (1 + np.exp(-d @ np.array(w)))
+        grad = np.array(grad) + ((1 - p)[:, None] * d).mean(0)
+        w = np.array(w) + 1.0 * grad
+    assert np.allclose(ranker.weights, w, atol=1e-4)
+    s = z @ w
+    assert sum(s < ranker.cut) == (label == 0).sum()  # the cut is the quantile that the share of worse rows names
+
+
+def test_expectation_maximisation_equals_text_by_text():
+    """The same estimate from single texts with plain probabilities."""
+    pick = np.random.default_rng(12)
+    texts = [tuple(int(x) for x in (pick.choice([-1, 0, 1], 3, p=[0.1, 0.2, 0.7] if i % 3 else [0.6, 0.3, 0.1]))) for i in range(90)]
+    prior, add = rules.estimate(sorted(Counter(texts).items()), rounds=7)
+    good = [0.1 if min(v) < 0 else 0.6 + 0.3 * sum(v) / 3 for v in texts]
+    for _ in range(7):
+        yes = sum(good)
+        p = (yes + 1) / (len(texts) + 2)
+        like = [{x: tuple((sum(g for g, v in zip(side, texts) if v[r] == x) + 0.5) / (sum(side) + 1.5) for side in (good, [1 - g for g in good])) for x in (-1, 0, 1)} for r in range(3)]
+        for t in like:  # no worse than chance
+            for x, worse in ((-1, 1), (1, -1)):
+                a, b = t[x]
+                t[x] = (a, a) if (a - b) * worse > 0 else (a, b)
+        good = []
+        for v in texts:
+            a, b = p, 1 - p
+            for r, x in enumerate(v):
+                a, b = a * like[r][x][0], b * like[r][x][1]
+            good.append(a / (a + b))
+    mine = [1 / (1 + math.exp(-(prior + sum(a[x] for a, x in zip(add, v))))) for v in texts]
+    assert np.allclose(mine, good)
+
+
+def test_packing_of_several_groups(spark):
+    """Over 4096 pieces in groups, with a certificate; sizes that fit in twos and threes only, and tiny ones."""
+    pick = np.random.default_rng(13)
+    sizes = [*map(int, pick.integers(1, 2049, 6000)), *[1025] * 500, *[683] * 600, *[3] * 2000]
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(df, group=700).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(sizes)))
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        assert all(a + n == z for (a, n), (z, _) in zip(sorted(b), [*sorted(b)[1:], (sum(n for _, n in b), 0)])) and sum(n for _, n in b) <= 2048
+    bound = packing.lower_bound(np.array(sizes))
+    assert {(r.total_bins, r.total_bound) for r in rows} == {(len(bins), bound)} and len(bins) <= 1.01 * (packing.best_fit_decreasing(np.array(sizes))[0].max() + 1) and all(r.group_bins >= r.group_bound for r in rows)
+
+
+def test_packing_takes_any_text():
+    own = Tokenizer.from_file(BPE)
+    for t in (" " * 2_000_000, "\n" * 600_000 + "x", "a" + " \t" * 300_000, "x" * 300_000, "\u3000" * 400_000):
+        assert packing.tokens(BPE, t)[:-1].tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_with_another_normaliser(tmp_path):
+    import json
+
+    spec = json.load(open(BPE, encoding="utf-8"))
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "low.json").write_text(json.dumps(spec), encoding="utf-8")
+    path = str(tmp_path / "low.json")
+    assert packing.coder(path)[0] is None and packing.coder(BPE)[0] is not None
+    assert packing.tokens(path, "Some TEXT").tolist() == packing.tokens(BPE, "some text").tolist()
+
+
+def test_trees_on_hosts_left_out(spark):
+    """Urls of hosts that no rule names are judged as a rule would have done; repeated urls don't crowd the sample."""
+    pick = np.random.default_rng(14)
+    rows = []
+    for i in range(3000):
+        bad = i % 3 == 0
+        host = f"{'free-bets-' if bad else 'news'}{pick.integers(50)}.{'named' if i % 2 else 'other'}{pick.integers(9)}.{'xyz' if bad else 'info'}"
+        rows.append((i, f"http://{host}/{'win' if bad else 'read'}/{pick.integers(10**6)}{'?a=1&b=2' if bad else ''}", bad))
+    rows += [(5000 + i, "http://news1.named1.info/read/1", False) for i in range(3000)]
+    df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    given = [urls.Rule("block" if tld == "xyz" else "allow", f"named{k}.{tld}", "/") for k in range(9) for tld in ("xyz", "info")]
+    got = {r.page_id: r for r in urls.judged(df, given, sample_rows=600).collect()}
+    free = [(got[i].verdict, bad) for i, _, bad in rows if got[i].rule is None]
+    assert len(free) > 1000 and np.mean([(v == "block") == bad for v, bad in free]) > 0.98
+
+
+def test_url_query(spark):
+    got = queries.op10_url_trees(spark, "/root/testdata/sf0.01").toPandas()
+    pages = {r.page_id: r.url or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(got) == len(pages)
+    for r in got.itertuples():
+        rest = pages[r.page_id].partition("://")[2]
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        assert (r.host, r.path) == (re.sub("[A-Z]", lambda m: m[0].lower(), host), path)
+        fits = [u for u in queries.URL_RULES if (r.host == u.host or r.host.endswith("." + u.host)) and path.startswith(u.path)]
+        best = max(fits, key=lambda u: len(u.name), default=None)
+        assert r.rule == (best.name if best else None) and (r.verdict == best.verdict if best else 0 <= r.p_block <= 1)
+
+
+def test_secret_kinds_beyond_the_base():
+    text = f"x ghp_{'a1B2' * 9} y xoxb-123456789-abcdefghijk z eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl -----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY----- end"
+    found = secrets.scan(text)
+    assert [k for k, _, _ in found] == ["hosting", "chat", "jwt", "private_key"]
+    assert secrets.redact(text, found) == "x [TOKEN] y [TOKEN] z [TOKEN] [PRIVATE-KEY] end"
+    assert not secrets.scan("the highway eyJ and xoxo, gh PRIVATE KEY")
+
+
+def test_ledger_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, f"null id number {i % 3} token = abcdefghijkl{i % 3}") for i in range(60)] + [(5, "one text"), (5, "another secret: abcdefghijklmnop"), (5, "one text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    for _ in range(2):
+        out = secrets.findings(df, ledger).collect()
+        assert len(out) == len(rows) and sum(len(r.spans) for r in out) == 61
+        assert spark.read.parquet(ledger).count() == 5  # nothing is scanned twice
+    assert len(secrets.findings(df, ledger, version="next").collect()) == len(rows) and spark.read.parquet(ledger).count() == 10
+
+
+def test_components_over_structs_and_hot_nodes(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(50)] + [(7, 2000)]
+    df = spark.createDataFrame(edges, "a long, b long").select(F.struct(F.col("a").alias("first"), F.lit("x").alias("own")).alias("src"), F.struct(F.col("b").alias("first"), F.lit("x").alias("own")).alias("dst"))
+    got = {r.node["first"]: r.component["first"] for r in simhash.connected_components(df, "t").collect()}
+    assert got == {i: 0 for i in [*range(400), 2000]} | {1000 + i: 1000 for i in range(51)}
