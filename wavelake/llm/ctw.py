@@ -1,60 +1,58 @@
 """Language-model scores by context-tree weighting over bytes, beside an additive-smoothed unigram base score.
 
-Each byte is decomposed into 8 binary decisions, and each decision has a context tree over the bytes before it. Every
-node holds a Krichevsky-Trofimov estimate from the corpus counts; the weighted probability of a node mixes its own
+Each byte is decomposed into 8 binary decisions, and each decision has a context tree over the DEPTH bytes before it.
+Every node holds a Krichevsky-Trofimov estimate from the corpus counts; the weighted probability of a node mixes its own
 estimate with the product of its children's, half and half, from the deepest contexts up to the empty one. The
 posterior weights of that mixture give, for each context, the probability of each next byte across all depths, and the
-sum over a text is its code length.
+sum over a text is its code length. At a decision that training has not seen in a context, the mixture ends with the
+deepest context in which it has.
 
-The counts come from all training texts: occurrences of byte (depth+1)-grams and of words are added up within tasks
-and then by key. The model is the same at every size; what differs is where its deepest contexts are. Up to TABLE_ROWS
-contexts (and GRAMS grams) the driver works out the whole table. Beyond that the deepest contexts are worked out in
-tasks, in groups of those that share all bytes but the farthest (256 contexts at most), and a table of TABLE_ROWS of
-the most frequent ones is broadcast besides the shallower levels, which hold 65,793 contexts at most. What falls on the
-other contexts, like the words outside the HOT_WORDS most frequent ones, is joined by key. So nothing that grows with
-the corpus is broadcast and no joined key is hot.
+There is one way at every size. (DEPTH+1)-grams of bytes are counted in tasks and then by key; those of held-out texts
+are carried with count 0. A gram is written with the nearest byte first, so that in rising order all contexts of all
+depths are runs. The levels from DEPTH to GROUP are worked out in tasks, by runs of equal contexts of GROUP bytes (at
+most 256 ** (DEPTH - GROUP + 1) grams each), the levels above by sums and joins by key, up to the root and down again.
+The result is a table of the log probability of every gram that occurs in the corpus. Of it, as of the words, the most
+frequent entries (HOT_GRAMS, HOT_WORDS) are broadcast, and what else a text holds is joined by key: nothing that grows
+with the corpus is broadcast or brought to the driver, and no joined key is hot.
 
 Defined cases: a null text is empty, and scores only its end in the base score and 0 in the model; without training
-texts every context is the uniform one; repeated rows and null ids (fold 0) are scored each; an empty table gives an
-empty result; extra columns are ignored.
+texts every decision is even; repeated rows and null ids (fold 0) are scored each; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, fold, materialize, words
+from .common import bucket_of, discard, fold, materialize, words
 
-DEPTH = 3
-TABLE_ROWS = 1 << 16
-GRAMS = 4_000_000
-HOT_WORDS = 1 << 17
+#: Bytes of context (6 at most: a gram is one long), and of the contexts that are worked out together.
+DEPTH, GROUP = 6, 4
+HOT_GRAMS, HOT_WORDS = 1 << 22, 1 << 17
 #: No word: words hold no line feed.
 END = "\n"
-#: Contexts whose nodes are worked out at once, on the driver.
-NODES = 4096
-#: Bytes that are looked up at once, and distinct words that a task keeps before it passes counts on.
-CHUNK, KEPT = 1 << 20, 250_000
+#: Bytes that are looked up or counted at once; distinct grams and words that a task keeps before it passes counts on; grams whose nodes are worked out at once.
+CHUNK, KEPT_GRAMS, KEPT_WORDS, NODES = 1 << 22, 2_000_000, 250_000, 100_000
 
 
-def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, byte) of every byte of all texts, flat, with zeros before a text, and the length of each text."""
+def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every byte of all texts, flat, with zeros before a text, and the length of each text. A gram has the nearest byte of the context first and the byte itself last."""
     flat = np.frombuffer(b"".join(bytes(depth) + t for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    real = np.ones(len(flat), bool)
-    starts = np.cumsum(lengths + depth) - lengths - depth
-    real[(starts[:, None] + np.arange(depth)).ravel()] = False
-    at = np.flatnonzero(real)
-    context = np.zeros(len(at), np.uint32)
-    for d in range(depth, 0, -1):
-        context = context << np.uint32(8) | flat[at - d]
-    return context, flat[at], lengths
+    gram = flat[depth:].astype(np.int64)
+    for d in range(1, depth + 1):
+        gram |= flat[depth - d : len(flat) - d].astype(np.int64) << (8 * (depth - d + 1))
+    real = np.ones(len(gram), bool)
+    starts = np.cumsum(lengths + depth)[:-1]  # the zeros before each text but the first
+    real[(starts[:, None] - depth + np.arange(depth)).ravel()] = False
+    return gram[real], lengths
 
 
 def _parts(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
@@ -69,36 +67,51 @@ def _parts(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
         yield begin, texts[begin:]
 
 
-def counts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(token, gram, n): occurrences of each word and the end (gram null), and of each (depth+1)-gram of bytes (token null)."""
+def gram_counts(docs: DataFrame, text_col: str = "text", learn_col: str = "learn", depth: int = DEPTH) -> DataFrame:
+    """(gram, n): how often each gram occurs in the texts to be learned (column `learn`); 0 if only in others."""
 
-    def rows(token: list, gram: np.ndarray, n) -> pa.RecordBatch:
-        k = len(token)
-        return pa.RecordBatch.from_arrays([pa.array(token + [None] * len(gram), pa.string()), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(gram.astype(np.int64))]), pa.array(np.asarray(n, np.int64))], ["token", "gram", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rest += [((t or "").encode(), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                if sum(len(t) for t, _ in rest) < CHUNK:
+                    continue
+            for at, part in _parts([t for t, _ in rest]):
+                gram, lengths = grams_of(part, depth)
+                order = np.argsort(gram)
+                gram, n = gram[order], np.repeat([y for _, y in rest[at : at + len(part)]], lengths)[order]
+                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+                n = np.add.reduceat(n.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+                keys, where = np.unique(np.concatenate([keys, gram[first]]), return_inverse=True)
+                sums = np.bincount(where, np.concatenate([sums, n]), len(keys)).astype(np.int64)
+                if len(keys) > KEPT_GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["gram", "n"])
+                    keys, sums = keys[:0], sums[:0]
+            rest = []
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["gram", "n"])
+
+    given = docs.select(F.col(text_col).cast("string").alias("text"), F.col(learn_col).cast("boolean").alias("learn"))
+    return given.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, n): occurrences of each word and of the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        keys, sums = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
         for whole in batches:
             for b in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
-                texts = [t or "" for t in b.column(0).to_pylist()]
-                for t in texts:
-                    seen.update(words(fold(t)))
-                seen[END] += len(texts)
-                for _, part in _parts([t.encode() for t in texts]):
-                    context, byte, _ = _grams(part, depth)
-                    k, n = np.unique(context << np.uint32(8) | byte, return_counts=True)
-                    keys, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                    sums = np.bincount(where, np.concatenate([sums, n]), len(keys)).astype(np.int64)
-                if len(seen) > KEPT:
-                    yield rows(list(seen), np.zeros(0), list(seen.values()))
+                for t in b.column(0).to_pylist():
+                    seen.update(words(fold(t or "")))
+                seen[END] += b.num_rows
+                if len(seen) > KEPT_WORDS:
+                    yield rows()
                     seen = Counter()
-                if len(keys) > KEPT:
-                    yield rows([], keys, sums)
-                    keys, sums = keys[:0], sums[:0]
-        yield rows(list(seen), keys, np.r_[np.fromiter(seen.values(), np.int64, len(seen)), sums])
+        yield rows()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token string, gram long, n long").groupBy("token", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -110,206 +123,182 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_SMALL = np.arange(1 << 12, dtype=float)
+_HALF, _WHOLE = _log_gamma(_SMALL + 0.5), _log_gamma(_SMALL + 1)
+
+
+def _looked_up(n: np.ndarray, known: np.ndarray, plus: float) -> np.ndarray:
+    out = known[np.minimum(n, len(known) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(known))
+    out[large] = _log_gamma(n[large] + plus)
+    return out
+
+
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - np.log(np.pi) - _log_gamma(zeros + ones + 1)
-
-
-def _decisions(where: np.ndarray, byte: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The estimate of a one and the log mass at each of the 255 decisions of `size` contexts."""
-    by_byte = np.bincount(where * 256 + byte, n, size * 256).astype(float).reshape(size, 256)
-    level = [by_byte.reshape(size, 1 << k, -1).sum(2) for k in range(9)]
-    ones = np.concatenate([level[k + 1][:, 1::2] for k in range(8)], axis=1)
-    total = np.concatenate(level[:8], axis=1)
-    return (ones + 0.5) / (total + 1), _kt(total - ones, ones)
-
-
-class Tree:
-    """Byte probabilities of each context seen: rows of `table` (log10), found by `rows_of`.
-
-    `deeper` has the summed log masses of the contexts one level below the deepest here, a row for each deepest context
-    in rising order; `blend` then gives what the levels here add to the estimates there, and what share they leave."""
-
-    def __init__(self, grams: np.ndarray, number: np.ndarray, depth: int, deeper: np.ndarray | None = None):
-        self.depth = depth
-        grams = np.asarray(grams, np.int64)
-        contexts, bits, weight, mass = [], [], [], []
-        number = np.asarray(number, float)
-        for d in range(depth + 1):
-            own = (grams >> 8) & ((1 << 8 * d) - 1)
-            seen, where = np.unique(own, return_inverse=True)
-            if d == 0 and not len(seen):
-                seen = np.zeros(1, np.int64)
-            order = np.argsort(where, kind="stable")
-            where, byte, n = where[order], grams[order] & 255, number[order]
-            one, logs = np.empty((len(seen), 255), np.float32), np.empty((len(seen), 255))
-            for at in range(0, len(seen), NODES):
-                m = min(NODES, len(seen) - at)
-                a, z = np.searchsorted(where, (at, at + m))
-                one[at : at + m], logs[at : at + m] = _decisions(where[a:z] - at, byte[a:z], n[a:z], m)
-            contexts.append(seen)
-            bits.append(one)
-            mass.append(logs)
-        below = mass[depth]
-        for d in range(depth if deeper is not None else depth - 1, -1, -1):
-            if d == depth:
-                sums = deeper
-            else:
-                parent = np.searchsorted(contexts[d], contexts[d + 1] & ((1 << 8 * d) - 1))
-                order = np.argsort(parent, kind="stable")
-                sums = np.zeros_like(mass[d])
-                if len(order):
-                    first = np.flatnonzero(np.r_[True, np.diff(parent[order]) > 0])
-                    sums[parent[order][first]] = np.add.reduceat(below[order], first, axis=0)
-            mixed = np.logaddexp(mass[d], sums) - np.log(2)
-            weight.insert(0, np.exp(mass[d] - np.log(2) - mixed).astype(np.float32))
-            below = mixed
-            mass.pop()
-        del below, mass
-        self.contexts, tables = contexts, []
-        for d in range(depth + 1):
-            rows = np.empty((len(contexts[d]), 256), np.float32)
-            for at in range(0, len(rows), NODES):
-                own = contexts[d][at : at + NODES]
-                p = bits[d][at : at + NODES].astype(float)
-                for e in range(d - 1, -1, -1):
-                    up = np.searchsorted(contexts[e], own & ((1 << 8 * e) - 1))
-                    w = weight[e][up].astype(float)
-                    p = w * bits[e][up] + (1 - w) * p
-                rows[at : at + NODES] = self._bytes(p)
-            tables.append(rows)
-        if deeper is not None:
-            self.blend = self._blend(contexts, bits, weight)
-        self.table = np.concatenate(tables)
-        self.first = np.cumsum([0, *map(len, tables)])
-        self.index = self.cold = None
-
-    @staticmethod
-    def _blend(contexts: list, bits: list, weight: list) -> tuple[np.ndarray, np.ndarray]:
-        own = contexts[-1]
-        add, share = np.zeros((len(own), 255), np.float32), np.ones((len(own), 255), np.float32)
-        for e in range(len(contexts)):
-            up = np.searchsorted(contexts[e], own & ((1 << 8 * e) - 1))
-            add += share * weight[e][up] * bits[e][up]
-            share *= 1 - weight[e][up]
-        return add, share
-
-    def deepen(self, contexts: np.ndarray, rows: np.ndarray, cold: np.ndarray) -> None:
-        """One more level: `rows` of the given contexts, and the contexts whose rows are elsewhere."""
-        del self.blend
-        self.depth += 1
-        order = np.argsort(contexts)
-        self.contexts.append(contexts[order])
-        self.table = np.concatenate([self.table, rows[order]])
-        self.first = np.r_[self.first, len(self.table)]
-        if len(cold):
-            flags = np.zeros(1 << 8 * self.depth, bool)
-            flags[cold] = True
-            self.cold = np.packbits(flags)
-
-    @staticmethod
-    def _bytes(p: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the 256 bytes from those of a one at each of the 255 decisions. None is surer than single precision can tell from 1."""
-        p, out = np.minimum(p, 1 - 2.0**-25), np.zeros((len(p), 1))
-        for k in range(8):
-            own = p[:, (1 << k) - 1 : (1 << k + 1) - 1]
-            out = np.stack([out + np.log10(1 - own), out + np.log10(own)], axis=2).reshape(len(p), -1)
-        return out.astype(np.float32)
-
-    def rows_of(self, context: np.ndarray) -> np.ndarray:
-        """The row of the deepest context that training has seen; -1 if that is elsewhere."""
-        if self.index is None:
-            index = np.zeros(1, np.int32)
-            for d in range(1, self.depth + 1):
-                index = np.tile(index, 256)
-                index[self.contexts[d]] = self.first[d] + np.arange(len(self.contexts[d]))
-            if self.cold is not None:
-                index[np.unpackbits(self.cold).view(bool)] = -1
-            self.index = index
-        return self.index[context]
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """log10 probability of each text but for what falls on contexts elsewhere, and the grams that do."""
-        out, away = np.zeros(len(texts)), [np.zeros(0, np.int64)] * len(texts)
-        for at, part in _parts(texts):
-            context, byte, lengths = _grams(part, self.depth)
-            row = self.rows_of(context)
-            each = self.table[row, byte].astype(np.float64)
-            ends = np.r_[0, np.cumsum(lengths)]
-            if self.cold is not None:
-                far = np.flatnonzero(row < 0)
-                each[far] = 0
-                grams = context[far].astype(np.int64) << 8 | byte[far]
-                cuts = np.searchsorted(far, ends)
-                away[at : at + len(part)] = [grams[a:z] for a, z in zip(cuts, cuts[1:])]
-            out[at : at + len(part)] = np.diff(np.r_[0, np.cumsum(each)][ends])
-        return out, away
-
-
-def tree(known: DataFrame, depth: int = DEPTH, most_rows: int = TABLE_ROWS, most_grams: int = GRAMS) -> tuple[Tree, DataFrame | None]:
-    """The tree of the counts, and the rows (context, logs) that are joined by key, if there are any."""
-    grams = known.where("gram is not null").select("gram", "n")
-    size = grams.agg(F.count("*"), F.countDistinct(F.shiftright("gram", 8))).first()
-    if size[0] <= most_grams and size[1] <= most_rows:
-        rows = grams.toArrow()
-        return Tree(rows["gram"].to_numpy(), rows["n"].to_numpy(), depth), None
-    low = (1 << 8 * (depth - 1)) - 1
-    grouped = grams.groupBy(F.shiftright("gram", 8).bitwiseAND(low).alias("parent"))
-
-    def leaves(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        gram, n = t["gram"].to_numpy(), t["n"].to_numpy().astype(float)
-        seen, where = np.unique(gram >> 8, return_inverse=True)
-        return int(seen[0]) & low, seen, *_decisions(where, gram & 255, n, len(seen)), np.bincount(where, n)
-
-    def masses(t: pa.Table) -> pa.Table:
-        parent, _, _, logs, _ = leaves(t)
-        return pa.table({"parent": pa.array([parent], pa.int64()), "mass": pa.array([logs.sum(0)], pa.list_(pa.float64()))})
-
-    found = materialize(grouped.applyInArrow(masses, "parent long, mass array<double>"), "ctw-masses").toArrow().sort_by("parent")
-    shallow = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * depth) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    out = Tree(shallow["gram"].to_numpy(), shallow["n"].to_numpy(), depth - 1, found["mass"].combine_chunks().flatten().to_numpy().reshape(-1, 255))
-    del found, shallow
-    given = known.sparkSession.sparkContext.broadcast((out.contexts[-1], *out.blend))
-
-    def finished(t: pa.Table) -> pa.Table:
-        parent, seen, one, _, total = leaves(t)
-        contexts, add, share = given.value
-        at = np.searchsorted(contexts, parent)
-        rows = Tree._bytes(add[at] + share[at].astype(float) * one)
-        return pa.table({"context": seen, "logs": pa.array(list(rows), pa.list_(pa.float32())), "n": total.astype(np.int64)})
-
-    made = materialize(grouped.applyInArrow(finished, "context long, logs array<float>, n long"), "ctw-leaves")
-    least = _least(made, most_rows)
-    hot = made.where(F.col("n") >= least).select("context", "logs").toArrow()
-    cold = made.where(F.col("n") < least).select("context", "logs")
-    out.deepen(hot["context"].to_numpy(), hot["logs"].combine_chunks().flatten().to_numpy().reshape(-1, 256), cold.select("context").toArrow()["context"].to_numpy())
-    return out, cold
-
-
-def _least(tokens: DataFrame, most: int = HOT_WORDS) -> int:
+    return _looked_up(zeros, _HALF, 0.5) + _looked_up(ones, _HALF, 0.5) - np.log(np.pi) - _looked_up(zeros + ones, _WHOLE, 1.0)
+
+
+def _above(node):
+    """The node one level up: without the farthest byte of its context. Of arrays and columns alike."""
+    if isinstance(node, Column):
+        return F.shiftleft(F.shiftright(node, 16), 8) + node.bitwiseAND(255)
+    return (node >> 16 << 8) | (node & 255)
+
+
+class Levels:
+    """The nodes of sorted grams from the deepest level up to `group`: key (context, then decision), zeros, ones, log of the weighted probability, weight of the own estimate, and where the node above is."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int, group: int):
+        context, byte, n = gram >> 8, gram & 255, n.astype(float)
+        key = np.concatenate([context << 8 | 1 << k | byte >> (8 - k) for k in range(8)])
+        bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
+        node, self.own = np.unique(key, return_inverse=True)
+        self.bit, many = bit, np.tile(n, 8)
+        zeros, ones, below = np.bincount(self.own, many * (1 - bit), len(node)), np.bincount(self.own, many * bit, len(node)), None
+        self.levels, self.up = [], []
+        for d in range(depth, group - 1, -1):
+            kt = _kt(zeros, ones)
+            mass = kt if below is None else np.logaddexp(kt, below) - np.log(2)
+            self.levels.insert(0, (node, zeros, ones, mass, np.ones(len(node)) if below is None else np.exp(kt - np.log(2) - mass)))
+            if d > group:
+                node, up = np.unique(_above(node), return_inverse=True)
+                self.up.insert(0, up)
+                zeros, ones, below = (np.bincount(up, x, len(node)) for x in (zeros, ones, mass))
+
+    def chances(self, add: np.ndarray, share: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram, from what the levels above give for each node of the first level: the sum so far, the share that they leave, and their mixture."""
+        for i, (_, zeros, ones, _, weight) in enumerate(self.levels):
+            if i:
+                up = self.up[i - 1]
+                add, share, p = add[up], share[up], p[up]
+            own = (ones + 0.5) / (zeros + ones + 1)
+            p = np.where(zeros + ones > 0, add + share * own, p)
+            add, share = add + share * weight * own, share * (1 - weight)
+        # none is surer than single precision can tell from 1
+        p = np.clip(p, 2.0**-25, 1 - 2.0**-25)[self.own]
+        return np.log10(np.where(self.bit == 1, p, 1 - p)).reshape(8, -1).sum(0)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int = NODES) -> Iterator[pa.Table]:
+    """Tables of about `least` rows or more that end where a value of the first column does."""
+    held, n = [], 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append(pa.Table.from_batches([b]))
+            n += b.num_rows
+            if n < least:
+                continue
+        if not n:
+            continue
+        t = pa.concat_tables(held).combine_chunks()
+        part = t.column(0).to_numpy()
+        cut = n if b is None else int(np.searchsorted(part, part[-1]))
+        held, n = ([t.slice(cut)], n - cut) if cut < n else ([], 0)
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+
+
+_NODE = "node long, zeros double, ones double, mass double, weight double"
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["node", "zeros", "ones", "mass", "weight"])
+
+
+def chances(known: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
+    """(gram, logs, n): the log10 probability of the byte of each of the `known` grams in its context. A written table."""
+    part = lambda code: F.shiftright(code, 8 * (depth - group + 1))
+
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            yield _rows(*Levels(t["gram"].to_numpy(), t["n"].to_numpy(), depth, group).levels[0])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, zeros, ones, below = (c.to_numpy() for c in b.columns)
+            kt = _kt(zeros, ones)
+            mass = np.logaddexp(kt, below) - np.log(2)
+            yield _rows(node, zeros, ones, mass, np.exp(kt - np.log(2) - mass))
+
+    grams = known.select(part("gram").alias("part"), "gram", "n")
+    nodes = [materialize(grams.repartition("part").sortWithinPartitions("part", "gram").mapInArrow(deep, _NODE), "ctw-nodes")]
+    for _ in range(group):
+        sums = nodes[0].groupBy(_above(F.col("node")).alias("node")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "mass")))
+        nodes.insert(0, materialize(sums.mapInArrow(weighed, _NODE), "ctw-nodes"))
+    own, seen = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1), F.col("zeros") + F.col("ones") > 0
+    given = nodes[0].select("node", (F.col("weight") * own).alias("add"), (1 - F.col("weight")).alias("share"), F.when(seen, own).otherwise(0.5).alias("p"))
+    for level in nodes[1:]:
+        here = level.withColumn("above", _above(F.col("node"))).join(given.withColumnRenamed("node", "above"), "above")
+        above = here.select("node", "add", "share", "p")  # for the last level, what those above it give
+        given = here.select("node", (F.col("add") + F.col("share") * F.col("weight") * own).alias("add"), (F.col("share") * (1 - F.col("weight"))).alias("share"), F.when(seen, F.col("add") + F.col("share") * own).otherwise(F.col("p")).alias("p"))
+    # a node of the last level is a context of `group` bytes and a decision
+    tops = above.select(F.shiftright("node", 8).alias("part"), F.lit(0).alias("kind"), F.col("node").alias("code"), F.lit(0).cast("long").alias("n"), "add", "share", "p")
+    nothing = F.lit(None).cast("double")
+    both = tops.unionByName(grams.select("part", F.lit(1).alias("kind"), F.col("gram").alias("code"), "n", nothing.alias("add"), nothing.alias("share"), nothing.alias("p")))
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            kind, code, n, add, share, p = (t[c].to_numpy() for c in ("kind", "code", "n", "add", "share", "p"))
+            gram, top = kind == 1, kind == 0
+            logs = Levels(code[gram], n[gram], depth, group).chances(add[top], share[top], p[top])
+            yield pa.RecordBatch.from_arrays([pa.array(code[gram]), pa.array(logs.astype(np.float32)), pa.array(n[gram])], ["gram", "logs", "n"])
+
+    out = materialize(both.repartition("part").sortWithinPartitions("part", "kind", "code").mapInArrow(finished, "gram long, logs float, n long"), "ctw-chances")
+    discard(*nodes)
+    return out
+
+
+def _least(counts: DataFrame, most: int) -> int:
     """The smallest count n for which `most` rows at most have it or more, from a histogram of a few hundred steps."""
-    step = F.floor(F.log2("n") * 8)
+    step = F.floor(F.log2(F.col("n") + 1) * 8)
     held = 0
-    for r in tokens.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most")).orderBy(F.desc("step")).collect():
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.max("n").alias("most")).orderBy(F.desc("step")).collect():
         held += r["k"]
         if held > most:
             return r["most"] + 1
     return 0
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, most_rows: int = TABLE_ROWS) -> DataFrame:
+def score(gram: np.ndarray, logs: np.ndarray, texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
+    """log10 probability of each text but for the grams that are not among the given ones (sorted), and those."""
+    out, away = np.zeros(len(texts)), [np.zeros(0, np.int64)] * len(texts)
+    for at, part in _parts(texts, CHUNK // 4):
+        own, lengths = grams_of(part, depth)
+        order = np.argsort(own)
+        found = own[order]
+        where = np.searchsorted(gram, found)
+        where[where == len(gram)] = 0
+        known = gram[where] == found if len(gram) else np.zeros(len(found), bool)
+        each, far = np.zeros(len(own)), np.zeros(len(own), bool)
+        each[order[known]] = logs[where[known]]
+        far[order[~known]] = True
+        ends = np.r_[0, np.cumsum(lengths)]
+        out[at : at + len(part)] = np.diff(np.r_[0, np.cumsum(each)][ends])
+        far = np.flatnonzero(far)
+        cuts = np.searchsorted(far, ends)
+        away[at : at + len(part)] = [own[far[a:z]] for a, z in zip(cuts, cuts[1:])]
+    return out, away
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = DEPTH, group: int = GROUP, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bytes): a row for each row of `docs`. Learns from the rows outside fold 0."""
     context = docs.sparkSession.sparkContext
-    known = materialize(counts(docs.where(bucket_of(id_col, folds) != 0), text_col), "ctw-counts")
-    tokens = known.where("token is not null")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (bucket_of(id_col, folds) != 0).alias("learn"))
+    tokens = materialize(word_counts(given.where("learn")), "ctw-words")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = tokens.where(F.col("n") >= _least(tokens)).select("token", "n").toArrow()
-    model, elsewhere = tree(known, most_rows=most_rows)
-    given = context.broadcast((hot, model))
-    del hot, model
+    hot_words = tokens.where(F.col("n") >= _least(tokens, HOT_WORDS)).select("token", "n").toArrow()
+    known = materialize(gram_counts(given, depth=depth), "ctw-grams")
+    model = chances(known, depth, group)
+    discard(known)
+    least = _least(model, hot_grams)
+    hot = model.where(F.col("n") >= least).select("gram", "logs").toArrow()
+    order = np.argsort(hot["gram"].to_numpy())
+    shared = context.broadcast((hot_words, hot["gram"].to_numpy()[order], hot["logs"].to_numpy()[order]))
+    del hot, hot_words, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, model = given.value
+        hot, gram, logs = shared.value
         log = dict(zip(hot["token"].to_pylist(), np.log10(hot["n"].to_numpy() + 0.1).tolist()))
         for whole in batches:
             for b in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
@@ -323,17 +312,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                     out.append((len(found), len(found) - len(cold), sum(filter(None, got)), cold))
                 n, seen, sums, cold = zip(*out)
                 raw = [t.encode() for t in texts]
-                score, away = model.score(raw)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(cold, pa.list_(pa.string())), pa.array(score), pa.array(away, pa.list_(pa.int64())), pa.array(list(map(len, raw)), pa.int64())], ["doc_id", "n_tokens", "seen", "sums", "cold", "score", "away", "bytes"])
+                own, away = score(gram, logs, raw, depth)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(cold, pa.list_(pa.string())), pa.array(own), pa.array(away, pa.list_(pa.int64())), pa.array(list(map(len, raw)), pa.int64())], ["doc_id", "n_tokens", "seen", "sums", "cold", "score", "away", "bytes"])
 
     schema = "doc_id long, n_tokens long, seen long, sums double, cold array<string>, score double, away array<long>, bytes long"
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-    own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "ctw-scores")
-    cold = own.select("row", F.explode("cold").alias("token")).join(tokens.select("token", "n"), "token", "left")
+    own = materialize(given.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "ctw-scores")
+    cold = own.select("row", F.explode("cold").alias("token")).join(tokens, "token", "left")
     cold = cold.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.count("n").alias("also"))
+    # every gram of every text is in the model
+    away = own.select("row", F.explode("away").alias("gram")).join(model.where(F.col("n") < least).select("gram", "logs"), "gram")
+    away = away.groupBy("row").agg(F.sum(F.col("logs").cast("double")).alias("rest"))
     base = F.col("sums") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + 0.1 * (distinct + 1)))
-    if elsewhere is not None:
-        away = own.select("row", F.explode("away").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("k"))
-        away = away.join(elsewhere, F.shiftright("gram", 8) == F.col("context")).groupBy("row").agg(F.sum(F.col("k") * F.get("logs", F.col("gram").bitwiseAND(255).cast("int")).cast("double")).alias("rest"))
-        own = own.join(away, "row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
-    return own.join(cold, "row", "left").select("doc_id", (bucket_of("doc_id", folds) == 0).alias("held_out"), "n_tokens", (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bytes")
+    out = own.join(cold, "row", "left").join(away, "row", "left")
+    return out.select("doc_id", (bucket_of("doc_id", folds) == 0).alias("held_out"), "n_tokens", (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"), "bytes")
