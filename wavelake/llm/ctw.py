@@ -7,8 +7,8 @@ posterior weights of that mixture give, for each context, the probability of eac
 sum over a text is its code length. At a decision that training has not seen in a context, the mixture ends with the
 deepest context in which it has.
 
-There is one way at every size. (DEPTH+1)-grams of bytes are counted in tasks and then by key; those of held-out texts
-are carried with count 0. A gram is written with the nearest byte first, so that in rising order all contexts of all
+There is one way at every size. (DEPTH+1)-grams of bytes are counted in tasks, then sorted and added up; those of
+held-out texts are carried with count 0. A gram is written with the nearest byte first, so that in rising order all contexts of all
 depths are runs. The levels from DEPTH to GROUP are worked out in tasks, by runs of equal contexts of GROUP bytes (at
 most 256 ** (DEPTH - GROUP + 1) grams each), the levels above by sums and joins by key, up to the root and down again.
 The result is a table of the log probability of every gram that occurs in the corpus. Of it, as of the words, the most
@@ -39,22 +39,38 @@ HOT_GRAMS, HOT_WORDS = 1 << 22, 1 << 17
 #: No word: words hold no line feed.
 END = "\n"
 #: Bytes that are looked up or counted at once; distinct grams and words that a task keeps before it passes counts on; grams whose nodes are worked out at once.
-CHUNK, KEPT_GRAMS, KEPT_WORDS, NODES = 1 << 22, 2_000_000, 250_000, 100_000
+CHUNK, KEPT_GRAMS, KEPT_WORDS, NODES = 1 << 20, 2_000_000, 250_000, 100_000
 
 
 def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """The gram of every byte of all texts, flat, with zeros before a text, and the length of each text. A gram has the nearest byte of the context first and the byte itself last."""
-    flat = np.frombuffer(b"".join(bytes(depth) + t for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    gram = flat[depth:].astype(np.int64)
-    for d in range(1, depth + 1):
-        gram |= flat[depth - d : len(flat) - d].astype(np.int64) << (8 * (depth - d + 1))
-    real = np.ones(len(gram), bool)
-    starts = np.cumsum(lengths + depth)[:-1]  # the zeros before each text but the first
-    real[(starts[:, None] - depth + np.arange(depth)).ravel()] = False
+    back = (b"".join(bytes(depth) + t for t in texts))[::-1] + bytes(9)
+    n = len(back) - 9
+    # read backwards, the bytes after a byte are those before it: eight of them at once
+    before = np.ndarray((n,), ">u8", back, 1, (1,)).astype(np.uint64)
+    before >>= np.uint64(64 - 8 * depth)
+    before <<= np.uint64(8)
+    before |= np.frombuffer(back, np.uint8, n)
+    gram, real = before.view(np.int64)[::-1], np.ones(n, bool)
+    starts = np.cumsum(lengths + depth) - lengths - depth
+    real[(starts[:, None] + np.arange(depth)).ravel()] = False
     return gram[real], lengths
 
 
+def _counted(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in rising order, and how often each occurs."""
+    gram = np.sort(gram)
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.diff(np.r_[first, len(gram)])
+
+
+def _summed(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of grams in rising order with counts, repeats added up."""
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _parts(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """Stretches of texts of about `size` bytes, with the place of the first."""
     begin, held = 0, 0
@@ -68,31 +84,36 @@ def _parts(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", learn_col: str = "learn", depth: int = DEPTH) -> DataFrame:
-    """(gram, n): how often each gram occurs in the texts to be learned (column `learn`); 0 if only in others."""
+    """(gram, n): how often each gram occurs in the texts to be learned (column `learn`), 0 if only in others; a gram has a row for each task or stretch of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for b in itertools.chain(batches, [None]):
+        keys, sums, rest = np.zeros(0, np.int64), np.zeros(0, np.int32), {True: [], False: []}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(sums[at : at + 50_000].astype(np.int64))], ["gram", "n"])
+
+        for b in itertools.chain((whole.slice(i, 250) for whole in batches for i in range(0, whole.num_rows, 250)), [None]):
             if b is not None:
-                rest += [((t or "").encode(), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                if sum(len(t) for t, _ in rest) < CHUNK:
+                for t, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    rest[learn].append((t or "").encode())
+                if sum(map(len, itertools.chain(*rest.values()))) < CHUNK:
                     continue
-            for at, part in _parts([t for t, _ in rest]):
-                gram, lengths = grams_of(part, depth)
-                order = np.argsort(gram)
-                gram, n = gram[order], np.repeat([y for _, y in rest[at : at + len(part)]], lengths)[order]
-                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-                n = np.add.reduceat(n.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-                keys, where = np.unique(np.concatenate([keys, gram[first]]), return_inverse=True)
-                sums = np.bincount(where, np.concatenate([sums, n]), len(keys)).astype(np.int64)
-                if len(keys) > KEPT_GRAMS:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["gram", "n"])
-                    keys, sums = keys[:0], sums[:0]
-            rest = []
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["gram", "n"])
-
-    given = docs.select(F.col(text_col).cast("string").alias("text"), F.col(learn_col).cast("boolean").alias("learn"))
-    return given.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            for learn, texts in rest.items():
+                for _, part in _parts(texts):
+                    gram, n = _counted(grams_of(part, depth)[0])
+                    gram, n = np.concatenate([keys, gram]), np.concatenate([sums, n.astype(np.int32) * learn])
+                    order = np.argsort(gram, kind="stable")  # two runs, merged
+                    keys, sums = _summed(gram[order], n[order])
+                    del gram, n, order
+                    if len(keys) > KEPT_GRAMS:
+                        yield from rows()
+                        keys, sums = keys[:0].copy(), sums[:0].copy()
+                texts.clear()
+        yield from rows()
+
+    given = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(learn_col).cast("boolean"), F.lit(False)).alias("learn"))
+    return given.mapInArrow(run, "gram long, n long")
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -180,8 +201,8 @@ class Levels:
         return np.log10(np.where(self.bit == 1, p, 1 - p)).reshape(8, -1).sum(0)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], least: int = NODES) -> Iterator[pa.Table]:
-    """Tables of about `least` rows or more that end where a value of the first column does."""
+def _runs(batches: Iterator[pa.RecordBatch], column: str, shift: int, least: int = NODES) -> Iterator[pa.Table]:
+    """Tables of about `least` rows or more that end where the leading bytes of a column do."""
     held, n = [], 0
     for b in itertools.chain(batches, [None]):
         if b is not None:
@@ -192,60 +213,66 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int = NODES) -> Iterator[pa.
         if not n:
             continue
         t = pa.concat_tables(held).combine_chunks()
-        part = t.column(0).to_numpy()
+        part = t[column].to_numpy() >> shift
         cut = n if b is None else int(np.searchsorted(part, part[-1]))
         held, n = ([t.slice(cut)], n - cut) if cut < n else ([], 0)
         if cut:
             yield t.slice(0, cut).combine_chunks()
 
 
-_NODE = "node long, zeros double, ones double, mass double, weight double"
+_NODE = "code long, n long, zeros double, ones double, mass double, weight double"
 
 
-def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["node", "zeros", "ones", "mass", "weight"])
+def _nodes(*columns: np.ndarray) -> pa.RecordBatch:
+    code, rest = columns[0], columns[1:]
+    return pa.RecordBatch.from_arrays([pa.array(code), pa.nulls(len(code), pa.int64()), *map(pa.array, rest)], ["code", "n", "zeros", "ones", "mass", "weight"])
 
 
 def chances(known: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
-    """(gram, logs, n): the log10 probability of the byte of each of the `known` grams in its context. A written table."""
-    part = lambda code: F.shiftright(code, 8 * (depth - group + 1))
+    """(gram, logs, n): the log10 probability of the byte of each of the `known` grams (gram, n; repeats are added up) in its context. A written table."""
+    shift = 8 * (depth - group + 1)
 
     def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
-            yield _rows(*Levels(t["gram"].to_numpy(), t["n"].to_numpy(), depth, group).levels[0])
+        for t in _runs(batches, "gram", shift):
+            gram, n = _summed(t["gram"].to_numpy(), t["n"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), *(pa.nulls(len(gram), pa.float64()) for _ in range(4))], ["code", "n", "zeros", "ones", "mass", "weight"])
+            yield _nodes(*Levels(gram, n, depth, group).levels[0])
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, zeros, ones, below = (c.to_numpy() for c in b.columns)
+            code, zeros, ones, below = (c.to_numpy() for c in b.columns)
             kt = _kt(zeros, ones)
             mass = np.logaddexp(kt, below) - np.log(2)
-            yield _rows(node, zeros, ones, mass, np.exp(kt - np.log(2) - mass))
+            yield _nodes(code, zeros, ones, mass, np.exp(kt - np.log(2) - mass))
 
-    grams = known.select(part("gram").alias("part"), "gram", "n")
-    nodes = [materialize(grams.repartition("part").sortWithinPartitions("part", "gram").mapInArrow(deep, _NODE), "ctw-nodes")]
+    first = materialize(known.repartition(F.shiftright("gram", shift)).sortWithinPartitions("gram").mapInArrow(deep, _NODE), "ctw-nodes")
+    grams, nodes, stored = first.where(F.col("n").isNotNull()).select("code", "n"), [first.where(F.col("n").isNull())], [first]
     for _ in range(group):
-        sums = nodes[0].groupBy(_above(F.col("node")).alias("node")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "mass")))
-        nodes.insert(0, materialize(sums.mapInArrow(weighed, _NODE), "ctw-nodes"))
+        sums = nodes[0].groupBy(_above(F.col("code")).alias("code")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "mass")))
+        stored.append(materialize(sums.mapInArrow(weighed, _NODE), "ctw-nodes"))
+        nodes.insert(0, stored[-1])
     own, seen = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1), F.col("zeros") + F.col("ones") > 0
-    given = nodes[0].select("node", (F.col("weight") * own).alias("add"), (1 - F.col("weight")).alias("share"), F.when(seen, own).otherwise(0.5).alias("p"))
+    given = nodes[0].select("code", (F.col("weight") * own).alias("add"), (1 - F.col("weight")).alias("share"), F.when(seen, own).otherwise(0.5).alias("p"))
     for level in nodes[1:]:
-        here = level.withColumn("above", _above(F.col("node"))).join(given.withColumnRenamed("node", "above"), "above")
-        above = here.select("node", "add", "share", "p")  # for the last level, what those above it give
-        given = here.select("node", (F.col("add") + F.col("share") * F.col("weight") * own).alias("add"), (F.col("share") * (1 - F.col("weight"))).alias("share"), F.when(seen, F.col("add") + F.col("share") * own).otherwise(F.col("p")).alias("p"))
-    # a node of the last level is a context of `group` bytes and a decision
-    tops = above.select(F.shiftright("node", 8).alias("part"), F.lit(0).alias("kind"), F.col("node").alias("code"), F.lit(0).cast("long").alias("n"), "add", "share", "p")
+        here = level.withColumn("above", _above(F.col("code"))).join(given.withColumnRenamed("code", "above"), "above")
+        above = here.select("code", "add", "share", "p")  # for the last level, what those above it give
+        given = here.select("code", (F.col("add") + F.col("share") * F.col("weight") * own).alias("add"), (F.col("share") * (1 - F.col("weight"))).alias("share"), F.when(seen, F.col("add") + F.col("share") * own).otherwise(F.col("p")).alias("p"))
+    # a node of the last level, a context of `group` bytes and a decision, comes before the grams of its context
     nothing = F.lit(None).cast("double")
-    both = tops.unionByName(grams.select("part", F.lit(1).alias("kind"), F.col("gram").alias("code"), "n", nothing.alias("add"), nothing.alias("share"), nothing.alias("p")))
+    tops = above.select(F.shiftleft(F.shiftright("code", 8), shift).alias("at"), "code", F.lit(None).cast("long").alias("n"), "add", "share", "p")
+    both = tops.unionByName(grams.select(F.col("code").alias("at"), "code", "n", nothing.alias("add"), nothing.alias("share"), nothing.alias("p")))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
-            kind, code, n, add, share, p = (t[c].to_numpy() for c in ("kind", "code", "n", "add", "share", "p"))
-            gram, top = kind == 1, kind == 0
-            logs = Levels(code[gram], n[gram], depth, group).chances(add[top], share[top], p[top])
-            yield pa.RecordBatch.from_arrays([pa.array(code[gram]), pa.array(logs.astype(np.float32)), pa.array(n[gram])], ["gram", "logs", "n"])
-
-    out = materialize(both.repartition("part").sortWithinPartitions("part", "kind", "code").mapInArrow(finished, "gram long, logs float, n long"), "ctw-chances")
-    discard(*nodes)
+        for t in _runs(batches, "at", shift):
+            gram = t["n"].is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+            code, n, add, share, p = (t[c].combine_chunks() for c in ("code", "n", "add", "share", "p"))
+            code, n, (add, share, p) = code.to_numpy(), n.drop_null().to_numpy(), (x.drop_null().to_numpy() for x in (add, share, p))
+            order = np.argsort(code[~gram])  # the order of the levels
+            logs = Levels(code[gram], n, depth, group).chances(add[order], share[order], p[order])
+            yield pa.RecordBatch.from_arrays([pa.array(code[gram]), pa.array(logs.astype(np.float32)), pa.array(n)], ["gram", "logs", "n"])
+
+    out = materialize(both.repartition(F.shiftright("at", shift)).sortWithinPartitions("at").mapInArrow(finished, "gram long, logs float, n long"), "ctw-chances")
+    discard(*stored)
     return out
 
 
@@ -263,16 +290,20 @@ def _least(counts: DataFrame, most: int) -> int:
 def score(gram: np.ndarray, logs: np.ndarray, texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
     """log10 probability of each text but for the grams that are not among the given ones (sorted), and those."""
     out, away = np.zeros(len(texts)), [np.zeros(0, np.int64)] * len(texts)
-    for at, part in _parts(texts, CHUNK // 4):
+    for at, part in _parts(texts, CHUNK // 2):
         own, lengths = grams_of(part, depth)
         order = np.argsort(own)
         found = own[order]
-        where = np.searchsorted(gram, found)
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else order
+        where = np.searchsorted(gram, found[first])
         where[where == len(gram)] = 0
-        known = gram[where] == found if len(gram) else np.zeros(len(found), bool)
-        each, far = np.zeros(len(own)), np.zeros(len(own), bool)
-        each[order[known]] = logs[where[known]]
-        far[order[~known]] = True
+        known = gram[where] == found[first] if len(gram) else np.zeros(len(first), bool)
+        # not a number: elsewhere
+        value, each = np.full(len(first), np.nan, np.float32), np.empty(len(own), np.float32)
+        value[known] = logs[where[known]]
+        each[order] = np.repeat(value, np.diff(np.r_[first, len(found)]))
+        far = np.isnan(each)
+        each = np.where(far, 0, each).astype(float)
         ends = np.r_[0, np.cumsum(lengths)]
         out[at : at + len(part)] = np.diff(np.r_[0, np.cumsum(each)][ends])
         far = np.flatnonzero(far)
@@ -288,9 +319,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     tokens = materialize(word_counts(given.where("learn")), "ctw-words")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot_words = tokens.where(F.col("n") >= _least(tokens, HOT_WORDS)).select("token", "n").toArrow()
-    known = materialize(gram_counts(given, depth=depth), "ctw-grams")
-    model = chances(known, depth, group)
-    discard(known)
+    model = chances(gram_counts(given, depth=depth), depth, group)
     least = _least(model, hot_grams)
     hot = model.where(F.col("n") >= least).select("gram", "logs").toArrow()
     order = np.argsort(hot["gram"].to_numpy())
