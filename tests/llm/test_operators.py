@@ -216,21 +216,25 @@ def test_secrets(spark, docs, odd, tmp_path):
     assert "abcdefghijklmnop" not in out[8].text and out[8].n_chars == len(out[8].text) and out[0].text is None and out[4].text == ODD[4]
 
 
-def test_context_tree_equals_recursion():
-    texts = [b"abracadabra", b"abcabc"]
-    counts = Counter()
-    for t in texts:
-        p = b"\0\0" + t
-        for i in range(2, len(p)):
-            counts[int.from_bytes(p[i - 2 : i + 1], "big")] += 1
-    tree = ctw.Tree(np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)]), 2)
+@pytest.mark.parametrize("depth,group", [(2, 1), (3, 1), (3, 2)])
+def test_context_tree_equals_recursion(spark, depth, group):
+    """Byte probabilities against the recursive definition, for grams that training has seen and others."""
+    learned, other = [b"abracadabra", b"abcabc", b"\xff\xfe"], [b"abrazzz", b"\xff\x00"]
+    rows = [(t.decode("latin-1"), True) for t in learned] + [(t.decode("latin-1"), False) for t in other]
+    learned, other = [t.decode("latin-1").encode() for t in learned], [t.decode("latin-1").encode() for t in other]
+    counts, asked = Counter(), set()
+    for t in learned + other:
+        p = bytes(depth) + t
+        for i in range(depth, len(p)):
+            asked.add((p[i - depth : i], p[i]))
+            counts[p[i - depth : i], p[i]] += t in learned
 
     def seen(context, prefix):
         """Zeros and ones at a decision under a context."""
         n = [0, 0]
-        for g, k in counts.items():
-            if (g >> 8).to_bytes(2, "big").endswith(context) and f"{g & 255:08b}".startswith(prefix):
-                n[int(f"{g & 255:08b}"[len(prefix)])] += k
+        for (c, b), k in counts.items():
+            if c.endswith(context) and f"{b:08b}".startswith(prefix):
+                n[int(f"{b:08b}"[len(prefix)])] += k
         return n
 
     def kt(a, b):
@@ -238,28 +242,29 @@ def test_context_tree_equals_recursion():
 
     def weighted(context, prefix):
         own = kt(*seen(context, prefix))
-        if len(context) == 2:
+        if len(context) == depth:
             return own
-        below = sum(weighted(bytes([c]) + context, prefix) for c in range(256) if any((g >> 8).to_bytes(2, "big").endswith(bytes([c]) + context) for g in counts))
-        return np.logaddexp(own, below) - math.log(2)
+        longer = {c[len(c) - len(context) - 1 :] for c, _ in counts if c.endswith(context)}
+        return np.logaddexp(own, sum(weighted(x, prefix) for x in longer)) - math.log(2)
 
-    def predict(context, prefix, depth=0):
-        own = context[len(context) - depth :]
+    def predict(context, prefix, d=0):
+        own = context[len(context) - d :]
         a, b = seen(own, prefix)
         p = (b + 0.5) / (a + b + 1)
-        if depth == 2:
+        if d == depth or not sum(seen(context[len(context) - d - 1 :], prefix)):
             return p
         w = math.exp(kt(a, b) - math.log(2) - weighted(own, prefix))
-        return w * p + (1 - w) * predict(context, prefix, depth + 1)
+        return w * p + (1 - w) * predict(context, prefix, d + 1)
 
-    for context, byte in ((b"ab", "c"), (b"ra", "c"), (b"ab", "z")):
-        bits, want = f"{ord(byte):08b}", 0.0
+    known = ctw.gram_counts(spark.createDataFrame(rows, "text string, learn boolean"), depth=depth)
+    got = {r.gram: r.logs for r in ctw.chances(known, depth, group).collect()}
+    assert len(got) == len(asked)
+    for context, byte in asked:
+        bits, want = f"{byte:08b}", 0.0
         for k in range(8):
             p = predict(context, bits[:k])
             want += math.log10(p if bits[k] == "1" else 1 - p)
-        row = tree.rows_of(np.array([int.from_bytes(context, "big")]))[0]
-        assert abs(tree.table[row, ord(byte)] - want) < 1e-4
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
+        assert abs(got[int.from_bytes(context[::-1] + bytes([byte]), "big")] - want) < 1e-4
 
 
 def test_context_tree_base(spark, docs, monkeypatch):
@@ -367,22 +372,29 @@ def test_defined_cases(spark, odd, none, labels, which):
         assert pivots.components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_context_tree_is_the_same_wherever_its_contexts_are(spark):
-    """With a table of 100 rows the deepest contexts are worked out in tasks and most of them joined by key."""
+def test_context_tree_is_the_same_wherever_its_grams_are(spark, monkeypatch):
+    """With 100 broadcast grams most are joined by key; with small stretches counts are added up from many rows."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     whole = {r.doc_id: r for r in ctw.scored(docs).collect()}
-    apart = {r.doc_id: r for r in ctw.scored(docs, most_rows=100).collect()}
+    for name, value in (("CHUNK", 20_000), ("KEPT_GRAMS", 5_000), ("NODES", 500)):
+        monkeypatch.setattr(ctw, name, value)
+    apart = {r.doc_id: r for r in ctw.scored(docs, hot_grams=100).collect()}
     assert whole.keys() == apart.keys() and len(whole) > 100
     for k, a in whole.items():
         b = apart[k]
         assert (a.n_tokens, a.n_known, a.held_out) == (b.n_tokens, b.n_known, b.held_out)
-        assert abs(a.score - b.score) <= 1e-5 * (1 + abs(a.score))
+        assert abs(a.score - b.score) <= 1e-6 * (1 + abs(a.score))
 
 
 def test_context_tree_stays_finite_after_very_many_equal_bytes():
-    tree = ctw.Tree(np.array([0xFF]), np.array([10**9]), 1)
-    score, _ = tree.score([b"\xff", b"\x00", b"\xfe"])
-    assert np.isfinite(score).all() and score[0] > -1e-6 and score[2] < -5
+    gram = np.array([0xFE, 0xFF]) | 0xFF << 8
+    logs = ctw.Levels(gram, np.array([0, 10**9]), 1, 1).chances(np.zeros(8), np.ones(8), np.full(8, 0.5))
+    assert np.isfinite(logs).all() and logs[1] > -1e-6 and logs[0] < -5
+
+
+def test_context_tree_beats_the_base_on_held_out_texts(spark):
+    got = queries.op7_context_tree(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum() and -got.score.sum() / math.log10(2) / got.bytes.sum() < 2.15
 
 
 def near_texts():
