@@ -16,6 +16,8 @@ WORD_JAVA = r"[^\x20\x09-\x0D]+"
 NO_ID = 2**63 - 1
 #: Parts of a node's edges in a join.
 SALTS = 4
+#: Narrow rows (a number, a hash with its few spans) that are broadcast at most: some tens of MB.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -62,6 +64,11 @@ def discard(*stored: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows for a join: broadcast if it has `most` rows at most, shuffled beyond that."""
+    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
+
+
 def bucket_of(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a row. Null ids are in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0))

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, shared_dir, sized
 
 RULE_VERSION = "2"
 #: Kinds in their order.
@@ -116,7 +116,7 @@ def findings(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
 
 def redacted(docs: DataFrame, ledger: str | None = None, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """`docs` with every secret replaced by a mark, `length_col` (if there is one) brought up to date. Rows without findings are as they were."""
-    hit = hits(docs, ledger, text_col).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    hit = sized(hits(docs, ledger, text_col), 100_000).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

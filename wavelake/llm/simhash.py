@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, first_id, fold, materialize, ordered_node, words
+from .common import connected_components, discard, first_id, fold, materialize, ordered_node, sized, words
 
 BITS = 4
 #: Rows of a posting list that are compared at once with as many others.
@@ -37,6 +37,8 @@ BLOCK = 2048
 WORDS, SIMILAR = 5, 0.8
 #: Bands of smallest hashes that near copies meet in: at the least similarity a pair is missed with probability (1 - 0.8 ** 4) ** 40 = 7e-10.
 BANDS, BAND = 40, 4
+#: Bands whose lists are worked through first.
+FIRST = 4
 #: Members of sets in a block of a list.
 TOKENS = 1 << 19
 
@@ -270,13 +272,22 @@ def near_copies(rows: DataFrame, size: int = WORDS, least: float = SIMILAR) -> D
     index = materialize(rows.select("row", "text").mapInArrow(describe, "row long, key binary, n long, posts array<long>"), "near-index")
     # equal sets are compared once
     single = materialize(index.groupBy("key").agg(F.min("row").alias("row")), "near-distinct")
-    posts = index.join(single.select("row"), "row").select("row", "n", F.explode("posts").alias("post"))
+    posts = index.join(single.select("row"), "row").select("row", "n", F.posexplode("posts").alias("band", "post"))
     met = posts.groupBy("post").agg(F.count("*").alias("m")).where("m > 1").select("post")
     posts = materialize(posts.join(met, "post"), "near-posts")
-    text = rows.join(posts.select("row").distinct().hint("shuffle_hash"), "row", "left_semi").select("row", "text")
+    some = materialize(posts.select("row").distinct(), "near-met")
+    text = rows.join(sized(some), "row", "left_semi").select("row", "text")
     sets = materialize(text.mapInArrow(gather, "row long, found binary"), "near-sets")
-    root = connected_components(similar(sets, posts, least), "near-cc")
-    named = single.join(root, single.row == root.node, "left").select("key", F.coalesce("component", "row").alias("root"))
+    # the first bands find most links; of the others, lists whose rows are all connected by then add nothing
+    edges = materialize(similar(sets, posts.where(F.col("band") < FIRST), least), "near-edges")
+    root = materialize(connected_components(edges, "near-cc"), "near-roots")
+    rest = posts.where(F.col("band") >= FIRST).join(root, posts.row == root.node, "left").select("row", "n", "post", F.coalesce("component", "row").alias("root"))
+    rest = materialize(rest, "near-rest")
+    apart = rest.groupBy("post").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("post")
+    more = materialize(similar(sets, rest.join(apart, "post").select("row", "n", "post"), least), "near-edges")
+    root = connected_components(root.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more), "near-cc")
+    named = materialize(single.join(root, single.row == root.node, "left").select("key", F.coalesce("component", "row").alias("root")), "near-named")
+    discard(posts, some, sets, edges, rest, more, single)
     return index.select("row", "key").join(named, "key").select("row", "root")
 
 
@@ -284,5 +295,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row of `docs` for each group of near copies (see near_copies): that of the smallest id, and of equal ids the first; a null id stays only where the group has no other."""
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     named = rows.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id")).join(near_copies(rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))), "row")
-    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(keep.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+    named = materialize(named, "near-groups")
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    drop = materialize(named.join(keep, "row", "left_anti").select(F.col("row").alias("_row")), "near-drop")
+    discard(named)
+    return rows.join(sized(drop), "_row", "left_anti").select(*docs.columns)
