@@ -28,10 +28,10 @@ def central_moments(x: Column) -> list[Column]:
 
 
 def statistics(x: Column, ddof: int = 0) -> dict[str, Column]:
-    """One pass over a group: all statistical and energy features that aggregate."""
+    """One pass over a group: all statistical and energy features with a bounded state. The median is no such; see eda.statistics."""
     return {
         "mean": F.avg(x), "std": F.stddev_samp(x) if ddof else F.stddev_pop(x), "variance": F.var_samp(x) if ddof else F.var_pop(x),
-        "median": F.median(x), "max": F.max(x), "min": F.min(x), "kurtosis": F.kurtosis(x), "skewness": sample_skewness(x),
+        "max": F.max(x), "min": F.min(x), "kurtosis": F.kurtosis(x), "skewness": sample_skewness(x),
         "rms": rms(x), "energy": F.sum(x * x), "power": F.avg(x * x), "crest_factor": safe(F.max(F.abs(x)), rms(x)), "length": F.count(x),
     }
 
@@ -59,9 +59,9 @@ def power_to_db(s: Column, ref: float = 1.0, amin: float = 1e-10, top_db: float
     import math
 
     if amin <= 0:
-        raise ValueError("amin must be strictly positive")
+        raise ValueError("the floor `amin` has to be above zero")
     if top_db is not None and top_db < 0:
-        raise ValueError("top_db must be non-negative")
+        raise ValueError("the range `top_db` can't be below zero")
     out = 10 * F.log10(F.greatest(s, F.lit(amin))) - 10 * math.log10(max(amin, ref))
     return out if top_db is None else F.greatest(out, F.max(out).over(window) - top_db)
 
@@ -92,9 +92,9 @@ def magnitude(*channels: Column) -> Column:
 
 
 def softmask(x: Column, ref: Column, power: float = 1.0, split_zeros: bool = False) -> Column:
-    top = F.greatest(x, ref)
-    a, b = F.pow(F.try_divide(x, top), F.lit(power)), F.pow(F.try_divide(ref, top), F.lit(power))
-    return F.when(top <= 0, F.lit(0.5 if split_zeros else 0.0)).otherwise(a / (a + b))
+    """Share of x ** power beside ref ** power, as a logistic curve of the log ratio."""
+    curve = 1 / (1 + F.exp(power * (F.ln(ref) - F.ln(x))))
+    return F.when((x <= 0) & (ref <= 0), F.lit(0.5 if split_zeros else 0.0)).when(x <= 0, F.lit(0.0)).when(ref <= 0, F.lit(1.0)).otherwise(curve)
 
 
 def hz_to_mel(f: Column, htk: bool = False) -> Column:
@@ -135,3 +135,8 @@ def one_pole(x: Column, s: float) -> Column:
     """First-order smoother over an array: m[t] = (1 - s) m[t - 1] + s x[t], m[0] = x[0]."""
     start = F.array(F.get(x, F.lit(0)).cast("double"))
     return F.aggregate(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), start, lambda m, v: F.concat(m, F.array(F.element_at(m, -1) * (1 - s) + v * s)))
+
+
+def samples_like(n: Column, hop: int = 512, n_fft: int | None = None) -> Column:
+    """The sample at which each of n frames begins."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: frames_to_samples(i, hop, n_fft))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,18 @@ from .signal import on_arrays
 
 
 def uniform(*of: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the given columns and the seed alone."""
-    return F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    """A number in [0, 1) that depends on the given columns and the seed alone: 52 bits of the MD5 of their text, so other engines can draw it too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in of), F.lit(str(seed)))), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def _seeded(func: Callable[[np.ndarray, np.random.Generator], np.ndarray], x: Column, of: tuple[Column, ...], seed: int) -> Column:
+    """A kernel with random draws of its own for each value of the columns `of`."""
+
+    @F.pandas_udf("array<double>")
+    def mapped(column: pd.Series, draws: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else func(np.asarray(v, float), np.random.default_rng(np.uint64(np.int64(d)))) for v, d in zip(column, draws)], dtype=object)
+
+    return mapped(x.cast("array<double>"), F.xxhash64(*of, F.lit(seed)))
 
 
 def normal(*of: Column, seed: int = 0) -> Column:
@@ -101,27 +112,27 @@ def convolved(x: Column, window: str = "hann", size: int = 7) -> Column:
     return on_arrays(lambda v: np.convolve(np.pad(v, size // 2, "edge"), w, "valid")[: len(v)])(x)
 
 
-def drifted(x: Column, most: float = 0.5, points: int = 3, seed: int = 0) -> Column:
-    """A smooth random drift, relative to the range of the signal."""
+def drifted(x: Column, *of: Column, most: float = 0.5, points: int = 3, seed: int = 0) -> Column:
+    """A smooth random drift, relative to the range of the signal, drawn for each value of `of` (the key of a series)."""
 
-    def drift(v: np.ndarray) -> np.ndarray:
-        knots = np.cumsum(np.random.default_rng([seed, len(v)]).normal(size=points + 2))
+    def drift(v: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+        knots = np.cumsum(draw.normal(size=points + 2))
         d = K.cubic_spline(np.linspace(0, max(len(v) - 1, 1), points + 2), knots, np.arange(len(v)))
         d = d - d[:1]
         return v + d / max(np.abs(d).max(initial=0), 1e-12) * most * (v.max() - v.min())
 
-    return on_arrays(drift)(x)
+    return _seeded(drift, x, of, seed)
 
 
-def time_warped(x: Column, changes: int = 3, ratio: float = 3.0, seed: int = 0) -> Column:
-    """Piecewise random speeds, length kept."""
+def time_warped(x: Column, *of: Column, changes: int = 3, ratio: float = 3.0, seed: int = 0) -> Column:
+    """Piecewise random speeds, length kept, drawn for each value of `of` (the key of a series)."""
 
-    def warp(v: np.ndarray) -> np.ndarray:
-        speed = np.random.default_rng([seed, len(v)]).uniform(1, ratio, changes + 1)
+    def warp(v: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+        speed = draw.uniform(1, ratio, changes + 1)
         at = np.r_[0, np.cumsum(speed)] / speed.sum() * (len(v) - 1)
         return np.interp(np.interp(np.arange(len(v)), np.linspace(0, len(v) - 1, changes + 2), at), np.arange(len(v)), v)
 
-    return on_arrays(warp)(x)
+    return _seeded(warp, x, of, seed)
 
 
 def resized(x: Column, size: int) -> Column:

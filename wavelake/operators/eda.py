@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from .ordering import bucket, value_ranks
+from .ordering import quantiles as exact_quantiles
 
 
 def with_average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,23 +77,30 @@ def redundant(df: DataFrame, columns: list[str], threshold: float = 0.75) -> lis
     return [c for c in columns if c in hit]
 
 
-def z_score_kept(columns: list[str], by: str, threshold: float = 3) -> Column:
-    """Whether all values lie within `threshold` standard deviations of their class; a constant column keeps nothing."""
-    w = Window.partitionBy(by)
-    out = F.lit(True)
+def z_score_kept(df: DataFrame, columns: list[str], by: str, threshold: float = 3) -> DataFrame:
+    """Rows whose values all lie within `threshold` standard deviations of their class; a constant column keeps nothing. One aggregation by class, joined back."""
+    stats = df.groupBy(F.col(by).alias("_by")).agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_{c}") for c in columns))
+    inside = F.lit(True)
     for c in columns:
-        out = out & (F.abs(F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w))) < threshold)
-    return F.coalesce(out, F.lit(False))
+        inside = inside & (F.abs(F.try_divide(F.col(c) - F.col(f"_{c}.m"), F.col(f"_{c}.s"))) < threshold)
+    return df.join(stats, F.col(by).eqNullSafe(F.col("_by"))).where(F.coalesce(inside, F.lit(False))).select(*(df[c] for c in df.columns))
+
+
+def statistics(df: DataFrame, column: str, by: list[str], ddof: int = 0) -> DataFrame:
+    """All statistical and energy features of each class, the exact median included."""
+    stats = df.groupBy(*by).agg(*(c.alias(k) for k, c in C.statistics(F.col(column), ddof).items()))
+    median = exact_quantiles(df, column, [0.5], by).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("q")[0].alias("median"))
+    return stats.join(median, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)), "left").drop(*(f"_{c}" for c in by))
 
 
 def iqr_kept(df: DataFrame, columns: list[str], by: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Rows inside the whiskers of their class for all columns: exact quantiles by class, joined back."""
-    q = df.groupBy(by).agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns))
-    inside = F.lit(True)
+    out = df
     for c in columns:
+        q = exact_quantiles(df, c, [low, high], [by]).select(F.col(by).alias("_by"), F.col("q").alias(f"_{c}"))
         a, b = F.col(f"_{c}")[0], F.col(f"_{c}")[1]
-        inside = inside & F.col(c).between(a - 1.5 * (b - a), b + 1.5 * (b - a))
-    return df.join(q, by).where(inside).select(df.columns)
+        out = out.join(q, F.col(by).eqNullSafe(F.col("_by"))).where(F.col(c).between(a - 1.5 * (b - a), b + 1.5 * (b - a))).select(df.columns)
+    return out
 
 
 def standardized(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -128,7 +137,7 @@ def imputed(df: DataFrame, columns: list[str], sentinel: float | None = None) ->
 def quantile_transformed(df: DataFrame, column: str, quantiles: int = 1000, into: str | None = None) -> DataFrame:
     """Values mapped to [0, 1] by the empirical distribution: `quantiles` exact landmarks, linear between them; equal landmarks give the middle of their range. The landmarks are one array of a bounded length."""
     steps = [k / (quantiles - 1) for k in range(quantiles)]
-    marks = df.agg(F.percentile(column, F.array(*map(F.lit, steps))).alias("_m"))
+    marks = exact_quantiles(df, column, steps).select(F.col("q").alias("_m"))
     x, m = F.col(column).cast("double"), F.col("_m")
     low = F.size(F.filter(m, lambda v: v < x))
     high = F.size(F.filter(m, lambda v: v <= x))

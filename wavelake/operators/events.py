@@ -41,14 +41,17 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def classified(predicted: DataFrame, truth: DataFrame, key: list[str], least: float) -> DataFrame:
-    """Each predicted event with its best true one and a verdict: insertion, deletion, correct or substitution. Needs an `id` in both; joined on the key, by overlap."""
+def classified(predicted: DataFrame, truth: DataFrame, key: list[str], least: float, width: int = 256) -> DataFrame:
+    """Each predicted event with its best true one and a verdict: insertion, deletion, correct or substitution. Needs an `id`, unique within a key, in both. Events meet in the stretches of `width` positions that both touch, a pair in the first of them alone, so a key with very many events is no quadratic join."""
+    touched = lambda a, z: F.explode(F.sequence(F.floor(a / width), F.floor((F.greatest(z, a + 1) - 1) / width)))
     t = truth.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("cls").alias("_c"), F.col("id").alias("_id"))
-    on = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("start") < F.col("_e"), F.col("_s") < F.col("end")]
-    pairs = predicted.join(t, on, "left").withColumn("iou", F.coalesce(iou(F.col("start"), F.col("end"), F.col("_s"), F.col("_e")), F.lit(0.0)))
-    best = pairs.groupBy(*key, "id", "start", "end", "cls").agg(F.max_by(F.struct("_c", "iou"), F.struct("iou", -F.col("_id"))).alias("b"))
-    verdict = F.when(F.col("b.iou") == 0, "insertion").when(F.col("b.iou") < least, "deletion").when(F.col("b._c") == F.col("cls"), "correct").otherwise("substitution")
-    return best.select(*key, "id", "start", "end", "cls", F.coalesce("b.iou", F.lit(0.0)).alias("iou"), F.when(F.col("b").isNull(), "insertion").otherwise(verdict).alias("verdict"))
+    t = t.withColumn("_bin", touched(F.col("_s"), F.col("_e")))
+    p = predicted.select(*key, "id", "start", "end").withColumn("bin", touched(F.col("start"), F.col("end")))
+    on = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("bin") == F.col("_bin"), F.col("start") < F.col("_e"), F.col("_s") < F.col("end")]
+    pairs = p.join(t, on).where(F.col("bin") == F.floor(F.greatest("start", "_s") / width)).withColumn("iou", iou(F.col("start"), F.col("end"), F.col("_s"), F.col("_e")))
+    best = pairs.groupBy(*key, "id").agg(F.max_by(F.struct("_c", "iou"), F.struct("iou", -F.col("_id"))).alias("b"))
+    verdict = F.when(F.col("b").isNull() | (F.col("b.iou") == 0), "insertion").when(F.col("b.iou") < least, "deletion").when(F.col("b._c") == F.col("cls"), "correct").otherwise("substitution")
+    return predicted.join(best, [*key, "id"], "left").select(*key, "id", "start", "end", "cls", F.coalesce("b.iou", F.lit(0.0)).alias("iou"), verdict.alias("verdict"))
 
 
 def scores(verdicts: DataFrame, key: list[str]) -> DataFrame:

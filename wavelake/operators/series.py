@@ -114,6 +114,44 @@ class SeriesFrame:
         wide = self.df.withColumn("_n", n).where(low <= high).withColumn("win", F.explode(F.sequence(low, high))).withColumn("start", F.col("win") * step + first)
         return wide.where((F.col("start") >= 0) & (F.col("start") + size <= F.col("_n"))).drop("_n")
 
+    def _framed(self, length: int, hop: int, skip: int = 0) -> DataFrame:
+        """A row for each sample and centred frame (column `frame`) that holds it, and `skip` samples before it at least."""
+        half = length // 2
+        n = F.count("*").over(Window.partitionBy(*self.key))
+        low, high = F.ceil((F.col(self.pos) + half - length + 1) / hop), F.floor((F.col(self.pos) + half - skip) / hop)
+        wide = self.df.withColumn("_n", n).withColumn("_low", F.greatest(low, F.lit(0))).withColumn("_high", F.least(high, F.floor((F.col("_n") + 2 * half - length) / hop)))
+        return wide.where("_low <= _high").withColumn("frame", F.explode(F.sequence("_low", "_high"))).drop("_n", "_low", "_high")
+
+    def rolling_rms(self, channel: str, length: int, hop: int) -> DataFrame:
+        """(key, frame, v): root mean square of centred frames, zeros beyond the ends."""
+        x = F.col(channel)
+        return self._framed(length, hop).groupBy(*self.key, "frame").agg(F.sqrt(F.sum(x * x) / length).alias("v"))
+
+    def rolling_zcr(self, channel: str, length: int, hop: int) -> DataFrame:
+        """(key, frame, v): share of sign changes (zero counts as positive) in centred frames, end values repeated beyond the ends."""
+        before = F.lag(channel).over(Window.partitionBy(*self.key).orderBy(self.pos))
+        marked = self._with(self.df.withColumn("_c", F.coalesce(((F.col(channel) < 0) != (before < 0)).cast("int"), F.lit(0))))
+        changes = marked._framed(length, hop, 1).groupBy(*self.key, "frame").agg((F.sum("_c") / F.lit(float(length))).alias("v"))
+        whole = self.df.groupBy(*self.key).agg(F.count("*").alias("_n")).withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") + 2 * (length // 2) - length) / hop)))).drop("_n")
+        return whole.join(changes, [*self.key, "frame"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+    def reversed(self) -> SeriesFrame:
+        """The last sample first."""
+        n = F.count("*").over(Window.partitionBy(*self.key))
+        return self._with(self.df.withColumn(self.pos, n - 1 - F.col(self.pos)))
+
+    def resampled(self, channel: str, size: Column) -> DataFrame:
+        """(key, pos, v): linear interpolation to `size` (of column _n, the length) samples, end points kept. Each sample makes those up to the next one."""
+        w = Window.partitionBy(*self.key)
+        own = self.df.withColumn("_n", F.count("*").over(w)).withColumn("_m", size.cast("long")).withColumn("_next", F.coalesce(F.lead(channel).over(w.orderBy(self.pos)), F.col(channel)))
+        step = F.when(F.col("_m") > 1, (F.col("_n") - 1) / (F.col("_m") - 1)).otherwise(F.lit(0.0))
+        at = F.when(F.col("_m") > 1, F.col("j") * (F.col("_n") - 1) / (F.col("_m") - 1)).otherwise(F.lit(0.0))
+        # a little wider than needed, as quotients are rounded; what isn't this sample's goes
+        low, high = F.greatest(F.floor(F.col(self.pos) / F.col("_step")) - 1, F.lit(0)), F.least(F.ceil((F.col(self.pos) + 1) / F.col("_step")) + 1, F.col("_m") - 1)
+        wide = own.withColumn("_step", F.when(step > 0, step).otherwise(F.lit(1.0))).withColumn("_low", low).withColumn("_high", high).where("_low <= _high").withColumn("j", F.explode(F.sequence("_low", "_high")))
+        made = wide.withColumn("_t", at).where(F.floor("_t") == F.col(self.pos))
+        return made.select(*self.key, F.col("j").alias(self.pos), (F.col(channel) + (F.col("_next") - F.col(channel)) * (F.col("_t") - F.floor("_t"))).alias("v"))
+
 
 def frames(x: Column, length: int, hop: int) -> Column:
     """Array form: an array of full frames."""

@@ -38,7 +38,12 @@ def linear(func: Callable[[np.ndarray], np.ndarray], n: int) -> Callable[[Column
 
     @F.pandas_udf("array<double>")
     def mapped(column: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(column.to_list()) @ matrix.T)) if len(column) else pd.Series([], dtype=object)
+        # nulls stay, and another length is taken by the kernel itself
+        out = pd.Series([None if x is None else x if len(x) == n else func(np.asarray(x, float)) for x in column], dtype=object)
+        whole = [i for i, x in enumerate(column) if x is not None and len(x) == n]
+        for i, y in zip(whole, np.stack([column.iloc[i] for i in whole]) @ matrix.T if whole else ()):
+            out.iat[i] = y
+        return out
 
     return lambda x: mapped(x.cast("array<double>"))
 

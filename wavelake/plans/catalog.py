@@ -75,8 +75,8 @@ def window_features(spark, sf_dir):
  round(max(abs(value)) / sqrt(avg(value * value)), 4) as crest_factor, count(value) as length from events group by event_type""")
 def signal_statistics(spark, sf_dir):
     digits = {"variance": 3, "power": 3, "energy": 1, "max": None, "min": None, "length": None}
-    stats = C.statistics(F.col("value"))
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(*((c if digits.get(k, 4) is None else F.round(c, digits.get(k, 4))).alias(k) for k, c in stats.items()))
+    out = eda.statistics(_table(spark, sf_dir, "events"), "value", ["event_type"])
+    return out.withColumns({c: F.round(c, digits.get(c, 4)) for c in out.columns if c != "event_type" and digits.get(c, 4) is not None})
 
 
 @query("""select event_type, 1.0::double as m0, 0.0::double as m1, round(avg(pow(d, 2)), 3) as m2, round(avg(pow(d, 3)), 0) as m3, round(avg(pow(d, 4)), -3) as m4
@@ -107,8 +107,7 @@ def trim_signal(spark, sf_dir):
 
 @query(f"with {P}, g as (select distinct user_id, n, unnest(range(0, (n // 2)::bigint)) as j from p), q as (select user_id, j, case when n // 2 > 1 then j * (n - 1)::double / (n // 2 - 1) else 0 end as t from g) select q.user_id, q.j as pos, round(a.value + (b.value - a.value) * (t - floor(t)) + 1e-6, 4) as v from q join p a on a.user_id = q.user_id and a.pos = floor(t)::bigint join p b on b.user_id = q.user_id and b.pos = least(floor(t)::bigint + 1, b.n - 1)")
 def resample_signal(spark, sf_dir):
-    a = _users(spark, sf_dir).arrays().withColumn("v", series.resized(F.col("value"), F.floor(F.size("value") / 2).cast("int")))
-    return a.select("user_id", F.posexplode("v").alias("pos", "v")).select("user_id", F.col("pos").cast("long"), r4(F.col("v") + 1e-6).alias("v"))
+    return _users(spark, sf_dir).resampled("value", F.floor(F.col("_n") / 2)).withColumn("v", r4(F.col("v") + 1e-6))
 
 
 @query("select l_orderkey, l_linenumber, round(abs(l_quantity) + abs(l_discount) + abs(l_tax), 4) as sma, round(sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax), 4) as magnitude from lineitem")
@@ -121,21 +120,18 @@ def sma_magnitude(spark, sf_dir):
  w as (select user_id, pos, sqrt(sum(value * value) over (partition by user_id order by pos rows between 5 preceding and 4 following) / 10) as r, max(pos) over (partition by user_id) as n from v)
  select user_id, cast(pos / 5 as bigint) as frame, round(r, 4) as v from w where pos % 5 = 0 and pos <= n""")
 def rolling_rms(spark, sf_dir):
-    a = _users(spark, sf_dir).arrays().withColumn("v", series.rolling_rms(F.col("value"), 10, 5))
-    return a.select("user_id", F.posexplode("v").alias("frame", "v")).select("user_id", F.col("frame").cast("long"), r4("v").alias("v"))
+    return _users(spark, sf_dir).rolling_rms("value", 10, 5).withColumn("v", r4("v"))
 
 
 @query(f"""with {P}, w as (select user_id, pos, value, n, unnest(range(greatest(0, ceil((pos - 9) / 5.0))::bigint, (pos // 5 + 1)::bigint)) as frame from p)
  select user_id, frame, max(value) as peak, count(*) as n from w where frame * 5 + 10 <= n group by user_id, frame""")
 def frame_signal(spark, sf_dir):
-    a = _users(spark, sf_dir).arrays().select("user_id", F.posexplode(series.frames(F.col("value"), 10, 5)).alias("frame", "x"))
-    return a.select("user_id", F.col("frame").cast("long"), F.array_max("x").alias("peak"), F.size("x").cast("long").alias("n"))
+    return _users(spark, sf_dir).windows(10, 5).groupBy("user_id", F.col("win").alias("frame")).agg(F.max("value").alias("peak"), F.count("*").alias("n"))
 
 
 @query(f"with {P} select user_id, cast(pos // 16 as bigint) as chunk, round(sum(value), 2) as total, count(*) as n from p group by user_id, pos // 16")
 def create_chunks(spark, sf_dir):
-    a = _users(spark, sf_dir).arrays().select("user_id", F.posexplode(series.chunks(F.col("value"), 16)).alias("chunk", "x"))
-    return a.select("user_id", F.col("chunk").cast("long"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 2).alias("total"), F.size("x").cast("long").alias("n"))
+    return _users(spark, sf_dir).batches(16).groupBy("user_id", F.col("batch").alias("chunk")).agg(F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
 
 
 @query(f"""with {P}, i as (select user_id, pos, pos - row_number() over (partition by user_id order by pos) as g from p where value > 20)
@@ -186,7 +182,7 @@ def correlation_spearman(spark, sf_dir):
 @query("select l_orderkey, l_linenumber from (select *, stddev_pop(l_extendedprice) over w as s, avg(l_extendedprice) over w as m from lineitem window w as (partition by l_returnflag)) where abs((l_extendedprice - m) / nullif(s, 0)) < 2")
 def outliers_z_score(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem")
-    return df.withColumn("_k", eda.z_score_kept(["l_extendedprice"], "l_returnflag", 2)).where("_k").select("l_orderkey", "l_linenumber")
+    return eda.z_score_kept(df, ["l_extendedprice"], "l_returnflag", 2).select("l_orderkey", "l_linenumber")
 
 
 @query("with q as (select event_type, quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events group by event_type) select event_id, e.event_type, value from events e join q using (event_type) where value between a - 1.5 * (b - a) and b + 1.5 * (b - a)")
@@ -249,8 +245,7 @@ def pooled(spark, sf_dir):
 
 @query(f"with {P} select user_id, n - 1 - pos as pos, -value as v from p")
 def reversed_inverted(spark, sf_dir):
-    a = _users(spark, sf_dir).arrays().select("user_id", F.posexplode(augment.reversed_time(F.col("value"))).alias("pos", "v"))
-    return a.select("user_id", F.col("pos").cast("long"), augment.polarity_inverted(F.col("v")).alias("v"))
+    return _users(spark, sf_dir).reversed().df.select("user_id", "pos", augment.polarity_inverted(F.col("value")).alias("v"))
 
 
 @query(f"with recursive {P}, s as (select user_id, pos, value as m, n from p where pos = 0 union all select p.user_id, p.pos, 0.9 * s.m + 0.1 * p.value, p.n from s join p on p.user_id = s.user_id and p.pos = s.pos + 1) select user_id, pos, round(m + 1e-6, 4) as v from s")
@@ -370,20 +365,28 @@ def pcen(spark, sf_dir):
 @query(f"""with {P}, f as (select user_id, frame, j, least(greatest(frame * 5 + j - 5, 0), n - 1) as a, least(greatest(frame * 5 + j - 4, 0), n - 1) as b from (select distinct user_id, n, unnest(range(0, n // 5 + 1)) as frame from p), (select unnest(range(0, 9)) as j))
  select f.user_id, frame, round(sum(case when (x.value < 40) <> (y.value < 40) then 1 else 0 end) / 10.0, 4) as v from f join p x on x.user_id = f.user_id and x.pos = f.a join p y on y.user_id = f.user_id and y.pos = f.b group by f.user_id, frame""")
 def rolling_zcr(spark, sf_dir):
-    a = _users(spark, sf_dir).arrays().withColumn("v", series.rolling_zcr(F.transform("value", lambda v: v - 40), 10, 5))
-    return a.select("user_id", F.posexplode("v").alias("frame", "v")).select("user_id", F.col("frame").cast("long"), r4("v").alias("v"))
+    u = _users(spark, sf_dir)
+    return u._with(u.df.withColumn("value", F.col("value") - 40)).rolling_zcr("value", 10, 5).withColumn("v", r4("v"))
+
+
+@query(f"""with {P}, f as (select user_id, frame, j, least(greatest(frame * 5 + j - 5, 0), n - 1) as a, least(greatest(frame * 5 + j - 4, 0), n - 1) as b from (select distinct user_id, n, unnest(range(0, n // 5 + 1)) as frame from p), (select unnest(range(0, 9)) as j)),
+ z as (select f.user_id, frame, sum(case when (x.value < 40) <> (y.value < 40) then 1 else 0 end) / 10.0 as v from f join p x on x.user_id = f.user_id and x.pos = f.a join p y on y.user_id = f.user_id and y.pos = f.b group by f.user_id, frame)
+ select user_id, round(max(v), 4) as zcr_max, round(avg(v), 4) as zcr_mean, round(min(v), 4) as zcr_min from z group by user_id""")
+def rolling_zcr_extremes(spark, sf_dir):
+    u = _users(spark, sf_dir)
+    z = u._with(u.df.withColumn("value", F.col("value") - 40)).rolling_zcr("value", 10, 5)
+    return z.groupBy("user_id").agg(r4(F.max("v")).alias("zcr_max"), r4(F.avg("v")).alias("zcr_mean"), r4(F.min("v")).alias("zcr_min"))
 
 
 @query(f"""with {P}, v as (select user_id, pos, value from p union all select user_id, max(n), 0.0 from p group by user_id),
  w as (select user_id, pos, sqrt(sum(value * value) over (partition by user_id order by pos rows between 5 preceding and 4 following) / 10) as r, max(pos) over (partition by user_id) as n from v)
  select user_id, round(max(r), 4) as rms_max, round(avg(r), 4) as rms_mean, round(min(r), 4) as rms_min from w where pos % 5 = 0 and pos <= n group by user_id""")
 def rolling_rms_extremes(spark, sf_dir):
-    a = _users(spark, sf_dir).arrays().withColumn("v", series.rolling_rms(F.col("value"), 10, 5))
-    mean = F.aggregate("v", F.lit(0.0), lambda s, v: s + v) / F.size("v")
-    return a.select("user_id", r4(F.array_max("v")).alias("rms_max"), r4(mean).alias("rms_mean"), r4(F.array_min("v")).alias("rms_min"))
+    v = _users(spark, sf_dir).rolling_rms("value", 10, 5)
+    return v.groupBy("user_id").agg(r4(F.max("v")).alias("rms_max"), r4(F.avg("v")).alias("rms_mean"), r4(F.min("v")).alias("rms_min"))
 
 
-@query(f"with {P}, k as (select unnest(range(0, 100)) as win) select user_id, win, win * 5 - 10 as start, round(sum(value), 2) as total, count(*) as n from p join k on pos between win * 5 - 10 and win * 5 + 9 where win * 5 - 10 >= 0 and win * 5 + 10 <= n group by user_id, win")
+@query(f"with {P}, k as (select unnest(range(0, (select max(n) // 5 + 4 from p)::bigint)) as win) select user_id, win, win * 5 - 10 as start, round(sum(value), 2) as total, count(*) as n from p join k on pos between win * 5 - 10 and win * 5 + 9 where win * 5 - 10 >= 0 and win * 5 + 10 <= n group by user_id, win")
 def rolling_windows(spark, sf_dir):
     return _users(spark, sf_dir).rolling_windows(20, 5).groupBy("user_id", "win").agg(F.first("start").alias("start"), F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
 
@@ -581,8 +584,8 @@ for _name, _make in {
     "pitch_shift": lambda d: _long(d.withColumn("y", signal.pitch_shift(_X("x"), 3, 16)), "y"),
     "resample_fft": lambda d: _long(d.withColumn("y", signal.resample(_X("x"), 48)), "y"),
     "interpolate_spline": lambda d: _long(d.withColumn("y", signal.interpolate(_X("x"), 127)), "y"),
-    "drift": lambda d: _long(d.withColumn("y", augment.drifted(_X("x"))), "y"),
-    "time_warp": lambda d: _long(d.withColumn("y", augment.time_warped(_X("x"))), "y"),
+    "drift": lambda d: _long(d.withColumn("y", augment.drifted(_X("x"), _X("vec_id"))), "y"),
+    "time_warp": lambda d: _long(d.withColumn("y", augment.time_warped(_X("x"), _X("vec_id"))), "y"),
     "mfcc_stats": lambda d: d.withColumn("s", signal.mfcc_stats(_X("x"), 64.0, 4, 16, 4, 6)).select("vec_id", "s.*"),
     "mel_to_audio": lambda d: _long(d.withColumn("y", signal.mel_round_trip(_X("x"), 64.0, 16, 4, 6, 8)), "y"),
     "bin_mel_spectrogram": lambda d: d.select("vec_id", F.posexplode(signal.bin_mel_spectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
