@@ -140,3 +140,9 @@ def one_pole(x: Column, s: float) -> Column:
 def samples_like(n: Column, hop: int = 512, n_fft: int | None = None) -> Column:
     """The sample at which each of n frames begins."""
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: frames_to_samples(i, hop, n_fft))
+
+
+def phasor(angle: Column, mag: Column | None = None) -> dict[str, Column]:
+    """Real and imaginary part of a complex number of the given angle and magnitude (1)."""
+    m = F.lit(1.0) if mag is None else mag
+    return {"re": m * F.cos(angle), "im": m * F.sin(angle)}

@@ -139,8 +139,8 @@ def load(chain: Chain, path: str) -> Chain:
     return Chain([MLStep(s.estimator, s.columns, s.label, s.prefix, next(models)) if isinstance(s, MLStep) else s for s in chain.steps])
 
 
-def principal_components(df: DataFrame, columns: Sequence[str], share: float | int = 0.75, prefix: str = "pc") -> DataFrame:
-    """Scores on the leading axes of the centred columns: as many as explain `share` of the variance, or a given number. One aggregation yields means and covariances (columns squared, whatever the rows); the projection is plain arithmetic. An axis has its largest weight positive."""
+def _axes(df: DataFrame, columns: Sequence[str]) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """Means, variances along the principal axes in falling order, and the axes."""
     n = len(columns)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
     row = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_pop(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs)).first()
@@ -148,9 +148,22 @@ def principal_components(df: DataFrame, columns: Sequence[str], share: float | i
     for i, j in pairs:
         cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
     size, axes = np.linalg.eigh(cov)
-    size, axes = size[::-1], axes[:, ::-1]
+    return [float(row[f"m{i}"] or 0.0) for i in range(n)], size[::-1], axes[:, ::-1]
+
+
+def explained_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(component, share): the share of the variance along each principal axis."""
+    _, size, _ = _axes(df, columns)
+    shares = np.maximum(size, 0) / max(size.sum(), 1e-300)
+    return df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component int, share double")
+
+
+def principal_components(df: DataFrame, columns: Sequence[str], share: float | int = 0.75, prefix: str = "pc") -> DataFrame:
+    """Scores on the leading axes of the centred columns: as many as explain `share` of the variance, or a given number. One aggregation yields means and covariances (columns squared, whatever the rows); the projection is plain arithmetic. An axis has its largest weight positive."""
+    means, size, axes = _axes(df, columns)
+    n = len(columns)
     k = int(share) if share >= 1 else int(np.searchsorted(np.cumsum(size) / max(size.sum(), 1e-300), share) + 1)
     k = min(k, n)
     signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(n)])
-    project = lambda a: reduce(lambda x, y: x + y, ((F.col(c) - F.lit(float(row[f"m{i}"] or 0.0))) * float(axes[i, a] * signs[a]) for i, c in enumerate(columns)))
+    project = lambda a: reduce(lambda x, y: x + y, ((F.col(c) - F.lit(means[i])) * float(axes[i, a] * signs[a]) for i, c in enumerate(columns)))
     return df.withColumns({f"{prefix}_{a}": project(a) for a in range(k)})
