@@ -46,6 +46,32 @@ class SeriesFrame:
             raise KeyError(f"no such channels: {sorted(unknown)}")
         return self._with(self.df.where(F.col(self.pos).between(first, last)), channels=tuple(channels or self.channels))
 
+    def __getitem__(self, at) -> SeriesFrame:
+        """Rows, or rows and channels together: a position, a slice (with a step), or a list of positions; channels by number, name, slice or a list of them. Negative numbers count channels from the end, not positions."""
+        rows, columns = at if isinstance(at, tuple) else (at, slice(None))
+        pos = F.col(self.pos)
+        if isinstance(rows, slice):
+            low, step = rows.start or 0, rows.step or 1
+            if low < 0 or step < 1 or (rows.stop is not None and rows.stop < 0):
+                raise IndexError("positions count from the beginning")
+            keep = (pos >= low) & ((pos - low) % step == 0)
+            keep = keep & (pos < rows.stop) if rows.stop is not None else keep
+        else:
+            keep = pos.isin([int(r) for r in ([rows] if isinstance(rows, int) else rows)])
+        if isinstance(columns, slice):
+            start, stop = (self.channels.index(x) + end if isinstance(x, str) else x for x, end in ((columns.start, 0), (columns.stop, 1)))
+            names = self.channels[start : stop : columns.step]
+        else:
+            names = tuple(c if isinstance(c, str) else self.channels[c] for c in ([columns] if isinstance(columns, (int, str)) else columns))
+        unknown = set(names) - set(self.channels)
+        if unknown:
+            raise KeyError(f"no such channels: {sorted(unknown)}")
+        return self._with(self.df.where(keep).select(*self.key, self.pos, *names, *self.targets), channels=names)
+
+    def lengths(self) -> DataFrame:
+        """(key, n): the samples of each series."""
+        return self.df.groupBy(*self.key).agg(F.count("*").alias("n"))
+
     def drop(self, names: list[str]) -> SeriesFrame:
         return self._with(self.df.drop(*names), channels=tuple(c for c in self.channels if c not in names), targets=tuple(c for c in self.targets if c not in names))
 

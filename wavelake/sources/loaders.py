@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,10 @@ def _roots(path: str, classes: list[str] | None) -> list[str]:
     return [f"{path.rstrip('/')}/{c}" for c in classes] if classes else [path]
 
 
-def csv_dir(spark: SparkSession, path: str, channels: list[str] | None = None, classes: list[str] | None = None, **options) -> DataFrame:
-    """(label, id, pos, channels...): every CSV below `path`; broken files are skipped, as Spark's ignoreCorruptFiles does."""
-    read = spark.read.options(header=True, inferSchema=True, recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreCorruptFiles=True, enforceSchema=False).options(**options)
+def csv_dir(spark: SparkSession, path: str, channels: list[str] | None = None, classes: list[str] | None = None, schema: str | None = None, **options) -> DataFrame:
+    """(label, id, pos, channels...): every CSV below `path`. With a `schema` the files are read once, without one twice, to infer it. An unreadable file fails the job; ignoreCorruptFiles=True skips it."""
+    read = spark.read.options(header=True, inferSchema=schema is None, recursiveFileLookup=True, pathGlobFilter="*.csv", enforceSchema=False).options(**options)
+    read = read.schema(schema) if schema else read
     df = read.csv(_roots(path, classes))
     keep = channels or df.columns
     label, name = _place(F.col("_metadata.file_path"))
@@ -57,11 +57,38 @@ def json_dir(spark: SparkSession, path: str, classes: list[str] | None = None) -
     return df.select(label.alias("label"), F.regexp_replace(name, r"\.json$", "").alias("id"), value.alias("value")).where("value is not null")
 
 
+def _chunks(content: bytes) -> dict[bytes, bytes]:
+    """The parts of a RIFF file, the first of each name."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError("no WAV file")
+    out, at = {}, 12
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        out.setdefault(name, content[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return out
+
+
+def _format(chunks: dict[bytes, bytes]) -> tuple[int, int, int, int]:
+    """Kind (1: integers, 3: floats), channels, sampling rate, bytes of a sample."""
+    if len(chunks.get(b"fmt ", b"")) < 16:
+        raise ValueError("a WAV file without a format")
+    kind, n, sr, _, _, bits = struct.unpack_from("<HHIIHH", chunks[b"fmt "])
+    if kind == 0xFFFE and len(chunks[b"fmt "]) >= 26:  # the extended form names the kind further on
+        kind = struct.unpack_from("<H", chunks[b"fmt "], 24)[0]
+    if (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)} or not n:
+        raise ValueError(f"unknown WAV format {kind} of {bits} bits")
+    return kind, n, sr, bits // 8
+
+
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
-    """Sampling rate and samples (channel, position), floats in [-1, 1]."""
-    with wave.open(io.BytesIO(content)) as w:
-        n, width, sr = w.getnchannels(), w.getsampwidth(), w.getframerate()
-        raw = w.readframes(w.getnframes())
+    """Sampling rate and samples (channel, position): integers as floats in [-1, 1], floats as they are."""
+    chunks = _chunks(content)
+    kind, n, sr, width = _format(chunks)
+    raw = chunks.get(b"data", b"")
+    raw = raw[: len(raw) // (n * width) * n * width]
+    if kind == 3:
+        return sr, np.frombuffer(raw, f"<f{width}").astype(float).reshape(-1, n).T
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(float) - 128
     elif width == 3:
@@ -87,7 +114,7 @@ def wav_dir(spark: SparkSession, path: str, classes: list[str] | None = None, ta
                         n = int(x.shape[1] / sr * target_sr)
                         x = np.stack([np.interp(np.linspace(0, x.shape[1] - 1, n), np.arange(x.shape[1]), c) for c in x])
                     out.append((target_sr or sr, [c.tolist() for c in x], None))
-                except (wave.Error, EOFError, ValueError) as e:
+                except (struct.error, ValueError) as e:
                     out.append((None, None, str(e) or type(e).__name__))
             yield p[["label", "id"]].assign(sr=pd.array([o[0] for o in out], dtype="Int32"), channels=[o[1] for o in out], error=[o[2] for o in out])
 
@@ -95,8 +122,9 @@ def wav_dir(spark: SparkSession, path: str, classes: list[str] | None = None, ta
 
 
 def wav_header(content: bytes) -> dict:
-    with wave.open(io.BytesIO(content)) as w:
-        return w.getparams()._asdict()
+    chunks = _chunks(content)
+    _, n, sr, width = _format(chunks)
+    return {"nchannels": n, "sampwidth": width, "framerate": sr, "nframes": len(chunks.get(b"data", b"")) // (n * width)}
 
 
 def wav_headers(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
@@ -111,7 +139,7 @@ def wav_headers(spark: SparkSession, path: str, classes: list[str] | None = None
             for content in p["content"]:
                 try:
                     found.append(wav_header(content) | {"error": None})
-                except (wave.Error, EOFError) as e:
+                except (struct.error, ValueError) as e:
                     found.append(dict.fromkeys(fields) | {"error": str(e) or type(e).__name__})
             out = pd.DataFrame(found, columns=[*fields, "error"]).astype(dict.fromkeys(fields, "Int64"))
             yield pd.concat([p[["label", "id"]].reset_index(drop=True), out], axis=1)
