@@ -7,8 +7,8 @@ posterior weights of that mixture give, for each context, the probability of eac
 sum over a text is its code length. At a decision that training has not seen in a context, the mixture ends with the
 deepest context in which it has.
 
-There is one way at every size. (DEPTH+1)-grams of bytes are counted in tasks, then sorted and added up; those of
-held-out texts are carried with count 0. A gram is written with the nearest byte first, so that in rising order all contexts of all
+There is one way at every size. (DEPTH+1)-grams of bytes are counted in tasks and then by key; those of held-out
+texts are carried with count 0. A gram is written with the nearest byte first, so that in rising order all contexts of all
 depths are runs. The levels from DEPTH to GROUP are worked out in tasks, by runs of equal contexts of GROUP bytes (at
 most 256 ** (DEPTH - GROUP + 1) grams each), the levels above by sums and joins by key, up to the root and down again.
 The result is a table of the log probability of every gram that occurs in the corpus. Of it, as of the words, the most
@@ -39,7 +39,7 @@ HOT_GRAMS, HOT_WORDS = 1 << 22, 1 << 17
 #: No word: words hold no line feed.
 END = "\n"
 #: Bytes that are looked up or counted at once; distinct grams and words that a task keeps before it passes counts on; grams whose nodes are worked out at once.
-CHUNK, KEPT_GRAMS, KEPT_WORDS, NODES = 1 << 20, 2_000_000, 250_000, 100_000
+CHUNK, KEPT_GRAMS, KEPT_WORDS, NODES = 1 << 21, 2_500_000, 250_000, 100_000
 
 
 def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def _parts(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", learn_col: str = "learn", depth: int = DEPTH) -> DataFrame:
-    """(gram, n): how often each gram occurs in the texts to be learned (column `learn`), 0 if only in others; a gram has a row for each task or stretch of it."""
+    """(gram, n): how often each gram occurs in the texts to be learned (column `learn`), 0 if only in others. Tasks send each of their grams about once, so no key is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums, rest = np.zeros(0, np.int64), np.zeros(0, np.int32), {True: [], False: []}
@@ -113,7 +113,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text", learn_col: str = "learn
         yield from rows()
 
     given = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(learn_col).cast("boolean"), F.lit(False)).alias("learn"))
-    return given.mapInArrow(run, "gram long, n long")
+    return given.mapInArrow(run, "gram long, n long").repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -229,12 +229,12 @@ def _nodes(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def chances(known: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
-    """(gram, logs, n): the log10 probability of the byte of each of the `known` grams (gram, n; repeats are added up) in its context. A written table."""
+    """(gram, logs, n): the log10 probability of the byte of each of the `known` grams (gram, n) in its context. A written table."""
     shift = 8 * (depth - group + 1)
 
     def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "gram", shift):
-            gram, n = _summed(t["gram"].to_numpy(), t["n"].to_numpy())
+            gram, n = t["gram"].to_numpy(), t["n"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), *(pa.nulls(len(gram), pa.float64()) for _ in range(4))], ["code", "n", "zeros", "ones", "mass", "weight"])
             yield _nodes(*Levels(gram, n, depth, group).levels[0])
 
@@ -290,7 +290,7 @@ def _least(counts: DataFrame, most: int) -> int:
 def score(gram: np.ndarray, logs: np.ndarray, texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
     """log10 probability of each text but for the grams that are not among the given ones (sorted), and those."""
     out, away = np.zeros(len(texts)), [np.zeros(0, np.int64)] * len(texts)
-    for at, part in _parts(texts, CHUNK // 2):
+    for at, part in _parts(texts, CHUNK // 4):
         own, lengths = grams_of(part, depth)
         order = np.argsort(own)
         found = own[order]
