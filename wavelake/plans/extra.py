@@ -166,9 +166,10 @@ def shared_rows(spark, sf_dir):
     return relations.shared_rows(*_sides(spark, sf_dir))
 
 
-@query("select user_id, event_type from events except select user_id, event_type from events where value > 40")
+@query("select user_id, event_type from events except select user_id, event_type from events where value > 150")
 def own_rows(spark, sf_dir):
-    return relations.own_rows(_table(spark, sf_dir, "events").select("user_id", "event_type"), _sides(spark, sf_dir)[1])
+    e = _table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    return relations.own_rows(e.drop("value"), e.where("value > 150").drop("value"))
 
 
 @query("select distinct user_id, event_type from events")
