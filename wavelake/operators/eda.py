@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import columns as C
-from .ordering import bucket, value_ranks
+from .ordering import bucket, positioned, value_ranks
 from .ordering import quantiles as exact_quantiles
 
 
@@ -118,8 +119,11 @@ def min_max_scaled(df: DataFrame, columns: list[str], low: float = 0.0, high: fl
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Codes of the sorted labels: (label, code)."""
-    return df.select(F.col(column).alias("label")).where("label is not null").distinct().withColumn("code", F.row_number().over(Window.orderBy("label")) - 1)
+    """Codes of the sorted labels: (label, code). Labels are numbered within buckets (of strings by their first bytes), not in one task."""
+    own = df.select(F.col(column).alias("label")).where("label is not null").distinct()
+    text = isinstance(own.schema["label"].dataType, StringType)
+    order = F.conv(F.rpad(F.substring(F.hex("label"), 1, 12), 12, "0"), 16, 10).cast("double") if text else F.col("label").cast("double")
+    return positioned(own, order, "label", name="code")
 
 
 def label_decoded(df: DataFrame, codes: DataFrame, code: str, into: str) -> DataFrame:

@@ -32,6 +32,23 @@ def on_arrays(func: Callable[[np.ndarray], object], returns: str = "array<double
     return lambda x: mapped(x.cast("array<double>"))
 
 
+def on_equal_arrays(func: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """A kernel on matrices, a signal in each row: the arrays of one length in a batch are taken at once. A null stays null."""
+
+    @F.pandas_udf("array<double>")
+    def mapped(column: pd.Series) -> pd.Series:
+        out, lengths = pd.Series([None] * len(column), dtype=object), np.array([-1 if x is None else len(x) for x in column], int)
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            for i, y in zip(at, func(np.stack([column.iloc[i] for i in at]))):
+                out.iat[i] = y
+        for i in np.flatnonzero(lengths == 0):
+            out.iat[i] = np.zeros(0)
+        return out
+
+    return lambda x: mapped(x.cast("array<double>"))
+
+
 def linear(func: Callable[[np.ndarray], np.ndarray], n: int) -> Callable[[Column], Column]:
     """A linear kernel on signals of exactly n samples as one matrix product for each batch."""
     matrix = K.linear_operator(func, n)
@@ -54,7 +71,7 @@ rows = lambda m: [r.tolist() for r in m]
 
 
 def fft_magnitude(x: Column) -> Column:
-    return on_arrays(lambda v: np.abs(np.fft.rfft(v)))(x)
+    return on_equal_arrays(lambda m: np.abs(np.fft.rfft(m, axis=1)))(x)
 
 
 def spectral_features(x: Column, fs: float, **kw) -> Column:
