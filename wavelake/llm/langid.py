@@ -29,7 +29,7 @@ from .common import WORD_JAVA, bucket_of, words
 SAMPLE_DOCS, SAMPLE_ALL, LEAST_DOCS, SAMPLE_WORDS = 1_000, 64_000, 50, 80
 SLOTS = 1 << 17
 #: Words that are decoded together.
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 150_000
 #: Positions whose expected moves are worked out at once, in training.
 CHUNK_MOVES = 20_000
 #: A document of the pipeline has no clear language if its words are surer than this of none, on average. A text of several languages with clear words stays.
