@@ -520,9 +520,21 @@ def _window_probabilities(spark, sf_dir):
     return d.select("vec_id", "instance", F.lit(0).alias("repeat"), F.posexplode(F.array(p, 1 - p)).alias("cls", "p"))
 
 
-@query()
+#: Second derivatives c (in units of a knot's distance) of the not-a-knot spline through y(key, pos, n, v), n > 4. Next to the ends they are second differences; between them the system (1, 4, 1) has a closed inverse, of which 40 places on each side are more than a double can tell.
+_SPLINE = """d as (select {k}, pos, n, lead(v) over w - 2 * v + lag(v) over w as d from y window w as (partition by {k} order by pos)),
+ r as (select {k}, pos, n, 6 * d - case when pos = 2 then lag(d) over w else 0 end - case when pos = n - 3 then lead(d) over w else 0 end as r from d window w as (partition by {k} order by pos)),
+ g as (select {k}, a.pos, any_value(a.n) as n, sum(b.r * (1 - 2 * ((a.pos + b.pos) % 2)) * exp(-abs(a.pos - b.pos) * t) * (1 - exp(-2 * (least(a.pos, b.pos) - 1) * t)) * (1 - exp(-2 * (a.n - 2 - greatest(a.pos, b.pos)) * t)) / (1 - exp(-2 * (a.n - 3) * t)) / (2 * sinh(t))) as c
+  from r a join r b using ({k}), (select acosh(2) as t) where a.pos between 2 and a.n - 3 and b.pos between 2 and b.n - 3 and abs(a.pos - b.pos) <= 40 group by {k}, a.pos),
+ i as (select {k}, pos, n, c from g union all select {k}, pos, n, d from d where pos in (1, n - 2)),
+ c as (select {k}, pos, c from i union all select {k}, 0, sum(case pos when 1 then 2 * c else -c end) from i where pos in (1, 2) group by {k} union all select {k}, any_value(n) - 1, sum(case pos when n - 2 then 2 * c else -c end) from i where pos in (n - 2, n - 3) group by {k}),
+ piece as (select {k}, pos, n, v, lead(v) over w - v as slope, c, lead(c) over w as c1 from y join c using ({k}, pos) window w as (partition by {k} order by pos))"""
+_CURVE = "v + d * (slope - (2 * c + c1) / 6 + d * (c / 2 + d * (c1 - c) / 6))"
+
+
+@query(f"with {E}, y as (select vec_id, cls, pos, n, case cls when 0 then 1 / (1 + exp(-8 * x)) else 1 - 1 / (1 + exp(-8 * x)) end as v from e, (select unnest(range(0, 2)) as cls)), {_SPLINE.format(k='vec_id, cls')}, a as (select vec_id, cls, p, v, slope, c, c1, (p - 2) / 4.0::double - pos as d from piece, range(0, 256) t(p) where pos = least(greatest(floor((p - 2) / 4.0::double), 0), n - 2) and p < 4 * n) select vec_id, cls, p as pos, round({_CURVE} + 1e-7, 4) as p from a")
 def interpolated_probabilities(spark, sf_dir):
-    return events.interpolated(_window_probabilities(spark, sf_dir), ["vec_id", "cls"], 8.0, 1.0, 0.5)
+    out = events.interpolated(_window_probabilities(spark, sf_dir), ["vec_id", "cls"], 8.0, 1.0, 0.5)
+    return out.select("vec_id", F.col("cls").cast("long"), "pos", r4(F.col("p") + 1e-7).alias("p"))
 
 
 @query()
@@ -569,25 +581,67 @@ def phase_power_ratio(spark, sf_dir):
     return _signals(spark, sf_dir).select("vec_id", r4(signal.phase_power_ratio(F.col("x"), 8000.0)).alias("v"))
 
 
+@query(f"with {_MEL}, q as (select i, floor(17 * 700 * (pow(10, i * log10(1 + 32 / 700.0::double) / 7) - 1) / 64) as q from range(0, 8) t(i)), b as (select i - 2 as mel, lag(q, 2) over w as a, lag(q) over w as b, q as c from q window w as (order by i)) select vec_id, mel, frame, round(sum(pw / 64 * case when bin >= a and bin < b then (bin - a) / (b - a) when bin >= b and bin < c then 1 - (bin - b) / (c - b) else 0 end) + 1e-7, 4) as v from d, b where mel >= 0 group by vec_id, mel, frame")
+def bin_mel_spectrogram(spark, sf_dir):
+    return _framed(_signals(spark, sf_dir).withColumn("y", signal.bin_mel_spectrogram(F.col("x"), 64.0, 16, 4, 6)), "mel")
+
+
+_MFCC_STATS = """c as (select vec_id, c.c as coefficient, frame, sqrt(2 / 6.0::double) * case when c.c = 0 then sqrt(0.5) else 1 end * sum(v * cos(pi() * (2 * mel + 1) * c.c / 12)) as v from (select vec_id, mel, frame, greatest(10 * log10(greatest(v, 1e-10)), max(10 * log10(greatest(v, 1e-10))) over (partition by vec_id) - 80) as v from s) t, (select unnest(range(0, 4)) as c) c group by vec_id, c.c, frame),
+ g as (select vec_id, coefficient, a.f as frame, sum(v * j / 60) as d1, sum(v * (3 * j * j - 20) / 462) as d2 from c, range(0, 17) a(f), range(-4, 5) b(j) where frame = least(greatest(a.f, 4), 12) + j group by vec_id, coefficient, a.f),
+ l as (select vec_id, coefficient, avg(v) as mean, stddev_pop(v) as std from c group by vec_id, coefficient), h as (select vec_id, coefficient, avg(d1) as delta, avg(d2) as delta2 from g group by vec_id, coefficient)"""
+
+
+@query(f"with {_MEL}, {_MFCC_STATS} select vec_id, coefficient, round(mean + 1e-7, 4) as mean, round(std + 1e-7, 4) as std, round(delta + 1e-7, 4) as delta, round(delta2 + 1e-7, 4) as delta2 from l join h using (vec_id, coefficient)")
+def mfcc_stats(spark, sf_dir):
+    names = ("mean", "std", "delta", "delta2")
+    s = _signals(spark, sf_dir).withColumn("s", signal.mfcc_stats(F.col("x"), 64.0, 4, 16, 4, 6))
+    s = s.select("vec_id", F.posexplode(F.arrays_zip(*(F.col(f"s.{n}").alias(n) for n in names))).alias("coefficient", "z"))
+    return s.select("vec_id", F.col("coefficient").cast("long"), *(r4(F.col(f"z.{n}") + 1e-7).alias(n) for n in names))
+
+
+@query(f"with {E}, w as (select p, q, (1 + 2 * sum(cos(2 * pi() * k * (p / 48.0::double - q / 64.0::double)))) / 64 as w from range(0, 48) a(p), range(0, 64) b(q), range(1, 25) c(k) group by p, q) select vec_id, p as pos, round(sum(x * w) + 1e-7, 4) as v from e join w on q = pos group by vec_id, p")
+def resample_fft(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.resample(x, 48))
+
+
+@query(f"with {E}, y as (select vec_id, pos, n, x as v from e), {_SPLINE.format(k='vec_id')}, a as (select vec_id, p, v, slope, c, c1, p / 2.0::double - pos as d from piece, range(0, 127) t(p) where pos = least(p // 2, n - 2)) select vec_id, p as pos, round({_CURVE} + 1e-7, 4) as v from a")
+def interpolate_spline(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.interpolate(x, 127))
+
+
+#: A filter of four poles forwards and backwards over an odd extension of 15 samples. Its analogue form is a fraction of polynomials in s (c0 to c4 below, `top` above as powers of (1 - q) and (1 + q)), with s = (1 - q) / (1 + q) for the delay q; before the first sample its value has been there for ever.
+_POLES = f"""{E}, u as (select {{c0}} as c0, {{c1}} as c1, {{c2}} as c2, {{c3}} as c3, {{k}} as k from (select {{given}})),
+ o as (select 1 + c3 + c2 + c1 + c0 as a0, (-4 - 2 * c3 + 2 * c1 + 4 * c0) / a0 as a1, (6 - 2 * c2 + 6 * c0) / a0 as a2, (-4 + 2 * c3 - 2 * c1 + 4 * c0) / a0 as a3, (1 - c3 + c2 - c1 + c0) / a0 as a4, {{top}} as b, k / a0 as k, {{level}} as level from u),
+ x0 as (select vec_id, pos + 15 as i, x from e union all select vec_id, 15 - pos, 2 * first - x from (select *, first_value(x) over (partition by vec_id order by pos) as first from e) where pos between 1 and 15 union all select vec_id, 15 + n - 1 + n - 1 - pos, 2 * last - x from (select *, first_value(x) over (partition by vec_id order by pos desc) as last from e) where pos between n - 16 and n - 2),
+ {{pass1}}, x1 as (select vec_id, 93 - i as i, y1 as x from f0), {{pass2}} select vec_id, 78 - i as pos, round(y1 + 1e-7, 4) as v from f1 where i between 15 and 78"""
+_PASS = """g{i} as (select vec_id, i, k * (b[1] * x + b[2] * coalesce(lag(x, 1) over w, f) + b[3] * coalesce(lag(x, 2) over w, f) + b[4] * coalesce(lag(x, 3) over w, f) + b[5] * coalesce(lag(x, 4) over w, f)) as g, f * level as l from (select *, first_value(x) over (partition by vec_id order by i) as f from x{i}), o window w as (partition by vec_id order by i)),
+ f{i} as (select vec_id, i, g - (a1 + a2 + a3 + a4) * l as y1, l as y2, l as y3, l as y4 from g{i}, o where i = 0 union all select f.vec_id, g.i, g.g - a1 * f.y1 - a2 * f.y2 - a3 * f.y3 - a4 * f.y4, f.y1, f.y2, f.y3 from f{i} f join g{i} g on g.vec_id = f.vec_id and g.i = f.i + 1, o)"""
+_PASSES = {"pass1": _PASS.format(i=0), "pass2": _PASS.format(i=1)}
+
+
+@query("with recursive " + _POLES.format(given="tan(pi() * 10 / 64) as t, 2 * (cos(pi() / 8) + cos(3 * pi() / 8)) as r", c0="pow(t, 4)", c1="r * pow(t, 3)", c2="(2 + sqrt(2)) * t * t", c3="r * t", k="pow(t, 4)", top="[1, 4, 6, 4, 1]", level="1", **_PASSES))
+def butterworth_lowpass(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.butterworth(x, 64.0, "lowpass", 10.0, 4, samples=64))
+
+
+@query("with recursive " + _POLES.format(given="tan(pi() * 12 / 64) - tan(pi() * 5 / 64) as w, tan(pi() * 12 / 64) * tan(pi() * 5 / 64) as m", c0="m * m", c1="sqrt(2) * w * m", c2="2 * m + w * w", c3="sqrt(2) * w", k="w * w", top="[1, 0, -2, 0, 1]", level="0", **_PASSES))
+def butterworth_bandpass(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.butterworth(x, 64.0, "bandpass", (5.0, 12.0), 2, "sosfiltfilt"))
+
+
 def _rows_only(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = (lambda spark, sf_dir: make(_signals(spark, sf_dir)), None)
 
 
 _X = F.col  # columns are made when a query runs
 for _name, _make in {
-    "butterworth_lowpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "lowpass", 10.0, 4, samples=64)), "y"),
-    "butterworth_bandpass": lambda d: _long(d.withColumn("y", signal.butterworth(_X("x"), 64.0, "bandpass", (5.0, 12.0), 2, "sosfiltfilt")), "y"),
     "hpss": lambda d: d.withColumn("h", signal.hpss(_X("x"), 16, 5)).select("vec_id", "h.*"),
     "griffin_lim": lambda d: _long(d.withColumn("y", signal.griffin_lim(_X("x"), 16, 8)), "y"),
     "time_stretch": lambda d: _long(d.withColumn("y", signal.time_stretch(_X("x"), 1.5, 16)), "y"),
     "pitch_shift": lambda d: _long(d.withColumn("y", signal.pitch_shift(_X("x"), 3, 16)), "y"),
-    "resample_fft": lambda d: _long(d.withColumn("y", signal.resample(_X("x"), 48)), "y"),
-    "interpolate_spline": lambda d: _long(d.withColumn("y", signal.interpolate(_X("x"), 127)), "y"),
     "drift": lambda d: _long(d.withColumn("y", augment.drifted(_X("x"), _X("vec_id"))), "y"),
     "time_warp": lambda d: _long(d.withColumn("y", augment.time_warped(_X("x"), _X("vec_id"))), "y"),
-    "mfcc_stats": lambda d: d.withColumn("s", signal.mfcc_stats(_X("x"), 64.0, 4, 16, 4, 6)).select("vec_id", "s.*"),
     "mel_to_audio": lambda d: _long(d.withColumn("y", signal.mel_round_trip(_X("x"), 64.0, 16, 4, 6, 8)), "y"),
-    "bin_mel_spectrogram": lambda d: d.select("vec_id", F.posexplode(signal.bin_mel_spectrogram(_X("x"), 64.0, 16, 4, 6)).alias("mel", "v")),
     "envelope_peaks": lambda d: d.select("vec_id", signal.envelope_peaks(_X("x"), 1000.0).alias("v")),
     "quantize_kmeans": lambda d: _long(d.withColumn("y", augment.quantized_kmeans(_X("x"), 4)), "y"),
 }.items():
