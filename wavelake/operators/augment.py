@@ -20,14 +20,14 @@ def uniform(*of: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in of), F.lit(str(seed)))), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
-def _seeded(func: Callable[[np.ndarray, np.random.Generator], np.ndarray], x: Column, of: tuple[Column, ...], seed: int) -> Column:
-    """A kernel with random draws of its own for each value of the columns `of`."""
+def _drawn(func: Callable[[np.ndarray, np.ndarray], np.ndarray], x: Column, draws: list[Column]) -> Column:
+    """A kernel of a signal and its own random draws, which are made as columns."""
 
     @F.pandas_udf("array<double>")
-    def mapped(column: pd.Series, draws: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else func(np.asarray(v, float), np.random.default_rng(np.uint64(np.int64(d)))) for v, d in zip(column, draws)], dtype=object)
+    def mapped(column: pd.Series, drawn: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else func(np.asarray(v, float), np.asarray(d)) for v, d in zip(column, drawn)], dtype=object)
 
-    return mapped(x.cast("array<double>"), F.xxhash64(*of, F.lit(seed)))
+    return mapped(x.cast("array<double>"), F.array(*draws))
 
 
 def normal(*of: Column, seed: int = 0) -> Column:
@@ -115,24 +115,24 @@ def convolved(x: Column, window: str = "hann", size: int = 7) -> Column:
 def drifted(x: Column, *of: Column, most: float = 0.5, points: int = 3, seed: int = 0) -> Column:
     """A smooth random drift, relative to the range of the signal, drawn for each value of `of` (the key of a series)."""
 
-    def drift(v: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-        knots = np.cumsum(draw.normal(size=points + 2))
+    def drift(v: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        knots = np.cumsum(draws)
         d = K.cubic_spline(np.linspace(0, max(len(v) - 1, 1), points + 2), knots, np.arange(len(v)))
         d = d - d[:1]
         return v + d / max(np.abs(d).max(initial=0), 1e-12) * most * (v.max() - v.min())
 
-    return _seeded(drift, x, of, seed)
+    return _drawn(drift, x, [normal(*of, F.lit(i), seed=seed) for i in range(points + 2)])
 
 
 def time_warped(x: Column, *of: Column, changes: int = 3, ratio: float = 3.0, seed: int = 0) -> Column:
     """Piecewise random speeds, length kept, drawn for each value of `of` (the key of a series)."""
 
-    def warp(v: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-        speed = draw.uniform(1, ratio, changes + 1)
+    def warp(v: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        speed = 1 + (ratio - 1) * draws
         at = np.r_[0, np.cumsum(speed)] / speed.sum() * (len(v) - 1)
         return np.interp(np.interp(np.arange(len(v)), np.linspace(0, len(v) - 1, changes + 2), at), np.arange(len(v)), v)
 
-    return _seeded(warp, x, of, seed)
+    return _drawn(warp, x, [uniform(*of, F.lit(i), seed=seed) for i in range(changes + 1)])
 
 
 def resized(x: Column, size: int) -> Column:

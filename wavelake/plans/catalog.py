@@ -629,21 +629,76 @@ def butterworth_bandpass(spark, sf_dir):
     return _filtered(spark, sf_dir, lambda x: signal.butterworth(x, 64.0, "bandpass", (5.0, 12.0), 2, "sosfiltfilt"))
 
 
+def _draw(of: str, seed: int = 0) -> str:
+    """A seeded draw in SQL: 52 bits of an MD5."""
+    return f"(('0x' || substr(md5({of} || ':{seed}'), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+_KNOT = "vec_id || ':' || i"
+
+
+@query(f"with {E}, y as (select vec_id, i as pos, 5 as n, sum(sqrt(-2 * ln(1 - {_draw(_KNOT, 0)})) * cos(2 * pi() * {_draw(_KNOT, 1)})) over (partition by vec_id order by i) as v from embeddings, range(0, 5) t(i)), {_SPLINE.format(k='vec_id')}, a as (select vec_id, p, v, slope, c, c1, p / 15.75::double - pos as d from piece, range(0, 64) t(p) where pos = least(floor(p / 15.75::double), 3)), s as (select vec_id, p, {_CURVE} - first_value({_CURVE}) over (partition by vec_id order by p) as s from a) select vec_id, p as pos, round(x + s / max(abs(s)) over g * 0.5 * (max(x) over g - min(x) over g) + 1e-7, 4) as v from s join e using (vec_id) where p = pos window g as (partition by vec_id)")
+def drift(spark, sf_dir):
+    return _keyed(spark, sf_dir, augment.drifted)
+
+
+@query(f"with {E}, u as (select vec_id, i, 1 + 2 * {_draw(_KNOT, 0)} as u from embeddings, range(0, 4) t(i)), k as (select vec_id, i, u / sum(u) over (partition by vec_id) * 63 as step, (sum(u) over (partition by vec_id order by i) - u) / sum(u) over (partition by vec_id) * 63 as start from u), a as (select vec_id, p, start + (p / 15.75::double - i) * step as place from k, range(0, 64) t(p) where i = least(floor(p / 15.75::double), 3)) select a.vec_id, p as pos, round(sum(x * greatest(0, 1 - abs(place - pos))) + 1e-7, 4) as v from a join e on e.vec_id = a.vec_id and abs(place - pos) <= 1 group by a.vec_id, p")
+def time_warp(spark, sf_dir):
+    return _keyed(spark, sf_dir, augment.time_warped)
+
+
+def _keyed(spark, sf_dir, make):
+    return _filtered(spark, sf_dir, lambda x: make(x, F.col("vec_id")))
+
+
+#: The complex STFT of the signals (16 samples, every 4), and the way back from (vec_id, frame, bin, re, im) in z.
+_HANN = "(0.5 - 0.5 * cos(2 * pi() * j / 16))"
+_STFT = f"""{E}, f as (select vec_id, f.f as frame, pos - 4 * f.f + 8 as j, x from e, (select unnest(range(0, 17)) as f) f where pos - 4 * f.f + 8 between 0 and 15),
+ z0 as (select vec_id, frame, bin, sum(x * {_HANN} * cos(2 * pi() * bin * j / 16)) as re, -sum(x * {_HANN} * sin(2 * pi() * bin * j / 16)) as im, sqrt(re * re + im * im) as mag from f, range(0, 9) k(bin) group by vec_id, frame, bin)"""
+_ISTFT = f"sum(case when bin in (0, 8) then 1 else 2 end * (re * cos(2 * pi() * bin * j / 16) - im * sin(2 * pi() * bin * j / 16)) / 16 * {_HANN}) / (sum({_HANN} * {_HANN}) / 9)"
+_MIDDLE = "select z0.vec_id, z0.{a}, z0.{b}, any_value(z0.re) as re, any_value(z0.im) as im, median(y.mag) as m from z0, range(-2, 3) o(o), z0 y where y.vec_id = z0.vec_id and y.{a} = z0.{a} and y.{b} = case when z0.{b} + o < 0 then -1 - z0.{b} - o when z0.{b} + o > {last} then 2 * {last} + 1 - z0.{b} - o else z0.{b} + o end group by z0.vec_id, z0.{a}, z0.{b}"
+
+
+@query(f"with {_STFT}, h as ({_MIDDLE.format(a='bin', b='frame', last=16)}), p as ({_MIDDLE.format(a='frame', b='bin', last=8)}), m as (select h.vec_id, h.frame, h.bin, h.re, h.im, case when h.m + p.m = 0 then 0.5 else h.m * h.m / (h.m * h.m + p.m * p.m) end as mask from h join p using (vec_id, frame, bin)), y as (select kind, vec_id, frame, bin, re * case kind when 0 then mask else 1 - mask end as re, im * case kind when 0 then mask else 1 - mask end as im from m, range(0, 2) t(kind)), o as (select kind, vec_id, 4 * frame + j - 8 as pos, {_ISTFT} as v from y, range(0, 16) t(j) where 4 * frame + j - 8 between 0 and 63 group by kind, vec_id, pos) select vec_id, pos, round(max(v) filter (kind = 0) + 1e-7, 4) as harmonic, round(max(v) filter (kind = 1) + 1e-7, 4) as percussive from o group by vec_id, pos")
+def hpss(spark, sf_dir):
+    h = _signals(spark, sf_dir).withColumn("h", signal.hpss(F.col("x"), 16, 5))
+    h = h.select("vec_id", F.posexplode(F.arrays_zip(F.col("h.harmonic").alias("a"), F.col("h.percussive").alias("b"))).alias("pos", "z"))
+    return h.select("vec_id", F.col("pos").cast("long"), r4(F.col("z.a") + 1e-7).alias("harmonic"), r4(F.col("z.b") + 1e-7).alias("percussive"))
+
+
+#: The STFT at another pace. Whole turns are nothing to a phase, so it is that of the first frame plus the differences of the frames passed.
+_STRETCH = f"""{_STFT}, q as (select vec_id, frame, bin, mag, atan2(im, re) as angle from z0 union all select distinct vec_id, 17 + i, bin, 0, 0 from z0, range(0, 2) t(i)),
+ s as (select m, m * {{rate}} as place, floor(place)::bigint as frame from range(0, {{frames}}) t(m)),
+ v as (select vec_id, bin, frame, mag, angle, lead(mag) over w as mag1, lead(angle) over w - angle as turn, first_value(angle) over w as first from q window w as (partition by vec_id, bin order by frame)),
+ a as (select vec_id, bin, m as frame, mag + (place - frame) * (mag1 - mag) as mag, first + coalesce(sum(turn) over (partition by vec_id, bin order by m rows between unbounded preceding and 1 preceding), 0) as phase from v join s using (frame)),
+ y as (select vec_id, frame, bin, mag * cos(phase) as re, mag * sin(phase) as im from a),
+ o as (select vec_id, 4 * frame + j - 8 as pos, sum(case when bin in (0, 8) then 1 else 2 end * (re * cos(2 * pi() * bin * j / 16) - case when bin in (0, 8) then 0 else im end * sin(2 * pi() * bin * j / 16)) / 16 * {_HANN}) / (sum({_HANN} * {_HANN}) / 9) as v from y, range(0, 16) t(j) where 4 * frame + j - 8 between 0 and {{length}} - 1 group by vec_id, pos)"""
+
+
+@query(f"with {_STRETCH.format(rate=1.5, frames=12, length=43)} select vec_id, pos, round(v + 1e-7, 4) as v from o")
+def time_stretch(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.time_stretch(x, 1.5, 16))
+
+
+@query(f"with {_STRETCH.format(rate='pow(2, -0.25)', frames=21, length=76)}, w as (select p, q, (1 + 2 * sum(cos(2 * pi() * k * (p / 64.0::double - q / 76.0::double)))) / 76 as w from range(0, 64) a(p), range(0, 76) b(q), range(1, 33) c(k) group by p, q) select vec_id, p as pos, round(sum(v * w) + 1e-7, 4) as v from o join w on q = pos group by vec_id, p")
+def pitch_shift(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.pitch_shift(x, 3, 16))
+
+
+@query("with recursive g as (select vec_id, embedding::double[] as x, list_sort(embedding::double[]) as s from embeddings), c as (select vec_id, x, list_sort(list_distinct([s[1 + floor(h)::bigint] + (h - floor(h)) * (s[2 + floor(h)::bigint] - s[1 + floor(h)::bigint]) for h in [(len(x) - 1) * (i + 0.5::double) / 4 for i in range(0, 4)]])) as m, 0 as r, false as done from g union all select vec_id, x, n, r + 1, n = m from (select *, [coalesce(list_avg([v for v in x if (k = 1 or v > (m[k] + m[k - 1]) / 2) and (k = len(m) or v <= (m[k] + m[k + 1]) / 2)]), m[k]) for k in range(1, len(m) + 1)] as n from c where r < 100 and not done)), l as (select vec_id, arg_max(m, r) as m, any_value(x) as x from c group by vec_id) select vec_id, pos, round(m[1 + len([k for k in range(1, len(m)) if x[pos + 1] > (m[k] + m[k + 1]) / 2])] + 1e-7, 4) as v from l, range(0, 64) t(pos)")
+def quantize_kmeans(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: augment.quantized_kmeans(x, 4))
+
+
 def _rows_only(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = (lambda spark, sf_dir: make(_signals(spark, sf_dir)), None)
 
 
 _X = F.col  # columns are made when a query runs
 for _name, _make in {
-    "hpss": lambda d: d.withColumn("h", signal.hpss(_X("x"), 16, 5)).select("vec_id", "h.*"),
     "griffin_lim": lambda d: _long(d.withColumn("y", signal.griffin_lim(_X("x"), 16, 8)), "y"),
-    "time_stretch": lambda d: _long(d.withColumn("y", signal.time_stretch(_X("x"), 1.5, 16)), "y"),
-    "pitch_shift": lambda d: _long(d.withColumn("y", signal.pitch_shift(_X("x"), 3, 16)), "y"),
-    "drift": lambda d: _long(d.withColumn("y", augment.drifted(_X("x"), _X("vec_id"))), "y"),
-    "time_warp": lambda d: _long(d.withColumn("y", augment.time_warped(_X("x"), _X("vec_id"))), "y"),
     "mel_to_audio": lambda d: _long(d.withColumn("y", signal.mel_round_trip(_X("x"), 64.0, 16, 4, 6, 8)), "y"),
     "envelope_peaks": lambda d: d.select("vec_id", signal.envelope_peaks(_X("x"), 1000.0).alias("v")),
-    "quantize_kmeans": lambda d: _long(d.withColumn("y", augment.quantized_kmeans(_X("x"), 4)), "y"),
 }.items():
     _rows_only(_name, _make)
 

@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import augment, eda, events, pipelines, relations, signal
-from .catalog import _QUERIES, CHANNELS, E, P, _long, _signals, _table, _users, query, r4
-
-
-def _draw(of: str, seed: int = 0) -> str:
-    """A seeded draw in SQL: 52 bits of an MD5."""
-    return f"(('0x' || substr(md5({of} || ':{seed}'), 1, 13))::bigint / 4503599627370496.0::double)"
+from .catalog import _QUERIES, CHANNELS, E, P, _draw, _long, _signals, _table, _users, query, r4
 
 
 _AT = "(user_id || ':' || pos)"
