@@ -537,12 +537,27 @@ def interpolated_probabilities(spark, sf_dir):
     return out.select("vec_id", F.col("cls").cast("long"), "pos", r4(F.col("p") + 1e-7).alias("p"))
 
 
-@query()
+#: A Butterworth filter of order 3 at half the half rate is y[i] = g[i] - y[i - 2] / 3, so 41 terms of its series are more than a double can tell.
+_THIRD = """g{i} as (select vec_id, cls, i, (x + 3 * coalesce(lag(x, 1) over w, f) + 3 * coalesce(lag(x, 2) over w, f) + coalesce(lag(x, 3) over w, f)) / 6 as g from (select *, first_value(x) over (partition by vec_id, cls order by i) as f from x{i}) window w as (partition by vec_id, cls order by i)),
+ f{i} as (select a.vec_id, a.cls, a.i, sum(pow(-1 / 3.0::double, k) * b.g) as y from g{i} a, range(0, 41) t(k), g{i} b where b.vec_id = a.vec_id and b.cls = a.cls and b.i = greatest(a.i - 2 * k, 0) group by a.vec_id, a.cls, a.i)"""
+
+
+@query(f"""with {E}, y as (select vec_id, cls, pos, n, case cls when 0 then 1 / (1 + exp(-8 * x)) else 1 - 1 / (1 + exp(-8 * x)) end as v from e, (select unnest(range(0, 2)) as cls)), {_SPLINE.format(k='vec_id, cls')},
+ a as (select vec_id, cls, p, v, slope, c, c1, (p - 2) / 4.0::double - pos as d from piece, range(0, 256) t(p) where pos = least(greatest(floor((p - 2) / 4.0::double), 0), n - 2)), s as (select vec_id, cls, p, {_CURVE} as x from a),
+ w as (select *, first_value(x) over (partition by vec_id, cls order by p) as first, first_value(x) over (partition by vec_id, cls order by p desc) as last from s),
+ x0 as (select vec_id, cls, p + 12 as i, x from w union all select vec_id, cls, 12 - p, 2 * first - x from w where p between 1 and 12 union all select vec_id, cls, 12 + 510 - p, 2 * last - x from w where p between 243 and 254),
+ {_THIRD.format(i=0)}, x1 as (select vec_id, cls, 279 - i as i, y as x from f0), {_THIRD.format(i=1)},
+ l as (select vec_id, cls, 267 - i as pos, 267 - i - row_number() over (partition by vec_id, cls order by 267 - i) as g from f1 where i between 12 and 267 and y > 0.55), found as (select vec_id, cls, min(pos) as s, max(pos) + 1 as e from l group by vec_id, cls, g having count(*) >= 2),
+ tl as (select vec_id, cls, pos, pos - row_number() over (partition by vec_id, cls order by pos) as g from y where v > 0.6), t as (select vec_id, cls, min(pos) * 4 as s, (max(pos) + 1) * 4 as e, min(pos) * 2 + cls as id from tl group by vec_id, cls, g),
+ j as (select r.vec_id, r.cls, r.s, r.e, t.cls as c, (least(r.e, t.e) - greatest(r.s, t.s))::double / (greatest(r.e, t.e) - least(r.s, t.s)) as iou, row_number() over (partition by r.vec_id, r.cls, r.s order by (least(r.e, t.e) - greatest(r.s, t.s))::double / (greatest(r.e, t.e) - least(r.s, t.s)) desc nulls last, t.id) as place from found r left join t on t.vec_id = r.vec_id and r.s < t.e and t.s < r.e),
+ n as (select vec_id, count(*) filter (c is null) as i, count(*) filter (iou < 0.5) as d, count(*) filter (iou >= 0.5 and c = cls) as c, count(*) filter (iou >= 0.5 and c <> cls) as s from j where place = 1 group by vec_id)
+ select vec_id, i as insertions, c as corrects, s as substitutions, d as deletions, round(case when d + c + s > 0 then c::double / (d + c + s) else 0 end, 4) as dr, round(case when c + i > 0 then c::double / (c + i) else 0 end, 4) as reliability, round(case when d + c + s > 0 then (d + i + s)::double / (d + c + s) else 0 end, 4) as erer from n""")
 def robustness_analysis(spark, sf_dir):
     p = _window_probabilities(spark, sf_dir)
     truth = events.runs(p.withColumn("v", events.above(F.col("p"), 0.6)), ["vec_id", "cls"], "v", "instance")
     truth = truth.select("vec_id", "cls", (F.col("start") * 4).alias("start"), (F.col("end") * 4).alias("end"), (F.col("start") * 2 + F.col("cls")).alias("id"))
-    return events.robustness(p, truth, ["vec_id"], 8.0, 1.0, 0.5, 2.0, 0.55, 0.25)["scores"]
+    out = events.robustness(p, truth, ["vec_id"], 8.0, 1.0, 0.5, 2.0, 0.55, 0.25)["scores"]
+    return out.withColumns({c: r4(c) for c in ("dr", "reliability", "erer")})
 
 
 #: Mel bands of the signals: below 1 kHz the scale is linear, so 6 bands up to 32 Hz are 32/7 Hz apart; a bin is 4 Hz.
@@ -666,6 +681,23 @@ def hpss(spark, sf_dir):
     return h.select("vec_id", F.col("pos").cast("long"), r4(F.col("z.a") + 1e-7).alias("harmonic"), r4(F.col("z.b") + 1e-7).alias("percussive"))
 
 
+def _rebuilt(rounds: int) -> str:
+    """Signals from magnitudes: each round goes to the signal and back, and keeps the phases of what it finds less a share of the round before."""
+    back = f"select vec_id, 4 * frame + j - 8 as pos, {_ISTFT} as x from {{z}}, range(0, 16) t(j) where 4 * frame + j - 8 between 0 and 63 group by vec_id, pos"
+    out = "y0 as materialized (select vec_id, frame, bin, mag, mag as re, 0 as im, 0 as now_re, 0 as now_im from z0)"
+    for i in range(rounds):
+        out += f""", x{i} as materialized ({back.format(z=f'y{i}')}), f{i} as (select vec_id, f as frame, pos - 4 * f + 8 as j, x from x{i}, range(0, 17) t(f) where pos - 4 * f + 8 between 0 and 15),
+ n{i} as (select vec_id, frame, bin, sum(x * {_HANN} * cos(2 * pi() * bin * j / 16)) as re, -sum(x * {_HANN} * case when bin in (0, 8) then 0 else sin(2 * pi() * bin * j / 16) end) as im from f{i}, range(0, 9) k(bin) group by vec_id, frame, bin),
+ s{i} as (select vec_id, frame, bin, mag, n.re as now_re, n.im as now_im, n.re - 99 / 199.0::double * y.now_re as a, n.im - 99 / 199.0::double * y.now_im as b from y{i} y join n{i} n using (vec_id, frame, bin)),
+ y{i + 1} as materialized (select vec_id, frame, bin, mag, now_re, now_im, mag * a / (sqrt(a * a + b * b) + 1e-16) as re, mag * b / (sqrt(a * a + b * b) + 1e-16) as im from s{i})"""
+    return f"{out}, o as ({back.format(z=f'y{rounds}')}) select vec_id, pos, round(x + 1e-7, 4) as v from o"
+
+
+@query(f"with {_STFT}, {_rebuilt(8)}")
+def griffin_lim(spark, sf_dir):
+    return _filtered(spark, sf_dir, lambda x: signal.griffin_lim(x, 16, 8))
+
+
 #: The STFT at another pace. Whole turns are nothing to a phase, so it is that of the first frame plus the differences of the frames passed.
 _STRETCH = f"""{_STFT}, q as (select vec_id, frame, bin, mag, atan2(im, re) as angle from z0 union all select distinct vec_id, 17 + i, bin, 0, 0 from z0, range(0, 2) t(i)),
  s as (select m, m * {{rate}} as place, floor(place)::bigint as frame from range(0, {{frames}}) t(m)),
@@ -696,7 +728,6 @@ def _rows_only(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
 
 _X = F.col  # columns are made when a query runs
 for _name, _make in {
-    "griffin_lim": lambda d: _long(d.withColumn("y", signal.griffin_lim(_X("x"), 16, 8)), "y"),
     "mel_to_audio": lambda d: _long(d.withColumn("y", signal.mel_round_trip(_X("x"), 64.0, 16, 4, 6, 8)), "y"),
     "envelope_peaks": lambda d: d.select("vec_id", signal.envelope_peaks(_X("x"), 1000.0).alias("v")),
 }.items():
