@@ -3,6 +3,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wavelake.functions import kernels as K
 from wavelake.operators import augment, signal
@@ -83,3 +84,13 @@ def test_long_spline():
     for n in (4, 5, 9):
         t = np.sort(np.random.default_rng(n).random(n)) * 5
         assert np.allclose(K.cubic_spline(t, t**3 - 2 * t, at / 4), (at / 4) ** 3 - at / 2)  # a cubic is its own spline
+
+
+def test_warps_of_odd_signals(spark):
+    """Null, empty, single and constant signals; a row's draws depend on its key alone."""
+    df = spark.createDataFrame([(1, None), (2, []), (3, [5.0]), (4, [2.0] * 6), (5, [0.0, 1.0, 0.0, 3.0]), (5, [0.0, 1.0, 0.0, 3.0])], "k long, x array<double>")
+    for f in (augment.drifted, augment.time_warped):
+        got = [r.y for r in df.select("k", f(F.col("x"), F.col("k")).alias("y")).collect()]
+        assert got[0] is None and got[1] == [] and got[2] == [5.0]
+        assert got[3] == pytest.approx([2.0] * 6)
+        assert got[4] == got[5] and len(got[4]) == 4

@@ -21,11 +21,11 @@ def uniform(*of: Column, seed: int = 0) -> Column:
 
 
 def _drawn(func: Callable[[np.ndarray, np.ndarray], np.ndarray], x: Column, draws: list[Column]) -> Column:
-    """A kernel of a signal and its own random draws, which are made as columns."""
+    """A kernel of a signal and its own random draws, which are made as columns. Null and empty signals stay as they are."""
 
     @F.pandas_udf("array<double>")
     def mapped(column: pd.Series, drawn: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else func(np.asarray(v, float), np.asarray(d)) for v, d in zip(column, drawn)], dtype=object)
+        return pd.Series([v if v is None or not len(v) else func(np.asarray(v, float), np.asarray(d)) for v, d in zip(column, drawn)], dtype=object)
 
     return mapped(x.cast("array<double>"), F.array(*draws))
 
