@@ -628,3 +628,30 @@ def test_components_over_structs_and_hot_nodes(spark):
     df = spark.createDataFrame(edges, "a long, b long").select(F.struct(F.col("a").alias("first"), F.lit("x").alias("own")).alias("src"), F.struct(F.col("b").alias("first"), F.lit("x").alias("own")).alias("dst"))
     got = {r.node["first"]: r.component["first"] for r in simhash.connected_components(df, "t").collect()}
     assert got == {i: 0 for i in [*range(400), 2000]} | {1000 + i: 1000 for i in range(51)}
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More labelled rows than the fit once took at most: means, weights and cut are those of all of them."""
+    n = 30_000
+    some = lambda at, k: F.pmod(F.xxhash64("doc_id", F.lit(at)), F.lit(k)).cast("int")
+    text = F.concat(F.repeat(F.lit("word "), some(9, 30)), F.repeat(F.lit("a"), some(1, 200)), F.repeat(F.lit(" 1B,"), some(2, 40)), F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("# !"), some(3, 5))).otherwise(""))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    got = quality.scored(docs, labels).join(labels, "doc_id").where("not held_out").toPandas()
+    # some rows may have the very score of the cut: of the others, as many are below it as there are worse rows
+    bad, at_cut = (got.quality == 0).sum(), (got.score == got.score[got.score >= 0.3].min()).sum()
+    assert len(got) > 20_000 and bad - at_cut < (got.predicted == 0).sum() <= bad and at_cut < 30
+    own = quality.features(F.col("text"))
+    described = docs.select("doc_id", *(c.cast("double").alias(k) for k, c in own.items()))
+    ranker = quality.learned(described, labels)
+    rows = np.array(described.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).join(labels, "doc_id").select("quality", *own).collect(), float)
+    want = quality.fit(rows[:, 1:], rows[:, 0], tuple(own))
+    assert len(rows) == len(got) and np.allclose(ranker.means, want.means) and np.allclose(ranker.scales, want.scales)
+    assert np.allclose(ranker.weights, want.weights, atol=1e-4) and abs(ranker.cut - want.cut) < 1e-3
+
+
+def test_neighbours_are_order_statistics(spark):
+    for values in ([3.0, -1.0, 2.5, 2.5, 2.5, 7e-9, 1e9], [1.0, 1.0], [float(x) for x in np.random.default_rng(3).normal(size=3000)]):
+        df, ordered = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
+        for at in {1, len(values) // 2, len(values) - 1}:
+            assert quality.neighbours(df, at) == (ordered[at - 1], ordered[at])
