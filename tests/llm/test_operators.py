@@ -655,3 +655,11 @@ def test_neighbours_are_order_statistics(spark):
         df, ordered = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
         for at in {1, len(values) // 2, len(values) - 1}:
             assert quality.neighbours(df, at) == (ordered[at - 1], ordered[at])
+
+
+def test_quality_scores_read_stored_features(spark):
+    """Texts are described in one stage without numbers of the fit in its code, so that this large stage is compiled once for every table; the scores only read its result."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    for out in (quality.scored(docs, labels), quality.filtered(docs, labels)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "quality-features" in plan and "regexp_replace" not in plan and "array_distinct" not in plan
