@@ -663,3 +663,34 @@ def test_quality_scores_read_stored_features(spark):
     for out in (quality.scored(docs, labels), quality.filtered(docs, labels)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "quality-features" in plan and "regexp_replace" not in plan and "array_distinct" not in plan
+
+
+def test_near_copies_by_fingerprints(spark):
+    """The pipeline's near copies come through fingerprints: those alone join every pair that shares 4 positional bytes and is similar, and nothing that isn't joined by similar pairs."""
+    texts = near_texts()
+    sets, found = five_word_sets(texts), [simhash.shingles(t) for t in texts]
+    octets = [simhash.majority(x).to_bytes(8, "big") for x in found]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    near = lambda i, j: sum(a == b for a, b in zip(octets[i], octets[j])) >= 4 and alike(i, j)
+    at, whole = roots(len(texts), near), roots(len(texts), alike)
+    got = {r.row: r.root for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), by_bands=False).collect()}
+    assert all(got[i] == got[at[i]] for i in range(len(texts))) and len(set(at)) < len(texts) - 100
+    assert len({(got[i], whole[i]) for i in range(len(texts))}) == len(set(got.values()))
+
+
+def test_posting_lists_lose_no_pair(spark):
+    """Every row that shares 4 positional bytes with another meets it in a list, in whole lists and in lists cut into blocks."""
+    pick = np.random.default_rng(8)
+    fps = pick.integers(0, 1 << 62, 300, np.uint64)
+    octets = fps.view(np.uint8).reshape(-1, 8)
+    for i in range(100, 250):  # some bytes of another row
+        of = pick.choice(8, pick.integers(1, 7), replace=False)
+        octets[i, of] = octets[i % 7, of]
+    df = spark.createDataFrame([(i, 5, int(x)) for i, x in enumerate(fps.view(np.int64))], "row long, n long, fp long")
+    want = {(i, j) for i in range(300) for j in range(i) if (octets[i] == octets[j]).sum() >= 4}
+    for block in (2048, 5):
+        lists = {}
+        for r in simhash.posted(df, block=block).collect():
+            lists.setdefault(r.post, set()).add(r.row)
+        assert want <= {(i, j) for x in lists.values() for i in x for j in x if j < i} and len(want) > 100
+        assert {i for x in lists.values() for i in x} == {i for p in want for i in p}

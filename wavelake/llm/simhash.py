@@ -8,9 +8,11 @@ tallied; pairs below the minimum go, the rest are verified by the count of diffe
 and each pair of blocks is a unit of work, so that no list is gathered in one task, and of the verified links only a
 spanning forest leaves a unit: links inside what is already connected add nothing to the components.
 
-The pipeline's stage (`deduplicated`) needs all pairs with a similarity of 0.8 or more in runs of five words. Those lie
-up to 14 bits apart on sf0.1 and some share no byte, so fingerprints can't find them all: there, sets of shingles meet in
-lists by bands of their smallest hashes, and the similarity of whole sets is verified.
+The pipeline's stage (`deduplicated`) needs all pairs with a similarity of 0.8 or more in runs of five words. It takes
+the same steps: fingerprints of the runs, posting lists by triples of byte positions, the tally of shared positional
+bytes with the same minimum (`posted`), and the similarity of whole sets as what is verified. Pairs at 0.8 lie up to 14
+bits apart on sf0.1 and some share no byte, so that fingerprints can't find them all: what they leave apart also meets
+in lists by bands of the sets' smallest hashes, which adds links and takes none away.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal texts share
 a fingerprint; a null id gets the component of its fingerprint; an empty table gives an empty result; other columns
@@ -67,6 +69,11 @@ def fingerprint(text: str | None, size: int = 4) -> int:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         ends = np.cumsum(lengths + 1) - 1
         hashes = [digest(whole[a:b], 42) for a, b in zip((ends - lengths)[: 1 - size].tolist(), ends[size - 1 :].tolist())]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], dtype=">u8")
@@ -120,35 +127,75 @@ def _linked(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return both[0].view(np.int64), both[1].view(np.int64)
 
 
-def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """(src, dst): links that span every group of distinct fingerprints (column fp) joined by at most `bits` (<= 4) differing bits."""
+def lists(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(post, unit, ...) sorted by unit and fp: the rows of `fps` (column fp) in the posting lists of their triples of bytes, cut into pairs of blocks."""
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255)
-    posts = fps.select("fp", F.explode(F.array(*(F.shiftleft(F.lit(k).cast("long"), 24) + F.shiftleft(byte(a), 16) + F.shiftleft(byte(b), 8) + byte(c) for k, (a, b, c) in enumerate(TRIPLES)))).alias("post"))
+    posts = fps.select("*", F.explode(F.array(*(F.shiftleft(F.lit(k).cast("long"), 24) + F.shiftleft(byte(a), 16) + F.shiftleft(byte(b), 8) + byte(c) for k, (a, b, c) in enumerate(TRIPLES)))).alias("post"))
     large = posts.groupBy("post").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64(*fps.columns), F.col("blocks")).cast("int")
     units = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.least(mine, j).cast("long") * F.col("blocks") + F.greatest(mine, j)))
-    work = posts.join(large.select("post", "blocks"), "post", "left").select("post", F.explode(units).alias("unit"), "fp")
+    work = posts.join(large.select("post", "blocks"), "post", "left").select("post", F.explode(units).alias("unit"), *fps.columns)
+    return work.repartition("post", "unit").sortWithinPartitions("post", "unit", "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in itertools.chain(batches, [None]):
-            if b is None:
-                full, rest = rest, None
-            else:
-                new = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-                full = new if rest is None else np.concatenate([rest, new], axis=1)
-                if not full.shape[1]:
-                    continue
-                same = (full[0] == full[0, -1]) & (full[1] == full[1, -1])
-                cut = len(same) - np.argmin(same[::-1]) if not same.all() else 0
-                full, rest = full[:, :cut], full[:, cut:]
-            if full is None or full.shape[1] < 2:
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The columns of `lists`, all longs, in stretches of whole units of two rows or more."""
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        if b is None:
+            full, rest = rest, None
+        else:
+            new = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+            full = new if rest is None else np.concatenate([rest, new], axis=1)
+            if not full.shape[1]:
                 continue
-            change = np.r_[True, (full[0, 1:] != full[0, :-1]) | (full[1, 1:] != full[1, :-1])]
-            left, right = _forest(*_linked(np.cumsum(change), np.ascontiguousarray(full[2]).view(np.uint64), bits))
+            same = (full[0] == full[0, -1]) & (full[1] == full[1, -1])
+            cut = len(same) - np.argmin(same[::-1]) if not same.all() else 0
+            full, rest = full[:, :cut], full[:, cut:]
+        if full is not None and full.shape[1] > 1:
+            yield full
+
+
+def _numbered(full: np.ndarray) -> np.ndarray:
+    """The number of each row's unit."""
+    return np.cumsum(np.r_[True, (full[0, 1:] != full[0, :-1]) | (full[1, 1:] != full[1, :-1])])
+
+
+def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """(src, dst): links that span every group of distinct fingerprints (column fp) joined by at most `bits` (<= 4) differing bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in _units(batches):
+            left, right = _forest(*_linked(_numbered(full), np.ascontiguousarray(full[2]).view(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["src", "dst"])
 
-    return work.repartition("post", "unit").sortWithinPartitions("post", "unit", "fp").mapInArrow(run, "src long, dst long")
+    return lists(fps.select("fp"), block).mapInArrow(run, "src long, dst long")
+
+
+def _sharing(keys: np.ndarray, fps: np.ndarray, least: int) -> np.ndarray:
+    """Which rows share `least` positional bytes or more with another row of their run of equal keys."""
+    octets, hit, lag = fps.view(np.uint8).reshape(-1, 8), np.zeros(len(keys), bool), 0
+    at = np.arange(len(keys))
+    while len(at):
+        lag += 1
+        at = at[at + lag < len(keys)]
+        at = at[keys[at] == keys[at + lag]]
+        new = at[~(hit[at] & hit[at + lag])]
+        new = new[(octets[new] == octets[new + lag]).sum(1) >= least]
+        hit[new] = hit[new + lag] = True
+    return hit
+
+
+def posted(rows: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """(row, n, post): the rows of `rows` (row, n, fp) in the lists of their triples, where they share 8 - `bits` positional bytes or more with another row of the list. Any two rows that share as many are together in a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in _units(batches):
+            hit = _sharing(_numbered(full), np.ascontiguousarray(full[4]).view(np.uint64), 8 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array(full[i][hit]) for i in (2, 3, 0)], ["row", "n", "post"])
+
+    # a list of several units names a row in each of them
+    return lists(rows.select("row", "n", "fp"), block).mapInArrow(run, "row long, n long, post long").distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = BITS) -> DataFrame:
@@ -256,30 +303,34 @@ def similar(sets: DataFrame, posts: DataFrame, least: float = SIMILAR, tokens: i
     return work.repartition("post", "unit").sortWithinPartitions("post", "unit").mapInArrow(run, "src long, dst long")
 
 
-def near_copies(rows: DataFrame, size: int = WORDS, least: float = SIMILAR) -> DataFrame:
-    """(row, root) for each row of `rows` (row, text): the rows of one root are joined by texts whose sets of runs of `size` words have a similarity (Jaccard) of `least` or more. Texts without words are one group."""
+def near_copies(rows: DataFrame, size: int = WORDS, least: float = SIMILAR, by_bands: bool = True) -> DataFrame:
+    """(row, root) for each row of `rows` (row, text): the rows of one root are joined by texts whose sets of runs of `size` words have a similarity (Jaccard) of `least` or more. Texts without words are one group.
+
+    Without `by_bands`, by fingerprints alone: no link is lost between sets whose fingerprints share 8 - BITS positional bytes."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = [shingles(t.as_py(), size) for t in b.column(1)]
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in each], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([len(x) for x in each], pa.int64()), pa.array([bands(x) for x in each], pa.list_(pa.int64()))], ["row", "key", "n", "posts"])
+            fps = np.fromiter(map(majority, each), np.uint64, len(each)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([len(x) for x in each], pa.int64()), pa.array(fps), pa.array([bands(x) for x in each], pa.list_(pa.int64()))], ["row", "key", "n", "fp", "posts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], ["row", "found"])
 
-    index = materialize(rows.select("row", "text").mapInArrow(describe, "row long, key binary, n long, posts array<long>"), "near-index")
+    index = materialize(rows.select("row", "text").mapInArrow(describe, "row long, key binary, n long, fp long, posts array<long>"), "near-index")
     # equal sets are compared once
-    single = materialize(index.groupBy("key").agg(F.min("row").alias("row")), "near-distinct")
-    posts = index.join(single.select("row"), "row").select("row", "n", F.posexplode("posts").alias("band", "post"))
+    single = materialize(index.groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("fp").alias("fp")), "near-distinct")
+    by_bytes = materialize(posted(single.where("n > 0")), "near-bytes")
+    posts = index.join(single.select("row"), "row").select("row", "n", F.posexplode("posts" if by_bands else F.array().cast("array<long>")).alias("band", "post"))
     met = posts.groupBy("post").agg(F.count("*").alias("m")).where("m > 1").select("post")
     posts = materialize(posts.join(met, "post"), "near-posts")
-    some = materialize(posts.select("row").distinct(), "near-met")
+    some = materialize(by_bytes.select("row").union(posts.select("row")).distinct(), "near-met")
     text = rows.join(sized(some), "row", "left_semi").select("row", "text")
     sets = materialize(text.mapInArrow(gather, "row long, found binary"), "near-sets")
-    # the first bands find most links; of the others, lists whose rows are all connected by then add nothing
-    edges = materialize(similar(sets, posts.where(F.col("band") < FIRST), least), "near-edges")
+    # fingerprints and the first bands find most links; of the others, lists whose rows are all connected by then add nothing
+    edges = materialize(similar(sets, by_bytes.unionByName(posts.where(F.col("band") < FIRST).select("row", "n", "post")), least), "near-edges")
     root = materialize(connected_components(edges, "near-cc"), "near-roots")
     rest = posts.where(F.col("band") >= FIRST).join(root, posts.row == root.node, "left").select("row", "n", "post", F.coalesce("component", "row").alias("root"))
     rest = materialize(rest, "near-rest")
@@ -287,7 +338,7 @@ def near_copies(rows: DataFrame, size: int = WORDS, least: float = SIMILAR) -> D
     more = materialize(similar(sets, rest.join(apart, "post").select("row", "n", "post"), least), "near-edges")
     root = connected_components(root.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more), "near-cc")
     named = materialize(single.join(root, single.row == root.node, "left").select("key", F.coalesce("component", "row").alias("root")), "near-named")
-    discard(posts, some, sets, edges, rest, more, single)
+    discard(by_bytes, posts, some, sets, edges, rest, more, single)
     return index.select("row", "key").join(named, "key").select("row", "root")
 
 
